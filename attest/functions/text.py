@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 WORD = r"[\p{L}\p{N}_]"
 # Unicode white space plus the four ASCII separators that Java leaves out.
 SPACE = r"(?U)[\s\x1c-\x1f]"
-LINE_BREAK = "\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085  ]"
+# Characters that end a line, besides "\n" and "\r\n".
+OTHER_BREAKS = "\u000b\u000c\r\u001c\u001d\u001e\u0085\u2028\u2029"
 TOKEN = rf"(?U){WORD}+(?:['’-]{WORD}+)?|[^\p{{L}}\p{{N}}_\s\x1c-\x1f]"
 
 
@@ -60,9 +61,18 @@ def words(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    """N-07: text to lines; a final line break does not open another line."""
-    parts = F.split(F.coalesce(c, F.lit("")), LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """N-07: text to lines; a final line break does not open another line.
+
+    Texts that hold other breaks have them mapped first, so that the split is a
+    plain character split; telling those texts apart is a byte search.
+    """
+    raw = F.coalesce(c, F.lit(""))
+    other = F.lit(False)
+    for b in OTHER_BREAKS:
+        other = other | F.contains(raw, F.lit(b))
+    mapped = F.translate(F.replace(raw, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
+    text = F.when(other, mapped).when(raw != "", raw)
+    return F.split(F.regexp_replace(text, "\n\\z", ""), "\n")
 
 
 def title_words(c: Column) -> Column:

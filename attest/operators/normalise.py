@@ -136,7 +136,8 @@ def page_lines(pages: DataFrame, rules: Rules, default: C.PageRules = C.PageRule
         lettered.alias("lettered"),
         X.lines(F.col("text")).alias("lines"),
     ).withColumn("printed_page", F.when(~F.col("lettered"), F.get(label, F.lit(0))))
-    kept = kept.select("*", F.posexplode("lines").alias("line_no", "line")).drop("lines")
+    # The outer form keeps Spark from repeating the split in a filter on its size.
+    kept = kept.select("*", F.posexplode_outer("lines").alias("line_no", "line")).drop("lines").where("line_no is not null")
     kept = kept.withColumn("line", X.collapse(F.col("line")))
 
     def repeated(rule: C.PageRules) -> Column:
@@ -186,14 +187,18 @@ def assemble(lines: DataFrame, keep: tuple[str, ...] = ("source_id", "source_has
 
     Lines and blocks share one exchange on (document, segment).
     """
-    used = lines.where(F.col("kind").isin("blank", "heading", "text"))
+    # Lines are told apart by conditions inside the windows and filtered after
+    # them: a filter on the line kind in front would be pushed to the scan and
+    # evaluate every pattern twice.
+    used = F.col("kind").isin("blank", "heading", "text")
     inside = Window.partitionBy("document_id", SEGMENT).orderBy("page_number", "line_no")
-    page_start = ~F.lag("page_number").over(inside).eqNullSafe(F.col("page_number"))
-    after_break = page_start | ~F.lag("kind").over(inside).eqNullSafe(F.lit("text"))
-    starts = (F.col("kind") == "heading") | ((F.col("kind") == "text") & after_break)
-    numbered = used.withColumn("__starts", starts.cast("int")).where("kind != 'blank'")
-    numbered = numbered.withColumn(
-        "__island", F.sum("__starts").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last(F.when(used, F.struct("page_number", "kind")), ignorenulls=True).over(earlier)
+    after_text = before.eqNullSafe(F.struct("page_number", F.lit("text").alias("kind")))
+    starts = (F.col("kind") == "heading") | ((F.col("kind") == "text") & ~after_text)
+    numbered = lines.withColumn("__starts", starts.cast("int"))
+    numbered = numbered.withColumn("__island", F.sum("__starts").over(upto)).where(F.col("kind").isin("heading", "text"))
     return numbered.groupBy("document_id", SEGMENT, "__island").agg(
         *[F.first(c).alias(c) for c in keep],
         F.first("page_number").alias("page_number"),
