@@ -1 +1,378 @@
+"""Vector, lexical and fused retrieval over vectors, documents and benchmark items."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import embed, hybrid, lexical, vector_search
+from ..operators.hybrid import overlap_scorer, rerank, rrf, variants
+from ..session import materialise
+from . import query
+from .common import (CHUNKS_SQL, SQL_STOP, SQL_WORD, benchmark_queries, document_chunks, query_vectors, sql_words, table,
+                     vector_table)
+
+K = 10
+
+
+def _vector_sql(queries: str, k: int, where: str = "true") -> str:
+    return f"""
+vec as (select vec_id chunk_id, embedding::double[] v from embeddings where {where}),
+asked as ({queries}),
+pairs as (select query_id, chunk_id, round(list_cosine_similarity(q, v), 10) similarity from asked, vec),
+vector_ranked as (
+  select *, row_number() over (partition by query_id order by similarity desc, chunk_id) vector_rank from pairs
+  qualify vector_rank <= {k})
+"""
+
+
+ALL_QUERIES = "select vec_id query_id, embedding::double[] q from embeddings"
+BENCH_QUERIES = "select item_id query_id, embedding::double[] q from benchmark join embeddings on vec_id = item_id"
+
+
+@query("vector_topk", f"with {_vector_sql(ALL_QUERIES, K)} select query_id, chunk_id, round(similarity, 6) similarity, vector_rank::int vector_rank from vector_ranked")
+def vector_topk(spark, d):
+    vectors = vector_table(spark, d)
+    queries = vectors.select(F.col("chunk_id").alias("query_id"), "embedding")
+    out = vector_search.vector_topk(queries, vectors, K)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vector_topk_by_source", f"with {_vector_sql(BENCH_QUERIES, K, 'label = 3')} select query_id, chunk_id, round(similarity, 6) similarity, vector_rank::int vector_rank from vector_ranked")
+def vector_topk_by_source(spark, d):
+    out = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), K, F.col("source_id") == 3)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vector_topk_tiled", f"with {_vector_sql(BENCH_QUERIES, K)} select query_id, chunk_id, round(similarity, 6) similarity, vector_rank::int vector_rank from vector_ranked")
+def vector_topk_tiled(spark, d):
+    """The layout for query batches above the broadcast bound."""
+    out = vector_search.vector_topk(
+        query_vectors(spark, d), vector_table(spark, d), K, broadcast_bytes=1 << 13, tile_bytes=1 << 17)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vector_unit_norm_gate", """
+select vec_id chunk_id, list_filter([case when len(embedding) <> 64 then 'dimension' end,
+  case when not abs(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) - 1) < 1e-7 then 'norm' end],
+  lambda x: x is not null) violations
+from embeddings where len(violations) > 0""")
+def vector_unit_norm_gate(spark, d):
+    return vector_search.vector_violations(vector_table(spark, d), dimension=64, tolerance=1e-7)
+
+
+@query("ivf_topk")
+def ivf_topk(spark, d):
+    return vector_search.ivf_topk(query_vectors(spark, d), vector_table(spark, d), K, lists=16, n_probe=4)
+
+
+@query("ivf_recall")
+def ivf_recall(spark, d):
+    """Share of the exact best k that the cells find, per number of cells probed."""
+    queries, vectors = query_vectors(spark, d), vector_table(spark, d)
+    centres = vector_search.fit_cells(vectors, 16)
+    exact = vector_search.vector_topk(queries, vectors, K).select("query_id", "chunk_id")
+    total = exact.groupBy("query_id").agg(F.count("*").alias("n"))
+    out = None
+    for probes in (1, 4, 16):
+        found = vector_search.ivf_topk(queries, vectors, K, n_probe=probes, centres=centres)
+        hits = exact.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(
+            F.count("*").alias("hits"))
+        part = total.join(hits, "query_id", "left").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"))
+        part = part.select(F.lit(probes).alias("n_probe"), "recall")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("embedding_batch")
+def embedding_batch(spark, d):
+    """Documents embedded by the native model, as records."""
+    rows = document_chunks(spark, d).withColumnRenamed("evidence_text", "embedding_text")
+    model = embed.HashedTfidf(128).fit(rows, "embedding_text")
+    done = model.transform(rows, "embedding_text").withColumn("embed_error", F.lit(None).cast("string"))
+    return embed.embedding_records(done, "hashed-tfidf-128").drop("embedded_at")
+
+
+@query("embedding_counts", "select 'd' || doc_id document_id, 1 embedded, 0 failed from documents")
+def embedding_counts(spark, d):
+    rows = document_chunks(spark, d)
+
+    def factory():
+        return lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+
+    return embed.embedding_counts(embed.embed(rows, "evidence_text", factory))
+
+
+# --- lexical ----------------------------------------------------------------------------------
+
+POSTINGS_SQL = CHUNKS_SQL + f""",
+heading_words as (
+  select chunk_id, unnest(w) lexeme, generate_subscripts(w, 1) pos from (
+    select chunk_id, {sql_words("array_to_string(heading_path, ' ')")} w from docs)),
+heading_kept as (select * from heading_words where lexeme not in ({SQL_STOP})),
+shifts as (select chunk_id, max(pos) shift from heading_kept group by 1),
+evidence_words as (
+  select chunk_id, unnest(w) lexeme, generate_subscripts(w, 1) pos from (
+    select chunk_id, {sql_words('evidence_text')} w from docs)),
+occurrences as (
+  select chunk_id, lexeme, pos, 'A' tag from heading_kept
+  union all
+  select e.chunk_id, lexeme, pos + coalesce(shift, 0), 'B' from evidence_words e left join shifts s on s.chunk_id = e.chunk_id
+  where lexeme not in ({SQL_STOP})),
+posted as (
+  select lexeme, chunk_id, count(*) filter (tag = 'A') n_a, count(*) filter (tag = 'B') n_b from occurrences group by all)
+"""
+
+
+@query("postings", f"with {POSTINGS_SQL} select lexeme, chunk_id, n_a, n_b from posted")
+def postings(spark, d):
+    return lexical.postings(document_chunks(spark, d)).select("lexeme", "chunk_id", "n_a", "n_b")
+
+
+def terms_sql(source: str) -> str:
+    return f"""
+queries as ({source}),
+raw_items as (
+  select query_id, unnest(r) raw, generate_subscripts(r, 1) - 1 element from (
+    select query_id, regexp_extract_all(query_text, '-?"[^"]*"|[^\\s]+') r from queries)),
+items as (select *, sum(case when lower(raw) = 'or' then 1 else 0 end) over (partition by query_id order by element) group_no from raw_items),
+item_words as (
+  select query_id, group_no, element, starts_with(raw, '-') negated, unnest(w) lexeme, generate_subscripts(w, 1) - 1 "offset" from (
+    select *, {sql_words('raw')} w from items where lower(raw) <> 'or')),
+terms as (select * from item_words where lexeme not in ({SQL_STOP})),
+sizes as (select query_id, group_no, element, negated, count(*) n_words from terms group by all),
+needs as (select query_id, group_no, count(*) n_needed from sizes where not negated group by all),
+element_hits as (
+  select distinct query_id, group_no, chunk_id, element, negated from (
+    select t.query_id, t.group_no, o.chunk_id, t.element, t.negated, case when n_words = 1 then 0 else o.pos - t."offset" end base
+    from terms t join sizes s on s.query_id = t.query_id and s.group_no = t.group_no and s.element = t.element
+    join occurrences o on o.lexeme = t.lexeme
+    group by all having count(distinct t."offset") = max(s.n_words))),
+matched as (
+  select h.query_id, h.group_no, chunk_id from element_hits h join needs n on n.query_id = h.query_id and n.group_no = h.group_no
+  group by all having count(*) filter (negated) = 0 and count(*) filter (not negated) = max(n_needed))
+"""
+
+
+BENCHMARK_SOURCE = "select item_id query_id, text query_text from benchmark"
+
+
+def web_queries(spark, d):
+    """Quoted pairs, alternatives and exclusions built from the words of each benchmark item."""
+    w = F.split("query_text", r"\s+")
+    text = F.concat(
+        F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or "'), w[2], F.lit(" "), w[3], F.lit('" -'), w[4], F.lit(" or "), w[5])
+    return benchmark_queries(spark, d).select("query_id", text.alias("query_text"))
+
+
+WEB_SOURCE = """
+select item_id query_id, '"' || w[1] || ' ' || w[2] || '" or "' || w[3] || ' ' || w[4] || '" -' || w[5] || ' or ' || w[6] query_text
+from (select item_id, regexp_split_to_array(text, '\\s+') w from benchmark)"""
+
+
+@query("query_terms", f"""with {CHUNKS_SQL}, occurrences as (select 0 chunk_id, '' lexeme, 0 pos), {terms_sql(WEB_SOURCE)}
+select query_id, group_no::int group_no, element::int element, negated, "offset"::int as "offset", lexeme from terms""")
+def query_terms(spark, d):
+    return lexical.query_terms(web_queries(spark, d)).select("query_id", "group_no", "element", "negated", "offset", "lexeme")
+
+
+@query("lexical_and_match", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
+def lexical_and_match(spark, d):
+    posted = lexical.postings(document_chunks(spark, d))
+    return lexical.lexical_match(lexical.query_terms(benchmark_queries(spark, d)), posted).select("query_id", "group_no", "chunk_id")
+
+
+@query("lexical_web_match", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
+def lexical_web_match(spark, d):
+    posted = lexical.postings(document_chunks(spark, d))
+    return lexical.lexical_match(lexical.query_terms(web_queries(spark, d)), posted).select("query_id", "group_no", "chunk_id")
+
+
+TF_SQL = """
+tf_scores as (
+  select query_id, chunk_id, sum(w) r from (
+    select distinct t.query_id, m.chunk_id, t.lexeme, n_a * 1.0::double + n_b * 0.4::double w
+    from terms t join matched m on m.query_id = t.query_id and m.group_no = t.group_no
+    join posted p on p.chunk_id = m.chunk_id and p.lexeme = t.lexeme where not t.negated)
+  group by all),
+lexical_ranked as (
+  select query_id, chunk_id, r / (r + 1) lexical_score,
+    row_number() over (partition by query_id order by round(r / (r + 1), 10) desc, chunk_id) lexical_rank
+  from tf_scores qualify lexical_rank <= {k})
+"""
+
+COVER_SQL = """
+wanted as (select distinct query_id, group_no, lexeme from terms where not negated),
+chosen as (select distinct query_id, chunk_id from matched),
+entries as (
+  select c.query_id, c.chunk_id, o.lexeme, o.pos, case when tag = 'A' then 1.0::double else 2.5::double end inv
+  from chosen c join (select distinct query_id, lexeme from wanted) w on w.query_id = c.query_id
+  join occurrences o on o.chunk_id = c.chunk_id and o.lexeme = w.lexeme),
+numbered_entries as (
+  select *, row_number() over w i, sum(inv) over w cum from entries window w as (partition by query_id, chunk_id order by pos)),
+lasts as (
+  select e.query_id, e.chunk_id, e.i, w.group_no, w.lexeme, max(x.i) last_i
+  from numbered_entries e join wanted w on w.query_id = e.query_id
+  left join numbered_entries x on x.query_id = e.query_id and x.chunk_id = e.chunk_id and x.lexeme = w.lexeme and x.i <= e.i
+  group by all),
+lefts as (
+  select query_id, chunk_id, i, max(l) l from (
+    select query_id, chunk_id, i, group_no, case when count(*) = count(last_i) then min(last_i) end l from lasts group by all)
+  group by all),
+moved as (select *, lag(l) over (partition by query_id, chunk_id order by i) before from lefts),
+covers as (
+  select m.query_id, m.chunk_id, ((m.i - m.l + 1) / (e.cum - b.cum + b.inv)) / (1 + (e.pos - b.pos) - (m.i - m.l)) s
+  from moved m join numbered_entries e on e.query_id = m.query_id and e.chunk_id = m.chunk_id and e.i = m.i
+  join numbered_entries b on b.query_id = m.query_id and b.chunk_id = m.chunk_id and b.i = m.l
+  where m.l > coalesce(m.before, -1)),
+cover_scores as (select query_id, chunk_id, sum(s) r from covers group by all),
+lexical_ranked as (
+  select query_id, chunk_id, r / (r + 1) lexical_score,
+    row_number() over (partition by query_id order by round(r / (r + 1), 10) desc, chunk_id) lexical_rank
+  from cover_scores qualify lexical_rank <= {k})
+"""
+LEXICAL_OUT = " select query_id, chunk_id, round(lexical_score, 6) lexical_score, lexical_rank::int lexical_rank from lexical_ranked"
+
+
+@query("lexical_topk", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=K)}{LEXICAL_OUT}")
+def lexical_topk(spark, d):
+    posted = lexical.postings(document_chunks(spark, d))
+    out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "tf_weighted")
+    return out.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query("cover_density", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
+def cover_density(spark, d):
+    posted = lexical.postings(document_chunks(spark, d))
+    out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "cover_density")
+    return out.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query("cover_density_web", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
+def cover_density_web(spark, d):
+    posted = lexical.postings(document_chunks(spark, d))
+    out = lexical.lexical_topk(web_queries(spark, d), posted, K, "cover_density")
+    return out.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query("rejected_queries", f"""with {CHUNKS_SQL}, occurrences as (select 0 chunk_id, '' lexeme, 0 pos),
+{terms_sql("select turn + conv_id * 1000 query_id, case when turn % 2 = 0 then 'the of' else text end query_text from conversations")}
+select query_id, 'no searchable term' reason from queries where query_id not in (select query_id from terms where not negated)""")
+def rejected_queries(spark, d):
+    rows = table(spark, d, "conversations").select(
+        (F.col("turn") + F.col("conv_id") * 1000).alias("query_id"),
+        F.when(F.col("turn") % 2 == 0, "the of").otherwise(F.col("text")).alias("query_text"))
+    return lexical.rejected_queries(rows, lexical.query_terms(rows)).select("query_id", "reason")
+
+
+# --- fusion and reranking ---------------------------------------------------------------------
+
+CANDIDATES_SQL = f"{POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=50)}, {_vector_sql(BENCH_QUERIES, 50)}"
+
+
+def fused_sql(alphas: tuple[float, ...]) -> str:
+    values = ", ".join(f"({a}::double)" for a in alphas)
+    return f"""
+sides as (
+  select coalesce(l.query_id, v.query_id) query_id, coalesce(l.chunk_id, v.chunk_id) chunk_id, lexical_rank, vector_rank
+  from lexical_ranked l full join vector_ranked v on v.query_id = l.query_id and v.chunk_id = l.chunk_id),
+fused as (
+  select *, coalesce(alpha / (lexical_rank + 1), 0) + coalesce((1.0 - alpha) / (vector_rank + 1), 0) rrf_score
+  from sides, (values {values}) a(alpha)),
+hybrid_ranked as (
+  select *, row_number() over (partition by query_id, alpha order by rrf_score desc, chunk_id) hybrid_rank
+  from fused qualify hybrid_rank <= 50)
+"""
+
+
+FUSED_OUT = (" select query_id, chunk_id, alpha, lexical_rank::int lexical_rank, vector_rank::int vector_rank, round(rrf_score, 8) rrf_score,"
+             " hybrid_rank::int hybrid_rank from hybrid_ranked")
+
+
+def candidates(spark, d):
+    posted = lexical.postings(document_chunks(spark, d))
+    found = lexical.lexical_topk(benchmark_queries(spark, d), posted, 50, "tf_weighted")
+    return found, vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
+
+
+@query("rrf_hybrid", f"with {CANDIDATES_SQL}, {fused_sql((0.5,))}{FUSED_OUT}")
+def rrf_hybrid(spark, d):
+    out = rrf(*candidates(spark, d))
+    return out.withColumn("rrf_score", F.round("rrf_score", 8))
+
+
+@query("rrf_alpha_sweep", f"with {CANDIDATES_SQL}, {fused_sql((0.0, 0.3, 0.5, 0.7, 1.0))}{FUSED_OUT}")
+def rrf_alpha_sweep(spark, d):
+    out = rrf(*candidates(spark, d), alphas=(0.0, 0.3, 0.5, 0.7, 1.0))
+    return out.withColumn("rrf_score", F.round("rrf_score", 8))
+
+
+def rerank_sql(name: str, source: str, rank: str, by: str = "query_id") -> str:
+    return f"""
+{name}_scored as (
+  select c.*, len(list_intersect(list_distinct({sql_words('q.query_text')}), list_distinct({sql_words('d.evidence_text')})))
+    / len(list_distinct({sql_words('q.query_text')}))::double reranker_score
+  from {source} c join queries q on q.query_id = c.query_id join docs d on d.chunk_id = c.chunk_id where {rank} <= 50),
+{name} as (
+  select *, row_number() over (partition by {by} order by reranker_score desc, {rank}) rerank_rank from {name}_scored
+  qualify rerank_rank <= 10)
+"""
+
+
+@query("rerank_topk", f"""with {CANDIDATES_SQL}, {rerank_sql('reranked', 'vector_ranked', 'vector_rank')}
+select query_id, chunk_id, vector_rank::int vector_rank, round(reranker_score, 8) reranker_score, rerank_rank::int rerank_rank from reranked""")
+def rerank_topk(spark, d):
+    vector = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
+    out = rerank(vector, benchmark_queries(spark, d), document_chunks(spark, d), "vector_rank", overlap_scorer, characters=None)
+    return out.select("query_id", "chunk_id", "vector_rank", F.round("reranker_score", 8).alias("reranker_score"), "rerank_rank")
+
+
+ALPHAS = (0.3, 0.5, 0.7)
+VARIANTS_SQL = f"""{CANDIDATES_SQL}, {fused_sql(ALPHAS)},
+{rerank_sql('vector_reranked', 'vector_ranked', 'vector_rank')},
+{rerank_sql('hybrid_reranked', 'hybrid_ranked', 'hybrid_rank', 'query_id, alpha')},
+variants as (
+  select query_id, chunk_id, lexical_rank as "rank", 'lexical' retriever, null::double alpha from lexical_ranked
+  union all select query_id, chunk_id, vector_rank, 'vector', null from vector_ranked
+  union all select query_id, chunk_id, hybrid_rank, 'hybrid', alpha from hybrid_ranked
+  union all select query_id, chunk_id, rerank_rank, 'vector_rerank', null from vector_reranked
+  union all select query_id, chunk_id, rerank_rank, 'hybrid_rerank', alpha from hybrid_reranked)
+"""
+
+
+def variant_rows(spark, d):
+    """The five variants over one set of candidates, which is written out once."""
+    found, vector = (materialise(x, "candidates") for x in candidates(spark, d))
+    return variants(found, vector, benchmark_queries(spark, d), document_chunks(spark, d), ALPHAS, characters=None)
+
+
+@query("retrieval_variants", f'with {VARIANTS_SQL} select query_id, chunk_id, "rank"::int as "rank", retriever, alpha from variants')
+def retrieval_variants(spark, d):
+    return variant_rows(spark, d)
+
+
+@query("rewrite_variants", """
+with r as (
+  select item_id query_id, trim(text) original, case when item_id % 3 <> 0 then trim(text) || ' passage' else '' end hyde,
+    case when item_id % 2 = 0 then 'terms ' || trim(text) else '' end expanded from benchmark)
+select query_id, 'original' technique, original query_text from r
+union all select query_id, 'hyde', hyde from r where hyde <> ''
+union all select query_id, 'expanded', expanded from r where expanded <> ''
+union all select query_id, 'hyde_expanded', hyde || ' ' || expanded from r where hyde <> '' and expanded <> ''""")
+def rewrite_variants(spark, d):
+    rows = benchmark_queries(spark, d)
+    text = F.trim("query_text")
+    rows = rows.withColumn("hyde", F.when(F.col("query_id") % 3 != 0, F.concat(text, F.lit(" passage")))).withColumn(
+        "expanded", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("terms "), text)))
+    return hybrid.rewrite_variants(rows)
+
+
+@query("expanded_queries", f"""
+with t as (select item_id query_id, text query_text, list_filter(regexp_extract_all(text, '{SQL_WORD}'), lambda w: length(w) >= 7) terms from benchmark)
+select query_id, case when len(terms) = 5 then query_text || ' ' || array_to_string(terms, ' ') else query_text end retrieval_query,
+  case when query_id % 10 = 9 then 'fallback_error' when len(terms) = 5 then 'expanded' else 'fallback_invalid_term_count' end status
+from (select query_id, query_text, case when query_id % 10 = 9 then [] else terms end terms from t)""")
+def expanded_queries(spark, d):
+    long = F.filter(F.regexp_extract_all("query_text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) >= 7)
+    failed = F.col("query_id") % 10 == 9
+    rows = benchmark_queries(spark, d).withColumn("terms", F.when(~failed, long)).withColumn(
+        "error", F.when(failed, "TimeoutError: no answer"))
+    return hybrid.expand_queries(rows).select("query_id", "retrieval_query", "status")
