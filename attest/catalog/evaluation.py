@@ -1 +1,200 @@
+"""Benchmark records, relevance, ranking metrics, grids and configuration summaries."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..operators import grid, metrics
+from ..session import materialise
+from . import query
+from .common import CHUNKS_SQL, benchmark_queries, document_chunks, gold_queries, table
+from .retrieval import ALPHAS, VARIANTS_SQL, variant_rows
+
+SCHEMES_SQL = "schemes(weighting, w1, w2, w3, w4, w5) as (values " + ", ".join(
+    "('{}', {})".format(n, ", ".join(f"{w[f]}::double" for f in C.FEATURES)) for n, w in C.WEIGHTINGS.items()) + ")"
+GOLD_SQL = """
+gold as (select item_id query_id, source_id g_source, sections g_sections, page g_page, types g_types, tier g_tier
+  from benchmark join docs on chunk_id = item_id)
+"""
+SCORE = """w1 * (source_id = g_source)::int::double + w2 * list_has_any(sections, g_sections)::int::double
+  + w3 * (abs(page - g_page) <= 2)::int::double + w4 * list_has_any(types, g_types)::int::double + w5 * (tier = g_tier)::int::double"""
+RELEVANCE_SQL = f"""{VARIANTS_SQL}, {GOLD_SQL}, {SCHEMES_SQL},
+scored as (
+  select v.*, weighting, {SCORE} score from variants v join docs d on d.chunk_id = v.chunk_id
+  join gold g on g.query_id = v.query_id, schemes),
+totals as (
+  select query_id, weighting, count(*) filter ({SCORE} > 0.5) total_relevant from gold, docs, schemes group by all)
+"""
+METRICS_SQL = RELEVANCE_SQL + f""",
+bested as (
+  select *, row_number() over (partition by query_id, retriever, alpha, weighting order by score desc, "rank") best from scored),
+lists as (
+  select query_id, retriever, alpha, weighting, sum(case when "rank" <= 10 then score / log2("rank" + 1) else 0 end) dcg,
+    sum(case when best <= 10 then score / log2(best + 1) else 0 end) idcg, min("rank") filter (score > 0.5) first_relevant,
+    count(*) filter (score > 0.5 and "rank" <= 10) found, count(*) retrieved_count
+  from bested group by all),
+measured as (
+  select l.*, coalesce(dcg / nullif(idcg, 0), 0) ndcg_at_10, coalesce(1.0::double / first_relevant, 0) mrr,
+    case when total_relevant > 0 then found / total_relevant::double else 0 end recall_at_10, total_relevant
+  from lists l join totals t on t.query_id = l.query_id and t.weighting = l.weighting),
+results as (
+  select m.query_id, retriever, a.alpha, weighting, ndcg_at_10, mrr, recall_at_10, total_relevant, retrieved_count
+  from measured m join (values {', '.join(f'({a}::double)' for a in ALPHAS)}) a(alpha) on m.alpha is null or m.alpha = a.alpha)
+"""
+SUMMARY_SQL = METRICS_SQL + """,
+summary as (
+  select *, 0.5::double * ndcg_at_10_mean + 0.3::double * mrr_mean + 0.2::double * recall_at_10_mean composite_score from (
+    select 'retriever=' || retriever || ' | alpha=' || printf('%.2f', alpha) || ' | weighting=' || weighting configuration,
+      count(distinct query_id) queries_evaluated, count(*) records_aggregated,
+      avg(ndcg_at_10) ndcg_at_10_mean, stddev_pop(ndcg_at_10) ndcg_at_10_std, avg(mrr) mrr_mean, stddev_pop(mrr) mrr_std,
+      avg(recall_at_10) recall_at_10_mean, stddev_pop(recall_at_10) recall_at_10_std
+    from results group by 1))
+"""
+# Means are compared at nine decimals, so that the order of summation does not decide a tie.
+ROUNDED_SQL = SUMMARY_SQL + """,
+r as (select configuration, round(ndcg_at_10_mean, 9) ndcg_at_10_mean, round(mrr_mean, 9) mrr_mean,
+  round(recall_at_10_mean, 9) recall_at_10_mean, round(composite_score, 9) composite_score from summary),
+long as (
+  unpivot (select configuration, ndcg_at_10_mean n, mrr_mean m, ndcg_at_10_mean, mrr_mean, recall_at_10_mean, composite_score from r)
+  on ndcg_at_10_mean, mrr_mean, recall_at_10_mean, composite_score into name metric value "value")
+"""
+
+
+def totals(spark, d):
+    return metrics.corpus_relevant(gold_queries(spark, d), document_chunks(spark, d))
+
+
+def results(spark, d, cells=None):
+    ranked = materialise(variant_rows(spark, d), "ranked")
+    return grid.evaluate(ranked, gold_queries(spark, d), document_chunks(spark, d), totals(spark, d), ALPHAS, cells=cells)
+
+
+def summary(spark, d):
+    rows = grid.summarise(results(spark, d))
+    measures = [c for c in rows.columns if c.endswith(("_mean", "_std", "_score"))]
+    return rows.select(*[F.round(c, 9).alias(c) if c in measures else F.col(c) for c in rows.columns])
+
+
+@query("stratified_sample", """
+select chunk_id, source_id from (
+  select doc_id chunk_id, source source_id, row_number() over (partition by source order by sha256('42' || doc_id), doc_id) n from documents)
+where n <= 5""")
+def stratified_sample(spark, d):
+    return metrics.stratified_sample(document_chunks(spark, d).select("chunk_id", "source_id"), 5)
+
+
+@query("benchmark_records", f"""with {CHUNKS_SQL}
+select 'q' || sha256(item_id || text)[1:8] query_id, text query_text, item_id gold_chunk_id, source_id gold_source, sha256(evidence_text) evidence
+from benchmark join docs on chunk_id = item_id""")
+def benchmark_records(spark, d):
+    questions = benchmark_queries(spark, d).select(
+        F.col("query_id").alias("chunk_id"), "query_text", F.lit("broad_research").alias("query_type"))
+    out = metrics.benchmark_records(questions, document_chunks(spark, d), characters=None)
+    return out.select("query_id", "query_text", "gold_chunk_id", F.col("gold_metadata.source_id").alias("gold_source"),
+                      F.sha2("evidence", 256).alias("evidence"))
+
+
+@query("source_descriptions", """
+select doc_id, case when source like '%1%' then 'first shelf' when source like '%2%' then 'second shelf' else 'other shelf' end description
+from documents""")
+def source_descriptions(spark, d):
+    text = metrics.source_description(F.col("source"), (("1", "first shelf"), ("2", "second shelf")), "other shelf")
+    return table(spark, d, "documents").select("doc_id", text.alias("description"))
+
+
+@query("metadata_relevance", f'with {RELEVANCE_SQL} select query_id, chunk_id, "rank"::int as "rank", retriever, alpha, weighting, round(score, 9) score, score > 0.5 relevant from scored')
+def metadata_relevance(spark, d):
+    out = metrics.relevance(variant_rows(spark, d), gold_queries(spark, d), document_chunks(spark, d))
+    return out.withColumn("score", F.round("score", 9))
+
+
+@query("corpus_relevant", f"""with {CHUNKS_SQL}, {GOLD_SQL}, {SCHEMES_SQL}
+select query_id, weighting, count(*) filter ({SCORE} > 0.5) total_relevant from gold, docs, schemes group by all""")
+def corpus_relevant(spark, d):
+    return totals(spark, d)
+
+
+@query("ndcg_mrr_recall", f"""with {METRICS_SQL}
+select query_id, retriever, alpha, weighting, round(ndcg_at_10, 8) ndcg_at_10, round(mrr, 8) mrr, round(recall_at_10, 8) recall_at_10,
+  total_relevant, retrieved_count from results""")
+def ndcg_mrr_recall(spark, d):
+    out = results(spark, d)
+    return out.select("query_id", "retriever", "alpha", "weighting", *[F.round(c, 8).alias(c) for c in ("ndcg_at_10", "mrr", "recall_at_10")],
+                      "total_relevant", "retrieved_count")
+
+
+def _grid_sql(where: str) -> str:
+    return f"""
+select item_id query_id, alpha, retriever, weighting from benchmark, (values {', '.join(f'({a}::double)' for a in ALPHAS)}) a(alpha),
+  (values {', '.join(f"('{r}')" for r in C.RETRIEVERS)}) r(retriever), (values {', '.join(f"('{w}')" for w in C.WEIGHTINGS)}) w(weighting)
+where (retriever not like '%rerank' or weighting = 'equal') and {where}"""
+
+
+@query("evaluation_grid", _grid_sql("true"))
+def evaluation_grid(spark, d):
+    return grid.retrieval_grid(benchmark_queries(spark, d), ALPHAS)
+
+
+@query("eval_resume_pending", _grid_sql("not (item_id % 4 <> 0 and retriever in ('lexical', 'vector'))"))
+def eval_resume_pending(spark, d):
+    cells = grid.retrieval_grid(benchmark_queries(spark, d), ALPHAS)
+    done = cells.where((F.col("query_id") % 4 != 0) & F.col("retriever").isin("lexical", "vector"))
+    return grid.pending(cells, done, ["query_id", "alpha", "retriever", "weighting"])
+
+
+@query("rewrite_grid", """
+select item_id query_id, technique, retriever, weighting, 0.5::double alpha, 'rewrite_' || technique || '_' || retriever as "name"
+from benchmark, (values ('original'), ('hyde')) t(technique), (values ('vector_rerank'), ('hybrid_rerank')) r(retriever),
+  (values ('equal'), ('source_heavy'), ('section_heavy'), ('page_heavy'), ('authority_heavy')) w(weighting)
+where technique = 'original' or item_id % 2 = 0""")
+def rewrite_grid(spark, d):
+    from ..operators.hybrid import rewrite_variants
+
+    rows = benchmark_queries(spark, d).withColumn("hyde", F.when(F.col("query_id") % 2 == 0, "passage")).withColumn(
+        "expanded", F.lit(None).cast("string"))
+    cells = rewrite_variants(rows).where(F.col("technique").isin("original", "hyde"))
+    return grid.rewrite_grid(cells)
+
+
+@query("config_summary", f"""with {SUMMARY_SQL}
+select configuration, queries_evaluated, records_aggregated, {', '.join(
+    f'round({m}_{s}, 6) {m}_{s}' for m in ('ndcg_at_10', 'mrr', 'recall_at_10') for s in ('mean', 'std'))},
+  round(composite_score, 6) composite_score from summary""")
+def config_summary(spark, d):
+    rows = summary(spark, d)
+    keep = [c for c in rows.columns if c.endswith(("_mean", "_std", "_score"))]
+    return rows.select("configuration", "queries_evaluated", "records_aggregated", *[F.round(c, 6).alias(c) for c in keep])
+
+
+@query("best_by_metric", f"""with {ROUNDED_SQL}
+select metric, arg_max(configuration, (value, n, m, configuration)) configuration, round(max(value), 6) as "value" from long group by 1""")
+def best_by_metric(spark, d):
+    return grid.best_by_metric(summary(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query("recommended_configuration", f"""with {ROUNDED_SQL}
+select configuration, round(composite_score, 6) composite_score, round(ndcg_at_10_mean, 6) ndcg_at_10_mean, round(mrr_mean, 6) mrr_mean,
+  round(recall_at_10_mean, 6) recall_at_10_mean
+from r order by r.composite_score desc, r.ndcg_at_10_mean desc, r.mrr_mean desc, configuration desc limit 1""")
+def recommended_configuration(spark, d):
+    out = grid.recommended(summary(spark, d))
+    return out.select("configuration", *[F.round(c, 6).alias(c) for c in out.columns if c != "configuration"])
+
+
+@query("ranked_configurations", f"""with {ROUNDED_SQL}
+select metric, place::int place, configuration, round(value, 6) as "value" from (
+  select *, row_number() over (partition by metric order by value desc, n desc, m desc, configuration) place from long)
+where place <= 10""")
+def ranked_configurations(spark, d):
+    return grid.ranked(summary(spark, d), 10).withColumn("value", F.round("value", 6))
+
+
+@query("run_totals", f"""with {METRICS_SQL}
+select count(*) total_records, count(distinct query_id) total_unique_queries,
+  array_to_string(list_sort(list(distinct retriever)), ',') retrievers, array_to_string(list_sort(list(distinct weighting)), ',') weightings,
+  len(list(distinct alpha))::int n_alphas from results""")
+def run_totals(spark, d):
+    out = grid.run_totals(results(spark, d))
+    return out.select(
+        "total_records", "total_unique_queries", F.array_join("retrievers_evaluated", ",").alias("retrievers"),
+        F.array_join("weighting_schemes_evaluated", ",").alias("weightings"), F.size("alphas_evaluated").alias("n_alphas"))

@@ -1 +1,160 @@
+"""Evidence packs, prompts, generated answers and citation checks."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..operators import evidence, vector_search
+from ..operators.hybrid import overlap_scorer, rerank
+from ..schemas import ANSWER
+from . import query
+from .common import CHUNKS_SQL, benchmark_queries, document_chunks, query_vectors, sql_strip, table, vector_table
+from .retrieval import BENCH_QUERIES, _vector_sql, rerank_sql
+
+PACK_SQL = f"""{CHUNKS_SQL}, queries as (select item_id query_id, text query_text from benchmark), {_vector_sql(BENCH_QUERIES, 50)},
+{rerank_sql('reranked', 'vector_ranked', 'vector_rank')},
+sections as (
+  select query_id, rerank_rank, d.*, '[S' || rerank_rank || ']' || chr(10) || 'Source ID: ' || source_id || chr(10)
+    || 'Authority tier: ' || tier || chr(10) || 'Currency status: current_candidate' || chr(10)
+    || 'Heading: ' || array_to_string(heading_path, ' > ') || chr(10) || 'Section IDs: ' || array_to_string(sections, '.') || chr(10)
+    || 'PDF page: ' || page || chr(10) || 'Evidence:' || chr(10) || {sql_strip('evidence_text')} section
+  from reranked r join docs d on d.chunk_id = r.chunk_id),
+packs as (
+  select query_id, string_agg(section, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rerank_rank) evidence_context,
+    string_agg('S' || rerank_rank, ', ' order by rerank_rank) labels, count(*) n from sections group by 1)
+"""
+
+
+def final_lists(spark, d):
+    vector = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), C.CANDIDATES)
+    return rerank(vector, benchmark_queries(spark, d), document_chunks(spark, d), "vector_rank", overlap_scorer, characters=None)
+
+
+def packs(spark, d):
+    return evidence.evidence_pack(final_lists(spark, d), document_chunks(spark, d), "rerank_rank", "reranker_score")
+
+
+@query("evidence_pack", f"with {PACK_SQL} select query_id, sha256(evidence_context) context_hash, labels from packs")
+def evidence_pack(spark, d):
+    return packs(spark, d).select(
+        "query_id", F.sha2("evidence_context", 256).alias("context_hash"), F.array_join("supplied_labels", ", ").alias("labels"))
+
+
+@query("evidence_labels", f"with {PACK_SQL} select query_id, 'S' || rerank_rank label, chunk_id from sections")
+def evidence_labels(spark, d):
+    return packs(spark, d).select("query_id", F.explode("evidence_labels").alias("label", "chunk_id"))
+
+
+@query("source_labels", f"""with {PACK_SQL}
+select query_id, '[S' || rerank_rank || '] ' || source_id || ' | Authority: Tier ' || tier[6:] || ' | Status: current candidate | Heading: '
+  || array_to_string(heading_path, ' > ') || ' | Section: ' || array_to_string(sections, '.') || ' | PDF page: ' || page as "label",
+  'Section: ' || array_to_string(sections, '.') || ' | PDF page: ' || page locator
+from sections""")
+def source_labels(spark, d):
+    rows = final_lists(spark, d).join(document_chunks(spark, d), "chunk_id")
+    return rows.select("query_id", evidence.source_label("rerank_rank").alias("label"), evidence.locator().alias("locator"))
+
+
+@query("prompts", f"""with {PACK_SQL}
+select query_id, sha256('Original user question:' || chr(10) || trim(query_text) || repeat(chr(10), 4) || 'Retrieved evidence:' || chr(10)
+  || evidence_context || repeat(chr(10), 4) || 'Return a structured answer to the original user question. For every factual' || chr(10)
+  || 'claim, set citation_labels only from this supplied-label set: ' || labels || '.' || chr(10)
+  || 'Do not invent labels, source locations, page numbers, or document status.') prompt_hash
+from queries left join packs using (query_id)""")
+def prompts(spark, d):
+    out = evidence.prompts(benchmark_queries(spark, d), packs(spark, d))
+    return out.select("query_id", F.sha2("prompt", 256).alias("prompt_hash"))
+
+
+@query("evidence_cards", f"""with {PACK_SQL}
+select query_id, 'S' || rerank_rank citation_id, source_id source_title, 'Tier ' || tier[6:] || ' (current candidate)' source_class,
+  array_to_string(heading_path, ' > ') || ' | PDF page ' || page || ' | Section ' || array_to_string(sections, '.') page_or_section,
+  sha256(evidence_text) excerpt, rerank_rank::int retrieval_rank
+from sections""")
+def evidence_cards(spark, d):
+    return evidence.evidence_cards(packs(spark, d), "query_id").withColumn("excerpt", F.sha2("excerpt", 256))
+
+
+@query("answering_pipeline")
+def answering_pipeline(spark, d):
+    """Question to checked answer with the extractive generator, as one plan."""
+    prompted = evidence.prompts(benchmark_queries(spark, d), packs(spark, d))
+    done = evidence.fail_closed(evidence.validate_citations(evidence.generate(prompted)))
+    return done.select("query_id", "displayed_answer", "citation_validation", "fail_closed_triggered")
+
+
+# --- answers made of conversations ------------------------------------------------------------
+
+# One answer per conversation: every turn is a claim, labelled by its number; some labels are unknown,
+# malformed or missing, and some answers claim to have no evidence.
+
+
+def conversation_answers(spark, d):
+    turn = F.col("turn")
+    labels = (
+        F.when(turn % 5 == 4, F.array().cast("array<string>"))
+        .when(F.col("role") == "system", F.array(F.lit("page 3")))
+        .otherwise(F.array(F.concat(F.lit("S"), (turn + 1).cast("string")), F.concat(F.lit("S"), (turn % 3 + 1).cast("string")))))
+    claim = F.struct(turn.alias("turn"), F.struct(F.col("text").alias("text"), labels.alias("citation_labels")).alias("claim"))
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.transform(F.array_sort(F.collect_list(claim)), lambda c: c["claim"]).alias("claims"))
+    status = F.when(F.col("query_id") % 7 == 3, "insufficient_evidence").otherwise("answered")
+    answer = F.struct(
+        status.alias("answer_status"), F.concat(F.lit("answer "), "query_id").alias("direct_answer"), F.col("claims").alias("claims"),
+        F.lit(C.UNCERTAINTY).alias("uncertainty_statement"), F.lit(None).cast("string").alias("clarifying_question"),
+        F.array().cast("array<string>").alias("evidence_gaps"), F.array().cast("array<string>").alias("research_next_steps"))
+    supplied = F.when(F.col("query_id") % 11 == 5, F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("S"), i.cast("string"))))
+    error = F.when(F.col("query_id") % 13 == 7, "TimeoutError: no answer")
+    return rows.select(
+        "query_id", answer.cast(ANSWER).alias("answer"), supplied.alias("supplied_labels"), error.alias("generation_error"))
+
+
+CLAIMS_SQL = """
+claims as (
+  select conv_id query_id, row_number() over (partition by conv_id order by turn) - 1 i,
+    case when turn % 5 = 4 then []::varchar[] when role = 'system' then ['page 3'] else ['S' || (turn + 1), 'S' || (turn % 3 + 1)] end labels
+  from conversations),
+supplied as (
+  select query_id, case when query_id % 11 = 5 then []::varchar[] else ['S1', 'S2', 'S3', 'S4', 'S5', 'S6'] end supplied
+  from (select distinct conv_id query_id from conversations)),
+uses as (
+  select c.query_id, i, generate_subscripts(labels, 1) j, unnest(labels) label, s.supplied from claims c join supplied s using (query_id)),
+errors as (
+  select query_id, i, 0 j, 0 o, 'Claim ' || i || ' has no citations' e from claims where len(labels) = 0
+  union all select query_id, i, j, 1, 'Unknown citation label: ' || label from uses where not list_contains(supplied, label)
+  union all select query_id, i, j, 2, 'Invalid citation label syntax: ' || label from uses where not regexp_matches(label, '^S\\d+$')
+  union all select query_id, 1000000, 0, 3, 'Answer status is ''insufficient_evidence'' but contains factual claims'
+    from supplied where query_id % 7 = 3),
+checked as (
+  select s.query_id, len(s.supplied) n_supplied,
+    coalesce((select string_agg(e, '; ' order by i, j, o) from errors x where x.query_id = s.query_id), '') errors,
+    coalesce((select string_agg(distinct label, ',' order by label) from uses u where u.query_id = s.query_id), '') used_labels,
+    coalesce((select string_agg(distinct label, ',' order by label) from uses u where u.query_id = s.query_id
+      and not list_contains(u.supplied, label)), '') unknown_labels,
+    coalesce((select string_agg(i::varchar, ',' order by i) from claims c where c.query_id = s.query_id and len(labels) = 0), '') uncited
+  from supplied s)
+"""
+
+
+@query("citation_validation", f"with {CLAIMS_SQL} select query_id, errors = '' is_valid, errors, used_labels, unknown_labels, uncited from checked")
+def citation_validation(spark, d):
+    out = evidence.validate_citations(conversation_answers(spark, d)).select("query_id", "citation_validation.*")
+    return out.select(
+        "query_id", "is_valid", F.array_join("errors", "; ").alias("errors"), F.array_join("used_labels", ",").alias("used_labels"),
+        F.array_join("unknown_labels", ",").alias("unknown_labels"),
+        F.array_join(F.col("uncited_claim_indexes").cast("array<string>"), ",").alias("uncited"))
+
+
+@query("fail_closed", f"""with {CLAIMS_SQL}
+select query_id, n_supplied > 0 and query_id % 13 <> 7 and errors <> '' fail_closed_triggered,
+  case when n_supplied = 0 or query_id % 13 = 7 or errors <> '' or query_id % 7 = 3 then 'insufficient_evidence' else 'answered' end answer_status,
+  case when n_supplied = 0 then '{C.GAP_NO_EVIDENCE}' when query_id % 13 = 7 then '{C.GAP_GENERATION}'
+    when errors <> '' then '{C.GAP_CITATIONS}' else '' end gap,
+  n_supplied = 0 or (query_id % 13 <> 7 and errors = '') is_valid
+from checked""")
+def fail_closed(spark, d):
+    out = evidence.fail_closed(evidence.validate_citations(conversation_answers(spark, d)))
+    return out.select(
+        "query_id", "fail_closed_triggered", "displayed_answer.answer_status",
+        F.array_join("displayed_answer.evidence_gaps", " ").alias("gap"), "citation_validation.is_valid")
