@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
+from .monitor import one_row
 from .topk import first_wins
 
 MEANS = {
@@ -63,7 +64,7 @@ def select_prompt(summary: DataFrame, min_validity: float = 1.0) -> DataFrame:
 
 def evaluation_totals(answers: DataFrame, scores: DataFrame) -> DataFrame:
     """L-08: one row of totals."""
-    a = answers.agg(F.count("*").alias("answer_records"),
-                    F.count_distinct("question_id", "prompt_version").alias("unique_answers"), F.lit(1).alias("one"))
-    j = scores.agg(F.count("*").alias("judge_rows"), F.lit(1).alias("one"))
-    return a.join(j, "one").drop("one")
+    return one_row([
+        answers.agg(F.count("*").alias("answer_records"),
+                    F.count_distinct("question_id", "prompt_version").alias("unique_answers")),
+        scores.agg(F.count("*").alias("judge_rows"))])

@@ -38,10 +38,15 @@ def usage_totals(cache: DataFrame, feedback: DataFrame, scores: DataFrame) -> Da
     parts = [
         cache.agg(F.count("*").alias("cached_queries")), feedback.agg(F.count("*").alias("feedback_events")),
         scores.agg(F.count("*").alias("manual_reviews"), F.count_if(F.col("is_tier2")).alias("tier2_reviews"))]
-    out = parts[0].withColumn("one", F.lit(1))
+    return one_row(parts)
+
+
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """One-row tables side by side: stacked, then taken column by column."""
+    out = parts[0]
     for p in parts[1:]:
-        out = out.join(p.withColumn("one", F.lit(1)), "one")
-    return out.drop("one")
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
 def status_distribution(log: DataFrame, status: str = "answer_status") -> DataFrame:

@@ -34,21 +34,21 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med
     A quantile sketch with a known rank error brackets the middle; only equal
     values inside the bracket are counted and ranked.
     """
+    if not keys:
+        raise ValueError("exact_median needs at least one key")
     slack = 2.0 / accuracy
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     sketch = known.groupBy(*keys).agg(
         F.percentile_approx("__v", [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy).alias("__b"),
         F.count("*").alias("__n"),
     )
-    near = known.join(sketch, list(keys)) if keys else known.withColumn("__one", F.lit(1)).join(
-        sketch.withColumn("__one", F.lit(1)), "__one")
+    near = known.join(sketch, list(keys))
     lo, hi = F.col("__b")[0], F.col("__b")[1]
     below = near.groupBy(*keys).agg(
         F.count_if(F.col("__v") < lo).alias("__below"), F.first("__n").alias("__n")
     )
     counts = near.where(F.col("__v").between(lo, hi)).groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-    ranked = (counts.join(below, list(keys)) if keys else counts.withColumn("__one", F.lit(1)).join(
-        below.withColumn("__one", F.lit(1)), "__one"))
+    ranked = counts.join(below, list(keys))
     upto = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("__end", F.col("__below") + F.sum("__c").over(upto))
     left, right = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
