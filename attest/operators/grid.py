@@ -62,7 +62,7 @@ def evaluate(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, totals: D
 
 
 def configuration_key(has_technique: bool) -> Column:
-    alpha = F.coalesce(F.format_string("%.2f", F.col("alpha")), F.lit("n/a"))
+    alpha = F.when(F.col("alpha").isNull(), "n/a").otherwise(F.format_string("%.2f", F.col("alpha")))
     parts = [F.concat(F.lit("retriever="), "retriever"), F.concat(F.lit("alpha="), alpha), F.concat(F.lit("weighting="), "weighting")]
     if has_technique:
         parts.insert(0, F.when(F.coalesce("technique", F.lit("")) != "", F.concat(F.lit("technique="), "technique")))

@@ -29,11 +29,12 @@ def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint
                     at: str | None = None, late: str = "1 hour") -> StreamingQuery:
     """W-02: each batch of new files is upserted into a versioned table.
 
-    With an event time, copies within the watermark are dropped first. A batch
-    that is run again replaces the same keys by the same rows.
+    With an event time, equal rows within the watermark are dropped first; a new
+    row for a known key always goes through. A batch that is run again replaces
+    the same keys by the same rows.
     """
     if at is not None:
-        rows = rows.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
+        rows = rows.withWatermark(at, late).dropDuplicatesWithinWatermark()
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
