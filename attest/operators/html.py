@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
-from .ordered import SEGMENT, heading_stack
+from .ordered import SEGMENT, heading_stack, segment_of
 
 # Tags that carry content, tags that are dropped, class names of the main part.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -195,7 +195,12 @@ def structured_html(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return blocks.groupBy(key).agg(X.ordered_text(piece, F.col("seq"), "\n\n").alias("structured_text"))
 
 
-def structured_pages(pages: DataFrame) -> DataFrame:
-    """X-08 for numbered pages: the text of one document, each page under its marker."""
+def structured_pages(pages: DataFrame, pages_per_part: int = 4096) -> DataFrame:
+    """X-08 for numbered pages: the pages of a document under their markers.
+
+    A document of more pages than one part comes as several rows, in part order,
+    so that no text grows without bound.
+    """
     piece = F.concat(F.lit("--- PAGE "), F.col("page_number"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
-    return pages.groupBy("document_id").agg(X.ordered_text(piece, F.col("page_number"), "\n\n").alias("structured_text"))
+    part = segment_of(F.col("page_number"), pages_per_part).alias("part")
+    return pages.groupBy("document_id", part).agg(X.ordered_text(piece, F.col("page_number"), "\n\n").alias("structured_text"))
