@@ -248,8 +248,9 @@ def missing_policy(spark, d):
 
 
 def sql_unescape(c: str) -> str:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = f"replace({c}, '{name}', '{char}')"
+    """Named characters, with or without their closing mark, as browsers read them."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
     return c
 
 

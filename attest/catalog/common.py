@@ -92,7 +92,7 @@ def _open(k: int) -> str:
     return f"case when p{k} is not null and {above} then (select h.text from heads h where h.document_id = b.document_id and h.island = b.p{k}) end"
 
 
-LEVELS = range(1, 5)
+LEVELS = range(1, 8)
 BLOCKS_SQL = LINES_SQL + rf""",
 kept as (
   select *, lag(kind) over (partition by document_id order by line_no) before
