@@ -7,7 +7,9 @@ from ..operators import registry
 from . import query
 from .common import table
 
-NOW = F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+def now():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
 
 
 def files(spark, d):
@@ -64,7 +66,7 @@ def previous(spark, d):
     rows = registry.validate_signature(files(spark, d)).where("error is null").join(seen, "doc_id")
     review = F.struct(
         F.lit(False).alias("required"), F.when(F.col("toxic") == 0, "approved").otherwise("pending").alias("status"),
-        F.lit("initial_document_review").alias("review_type"), F.lit("seen").alias("reason"), NOW.alias("reviewed_at"),
+        F.lit("initial_document_review").alias("review_type"), F.lit("seen").alias("reason"), now().alias("reviewed_at"),
         F.lit("r1").alias("reviewer"), F.lit(None).cast("string").alias("notes"))
     return rows.select(
         "id", "type", F.when(F.col("quality") == 1, F.col("content_hash")).otherwise("sha256:old").alias("content_hash"),
@@ -72,7 +74,7 @@ def previous(spark, d):
         F.when(n % 4 != 0, review).alias("manual_review"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("downloaded_at"),
         F.lit(True).alias("is_current"), F.lit("current").alias("currency_status"), F.lit("v1").alias("version_label"),
         F.lit(None).cast("string").alias("effective_date"), F.lit(None).cast("string").alias("revision_date"),
-        F.lit(None).cast("string").alias("currency_evidence"), F.lit(False).alias("change_detected"), NOW.alias("last_checked"),
+        F.lit(None).cast("string").alias("currency_evidence"), F.lit(False).alias("change_detected"), now().alias("last_checked"),
         F.lit(True).alias("eligible_for_extraction"), F.lit(False).alias("eligible_for_default_retrieval"))
 
 
@@ -104,7 +106,7 @@ def registry_changes(spark, d):
 
 @query("registry_refresh", f"with {NEXT_SQL} select * from nexts")
 def registry_refresh(spark, d):
-    out = registry.refresh(current(spark, d), previous(spark, d), NOW)
+    out = registry.refresh(current(spark, d), previous(spark, d), now())
     return out.select("id", "change_detected", F.col("manual_review.review_type").alias("review_type"),
                       F.col("manual_review.status").alias("review_status"), "eligible_for_extraction", "eligible_for_default_retrieval",
                       "currency_status", "version_label")
@@ -112,14 +114,14 @@ def registry_refresh(spark, d):
 
 @query("review_queue", f"with {NEXT_SQL} select id document_id, review_type from nexts where review_status = 'pending'")
 def review_queue(spark, d):
-    return registry.review_queue(registry.refresh(current(spark, d), previous(spark, d), NOW)).select("document_id", "review_type")
+    return registry.review_queue(registry.refresh(current(spark, d), previous(spark, d), now())).select("document_id", "review_type")
 
 
 @query("extraction_skipped", f"""with {NEXT_SQL} select id document_id, 'skipped' status, review_status from nexts where not eligible_for_extraction""")
 def extraction_skipped(spark, d):
     from ..sources.readers import split_eligible
 
-    _, skipped = split_eligible(registry.refresh(current(spark, d), previous(spark, d), NOW))
+    _, skipped = split_eligible(registry.refresh(current(spark, d), previous(spark, d), now()))
     return skipped.select("document_id", "status", "review_status")
 
 
@@ -136,7 +138,7 @@ select n.id, a.doc_id is not null replaced, case when a.doc_id is not null then
   case when a.doc_id is not null then 'sha256:' || sha256('%PDF new ' || text) end new_hash
 from nexts n left join documents a on 's' || a.doc_id = n.id and a.doc_id % 22 = 0""")
 def manual_approvals(spark, d):
-    approved, _ = registry.approve(registry.refresh(current(spark, d), previous(spark, d), NOW), _approvals(spark, d), NOW)
+    approved, _ = registry.approve(registry.refresh(current(spark, d), previous(spark, d), now()), _approvals(spark, d), now())
     hit = F.coalesce(F.col("manual_review.reviewer") == "r2", F.lit(False))
     return approved.select("id", hit.alias("replaced"), F.col("manual_review.status").alias("review_status"),
                            F.when(hit, F.col("content_hash")).alias("new_hash"))
@@ -146,5 +148,5 @@ def manual_approvals(spark, d):
 select case when doc_id % 2 = 0 then 's' else 'x' end || doc_id id from documents
 where doc_id % 11 = 0 and (doc_id % 2 = 1 or 's' || doc_id not in (select id from nexts))""")
 def rejected_approvals(spark, d):
-    _, rejected = registry.approve(registry.refresh(current(spark, d), previous(spark, d), NOW), _approvals(spark, d), NOW)
+    _, rejected = registry.approve(registry.refresh(current(spark, d), previous(spark, d), now()), _approvals(spark, d), now())
     return rejected.select("id")
