@@ -6,11 +6,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .chat import op4_chat
 from .langid import op3_language
+from .licenses import op5_licenses
 from .quality import op1_quality
+from .rabitq import op10_vectors
+from .secrets import op8_secrets
+from .simhash import op9_simhash
+from .spans import op6_spans
+from .winnow import op7_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality, op2_bpe, op3_language)}
+    op1_quality, op2_bpe, op3_language, op4_chat, op5_licenses, op6_spans, op7_winnow, op8_secrets, op9_simhash, op10_vectors)}
 ORACLES: dict[str, str] = {}
 
 
