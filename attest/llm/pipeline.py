@@ -36,12 +36,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each SimHash component; repeated rows of it count as copies, too.
+    """The document of the least doc_id of each component of similar texts; repeated rows of it count as copies, too.
 
-    Rows without an id stay, each: they cannot be told apart.
+    Similar are texts whose shingles of five words have a similarity of 0.8 or more, as wide fingerprints estimate it. Rows without an id stay, each: they cannot be told apart.
     """
     rows = _documents(docs)
-    found = simhash.near_duplicates(rows.select("doc_id", "text"))
+    found = simhash.similar_texts(rows.select("doc_id", "text"))
     kept = materialise(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept-documents")
     single = rows.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
     repeated = materialise(single.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-documents")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import cells
 from .bktree import Union
 from .common import materialise, per_row, table
 from .graph import components
@@ -125,45 +126,19 @@ def _linked(classes: DataFrame, dimensions: int, threshold: float, recall: float
 
     coded = materialise(per_row(classes.select("node", "copies", "v"), coder,
                                 "node long, copies long, vector binary, code binary, factor double, keys array<long>"), "vector-codes")
-    banded = coded.select("node", F.posexplode("keys").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").count().filter("count > 1")
-    # Blocks of a shared band value; block i meets every block j >= i in a cell of its own, and a row its own block once.
-    cells = materialise(sizes.select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "vector-cells")
-    dealt = banded.join(cells, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("node", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
-    dealt = materialise(dealt, "vector-dealt").join(coded.select("node", "copies", "vector", "code", "factor"), "node") \
-        .select("node", "copies", "vector", "code", "factor", "band", "key", "i", "j", "left") \
-        .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "node")
+    dealt = cells.deal(coded.select("node", F.posexplode("keys").alias("band", "key")), block)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for rows in cells.whole(batches):
+            yield _meeting(rows, turn.value, width, threshold, sigmas, kind)
 
-        def whole(table_: pa.Table) -> pa.RecordBatch:
-            return _meeting(table_, turn.value, width, threshold, sigmas, kind)
-
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 4096:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                cell = [rows[c].to_numpy() for c in ("band", "key", "i", "j")]
-                same = np.ones(len(cell[0]), bool)
-                for c in cell:
-                    same &= c == c[-1]
-                cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0  # the last cell may go on
-                if cut:
-                    yield whole(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-        if held:
-            yield whole(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(meet, "node long, links long, other long")
+    gathered = cells.gathered(dealt, coded.select("node", "copies", "vector", "code", "factor"))
+    return gathered.mapInArrow(meet, "node long, links long, other long")
 
 
 def _meeting(rows: pa.Table, turn: np.ndarray, width: int, threshold: float, sigmas: float, kind: type) -> pa.RecordBatch:
     """What the cells in these rows find; rows of a cell stand together."""
-    rows = rows.combine_chunks()
-    band, key, i, j = (rows[c].to_numpy() for c in ("band", "key", "i", "j"))
+    band, i, j = (rows[c].to_numpy() for c in ("band", "i", "j"))
     left, node, copies = (rows[c].to_numpy(zero_copy_only=False) for c in ("left", "node", "copies"))
     n = len(node)
     unit = _unit(np.frombuffer(b"".join(rows["vector"].to_pylist()), kind).reshape(n, -1).astype(np.float64))
@@ -171,7 +146,7 @@ def _meeting(rows: pa.Table, turn: np.ndarray, width: int, threshold: float, sig
     keys = signs.reshape(n, -1, width) @ (1 << np.arange(width, dtype=np.int64))
     factor = rows["factor"].to_numpy()
     turned = unit.astype(np.float32) @ turn.T
-    change = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    change = cells.starts(rows)
     links, sets = np.zeros(n, np.int64), Union(n)
     most = max(1024, PAIRS // len(turn))
     for a, b in _pairs(change, np.append(change[1:], n), left, i == j, most):

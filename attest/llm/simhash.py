@@ -8,6 +8,7 @@ ask them rather than broadcast to all: all trees together grow with the input.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -16,12 +17,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import cells, flat
 from .bktree import Forest, Union
 from .common import materialise, per_row, table
 from .graph import components
 
 CAP = 512  # fingerprints of a shard that is not cut again
 FLUSH = 100_000  # fingerprints that a task holds at once
+FRONTIER = 1 << 18  # wide fingerprints that are compared at once
 
 
 def fingerprint(text: str | bytes, words: int = 3, seed: int = 42) -> int:
@@ -161,6 +164,95 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2) -> DataFrame
     return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+# --- near copies of a given similarity ---------------------------------------------------------
+
+
+LANES = 4  # 64-bit numbers of a wide fingerprint
+
+
+def wide_fingerprint(text: str | bytes, words: int = 5, lanes: int = LANES) -> bytes:
+    """A SimHash of 64 * lanes bits: lane i takes the shingles' hashes, mixed with i."""
+    split = (text.encode() if isinstance(text, str) else text).lower().split()
+    n = max(1, len(split) - words + 1) if split else 0
+    total = np.zeros(64 * lanes, np.int64)
+    for at in range(0, n, 20_000):
+        some = split[at: at + 20_000 + words - 1]
+        shingles = zip(*(some[i:] for i in range(words))) if len(split) >= words else [some]
+        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles], np.uint64)
+        for i in range(lanes):
+            own = flat.mix(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)
+            total[64 * i: 64 * i + 64] += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n).tobytes()
+
+
+def search_plan(n: int, similarity: float, recall: float, lanes: int = LANES) -> tuple[int, int, int]:
+    """Radius, bits of a band, and number of bands, for n fingerprints.
+
+    Two texts whose shingles have Jaccard similarity s have a cosine of 2 s / (1 + s), and a bit differs with probability
+    acos(cosine) / pi. The radius is the expected number of differing bits at the similarity, and one deviation more. A
+    pair at the similarity shares some band with probability `recall`; bands of about 64 unlike texts each.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * lanes
+    width = max(8, math.ceil(math.log2(max(n, 2))) - 6)
+    return int(bits * p + math.sqrt(bits * p * (1 - p))), width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+
+
+def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = 512) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable by links, of every row.
+
+    Links are pairs whose wide fingerprints are within the radius of `search_plan`, which estimates the Jaccard similarity
+    of their shingles. Fingerprints that share a band of bits meet in cells of bounded size, where one side's BK-tree
+    answers the other. Rows without words are copies of each other. Ids as in `near_duplicates`.
+    """
+
+    def hasher():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            column, out = batch.column("text"), []
+            for at in range(0, batch.num_rows, 64):
+                out += [wide_fingerprint(t or "", words) for t in column.slice(at, 64).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "print"])
+        return f
+
+    rows = materialise(per_row(df.select("doc_id", "text"), hasher, "doc_id long, print binary"), "wide-fingerprints")
+    prints = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-prints")
+    radius, width, bands = search_plan(prints.count(), similarity, recall)
+    rng = np.random.default_rng(42)
+    chosen = np.stack([rng.permutation(64 * LANES)[:width] for _ in range(bands)])
+    place = 1 << np.arange(width, dtype=np.int64)
+
+    def keys():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(bits[:, chosen] @ place), pa.list_(pa.int64()))], ["node", "keys"])
+        return f
+
+    banded = materialise(per_row(prints.select("node", "print"), keys, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "key")), "bands")
+    gathered = cells.gathered(cells.deal(banded, block), prints.select("node", "print"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cells.whole(batches):
+            fingerprint = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
+            start = cells.starts(rows)
+            cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.num_rows)))
+            left, own = rows["left"].to_numpy(), (rows["i"].to_numpy() == rows["j"].to_numpy())
+            nodes, node, sets = np.flatnonzero(left), rows["node"].to_numpy(), Union(rows.num_rows)
+            forest = Forest(fingerprint[nodes], cell[nodes])
+            tree_of = np.full(len(start), -1)
+            tree_of[cell[nodes[forest.roots]]] = np.arange(len(forest.roots))
+            asked = np.flatnonzero((own | ~left) & (tree_of[cell] >= 0))
+            for query, found in forest.search(fingerprint[asked], tree_of[cell[asked]], radius, FRONTIER):
+                sets.link(asked[query], nodes[found])
+            other = np.flatnonzero(sets.label != np.arange(rows.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[sets.label[other]])], ["a", "b"])
+
+    roots = components(materialise(gathered.mapInArrow(meet, "a long, b long"), "similar-links"))
+    rooted = materialise(prints.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root")), "similar-rooted")
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "similar-components")
+    classes = materialise(rooted.join(named, "root").select("print", "component_id"), "similar-classes")
+    return rows.join(classes, "print").select("doc_id", "component_id")
+
+
 def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     found = near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

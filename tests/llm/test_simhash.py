@@ -107,3 +107,47 @@ def test_query(spark):
     expected = brute_components(near, ids)
     rows = collected(simhash.op9_simhash(spark, d))
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{prints[i]:016x}", expected[i]) for i in ids}
+
+
+def test_wide_trees_answer_queries_of_their_group():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    prints[30:] = prints[:30] ^ (np.uint64(1) << rng.integers(0, 64, (30, 2)).astype(np.uint64))
+    groups = np.arange(60) // 20
+    forest = bktree.Forest(prints, groups)
+    queries, trees = prints[::-1], np.arange(60) % 3
+    got = sorted((int(a), int(b)) for x, y in forest.search(queries, trees, 40, 16) for a, b in zip(x, y))
+    apart = lambda a, b: sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(a, b))
+    assert got == [(i, j) for i in range(60) for j in range(60) if trees[i] == groups[j] and apart(queries[i], prints[j]) <= 40]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_similar_texts(spark, block):
+    rnd = random.Random(block)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rnd.randint(100, 400))]
+        for _ in range(rnd.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(len(base) // 120):
+                copy[rnd.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    df = documents(spark, [(t, "en") for t in texts])
+    rows = collected(simhash.similar_texts(df, block=block))
+    assert len(rows) == df.count()
+    comp = {r["doc_id"]: r["component_id"] for r in rows}
+
+    def shingles(t):
+        w = t.split()
+        return set(zip(*(w[i:] for i in range(5))))
+
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            x = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if x >= 0.9 or x < 0.3:
+                assert (comp[i] == comp[j]) == (x >= 0.9), x
+    n = len(texts)
+    assert comp[n] == comp[n + 1] == comp[n + 2] == n and comp[None] is None
+    assert collected(simhash.similar_texts(empty(df))) == []
