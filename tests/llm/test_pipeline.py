@@ -22,9 +22,10 @@ def shingles(text):
 def folder(spark, tmp_path_factory):
     rnd = random.Random(4)
     said = [" ".join(rnd.choice(WORDS[x]) + rnd.choice("abcdef") for _ in range(rnd.randint(8, 60))) for x in ("en", "de") * 60]
+    fresh = [" ".join(rnd.choice(WORDS["en"]) + rnd.choice("ghijk") for _ in range(30)) for _ in range(3)]
     item = " ".join(f"bench{i}" for i in range(15))
     texts = [(t, ("en", "de")[i % 2]) for i, t in enumerate(said)]
-    texts += [(said[0], "en"), (said[1].upper(), "de"), (f"{said[2]}, {item}. more", "en"), (said[3] + " password=abcdef123456 end", "de"), ("123 !!", "en"), (said[4] + " x", None)]
+    texts += [(said[0], "en"), (said[1].upper(), "de"), (f"{fresh[0]}, {item}. more", "en"), (fresh[1] + " password=abcdef123456 end", "de"), ("123 !!", "en"), (fresh[2], None)]
     df = documents(spark, texts)
     where = str(tmp_path_factory.mktemp("tables"))
     df.write.parquet(f"{where}/documents.parquet")
