@@ -303,11 +303,46 @@ def html_summary(spark, d):
     return normalise.html_summary(raw_html(spark, d))
 
 
-@query("structured_pages", "select 'd' || doc_id document_id, 0 part, '--- PAGE 1 ---' || chr(10) || text as structured_text from documents")
+@query("structured_pages", "select 'd' || doc_id document_id, '--- PAGE 1 ---' || chr(10) || text as structured_text from documents")
 def structured_pages(spark, d):
     return html.structured_pages(document_pages(spark, d))
 
 
+@query("structured_many_pages", """
+with p as (select 'stream' || user_id % 2 document_id, row_number() over (partition by user_id % 2 order by event_id) n, event_type t from events)
+select document_id, string_agg('--- PAGE ' || n || ' ---' || chr(10) || t, chr(10) || chr(10) order by n) structured_text from p group by 1""")
+def structured_many_pages(spark, d):
+    """Events as the pages of two documents, thousands of pages each."""
+    group = F.col("user_id") % 2
+    numbered = ordered.scan(
+        table(spark, d, "events").select(F.concat(F.lit("stream"), group).alias("document_id"), "event_id", F.col("event_type").alias("text"),
+                                         ordered.segment_of(F.col("event_id"), 1024).alias("place")),
+        ["document_id"], "place", ["event_id"], sums={"page_number": F.lit(1)})
+    return html.structured_pages(numbered)
+
+
+DEEP_LEVEL = "case when line_no = 0 then 1 else 1 + (line_no * 7 + length(line)) % 9 end"
+
+
+@query("deep_heading_paths", f"""with {LINES_SQL},
+leveled as (select document_id, line_no, line, {DEEP_LEVEL} lv from lines where line <> ''),
+latest as (
+  select *, {', '.join(
+    f"max(case when lv = {k} then line_no end) over w p{k}, "
+    f"max_by(case when lv = {k} then line end, case when lv = {k} then line_no end) over w h{k}" for k in range(1, 10))}
+  from leveled window w as (partition by document_id order by line_no))
+select document_id, line_no::int line_no, concat_ws(' > ', {', '.join(
+    f"case when p{k} > greatest(-1{''.join(f', coalesce(p{j}, -1)' for j in range(1, k))}) then h{k} end" for k in range(1, 10))}) heading_path
+from latest""")
+def deep_heading_paths(spark, d):
+    """Paths of nine levels."""
+    level = F.when(F.col("line_no") == 0, 1).otherwise(1 + (F.col("line_no") * 7 + F.length("line")) % 9)
+    rows = document_lines(spark, d).where("line <> ''").select(
+        "document_id", "line_no", "line", level.cast("int").alias("level"), ordered.segment_of(F.col("line_no"), 32).alias("place"))
+    out = ordered.heading_stack(rows, ["document_id"], "place", ["line_no"], "level", F.col("line"), max_level=9)
+    return out.select("document_id", "line_no", X.join_path(F.col("heading_path")).alias("heading_path"))
+
+
 @query("document_routes", """
 select 'd' || doc_id document_id, case when lang = 'en' then 'html' when lang = 'fr' then 'pages' end route,
   case when lang not in ('en', 'fr') then 'Unsupported source type: ' || lang end as "error" from documents""")

@@ -94,6 +94,18 @@ def benchmark_records(spark, d):
                       F.sha2("evidence", 256).alias("evidence"))
 
 
+@query("benchmark_records_cut", f"""with {CHUNKS_SQL}
+select 'q' || sha256(item_id || text)[1:8] query_id, text query_text, item_id gold_chunk_id, source_id gold_source, sha256(evidence_text[1:800]) evidence
+from benchmark join docs on chunk_id = item_id""")
+def benchmark_records_cut(spark, d):
+    """The same with the first 800 characters of the evidence."""
+    questions = benchmark_queries(spark, d).select(
+        F.col("query_id").alias("chunk_id"), "query_text", F.lit("broad_research").alias("query_type"))
+    out = metrics.benchmark_records(questions, document_chunks(spark, d), characters=800)
+    return out.select("query_id", "query_text", "gold_chunk_id", F.col("gold_metadata.source_id").alias("gold_source"),
+                      F.sha2("evidence", 256).alias("evidence"))
+
+
 @query("source_descriptions", """
 select doc_id, case when source like '%1%' then 'first shelf' when source like '%2%' then 'second shelf' else 'other shelf' end description
 from documents""")

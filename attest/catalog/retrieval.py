@@ -305,10 +305,10 @@ def rrf_alpha_sweep(spark, d):
     return out.withColumn("rrf_score", F.round("rrf_score", 8))
 
 
-def rerank_sql(name: str, source: str, rank: str, by: str = "query_id") -> str:
+def rerank_sql(name: str, source: str, rank: str, by: str = "query_id", text: str = "d.evidence_text") -> str:
     return f"""
 {name}_scored as (
-  select c.*, len(list_intersect(list_distinct({sql_words('q.query_text')}), list_distinct({sql_words('d.evidence_text')})))
+  select c.*, len(list_intersect(list_distinct({sql_words('q.query_text')}), list_distinct({sql_words(text)})))
     / len(list_distinct({sql_words('q.query_text')}))::double reranker_score
   from {source} c join queries q on q.query_id = c.query_id join docs d on d.chunk_id = c.chunk_id where {rank} <= 50),
 {name} as (
@@ -325,6 +325,15 @@ def rerank_topk(spark, d):
     return out.select("query_id", "chunk_id", "vector_rank", F.round("reranker_score", 8).alias("reranker_score"), "rerank_rank")
 
 
+@query("rerank_topk_cut", f"""with {CANDIDATES_SQL}, {rerank_sql('reranked', 'vector_ranked', 'vector_rank', text='d.evidence_text[1:450]')}
+select query_id, chunk_id, vector_rank::int vector_rank, round(reranker_score, 8) reranker_score, rerank_rank::int rerank_rank from reranked""")
+def rerank_topk_cut(spark, d):
+    """The same over the first 450 characters of each text, the bound that a slow model may ask for."""
+    vector = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
+    out = rerank(vector, benchmark_queries(spark, d), document_chunks(spark, d), "vector_rank", overlap_scorer, characters=450)
+    return out.select("query_id", "chunk_id", "vector_rank", F.round("reranker_score", 8).alias("reranker_score"), "rerank_rank")
+
+
 ALPHAS = (0.3, 0.5, 0.7)
 VARIANTS_SQL = f"""{CANDIDATES_SQL}, {fused_sql(ALPHAS)},
 {rerank_sql('vector_reranked', 'vector_ranked', 'vector_rank')},

@@ -49,12 +49,12 @@ select doc_id, source source_id, length(text)::int as "size" from documents wher
 union all select doc_id, 'relabelled', (quality * 10 + toxic)::int from labels
 union all select item_id + 10000000, 'bench', length(text)::int from benchmark""")
 def versioned_upserts(spark, d):
-    """The same, through a versioned table; the second load of the same rows changes nothing."""
-    target = writers.VersionedTable(spark, f"{checkpoint_folder(spark)}/attest/table-{uuid.uuid4().hex}")
-    target.write(_base(spark, d))
+    """The same, through a table bucketed by key; the second load of the same rows changes nothing."""
+    path = f"{checkpoint_folder(spark)}/attest/table-{uuid.uuid4().hex}"
+    writers.upsert_buckets(path, _base(spark, d), ["doc_id"], "size", 8)
     for _ in range(2):
-        target.upsert(_incoming(spark, d), ["doc_id"])
-    return target.read()
+        writers.upsert_buckets(path, _incoming(spark, d), ["doc_id"], "size", 8)
+    return writers.read_buckets(spark, path)
 
 
 @query("stream_upserts", "select conv_id, turn, role from conversations")
@@ -63,8 +63,8 @@ def stream_upserts(spark, d):
     place = f"{checkpoint_folder(spark)}/attest/increments-{uuid.uuid4().hex}"
     schema = table(spark, d, "conversations").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d).select("conv_id", "turn", "role")
-    logs.load_increments(rows, f"{place}/table", ["conv_id", "turn"], f"{place}/state").awaitTermination()
-    return writers.VersionedTable(spark, f"{place}/table").read()
+    logs.load_increments(rows, f"{place}/table", ["conv_id", "turn"], f"{place}/state", "role").awaitTermination()
+    return writers.read_buckets(spark, f"{place}/table")
 
 
 def _feedback(spark, d):

@@ -90,7 +90,8 @@ STOP_WORDS = (
 
 # Patterns for printed page labels, numbered sections and sheet metadata.
 PRINTED_PAGE = r"(?iU)^(?:Part\s+\d+\s*\|\s*)?P\s*a\s*g\s*e\s+([\w.-]+)$"
-PRINTED_PAGE_LINES = 8
+PRINTED_PAGE_LINES = 8  # where a label may stand at most, if a caller asks for a bound
+DEEPEST_HEADING = 12
 NUMBERED_SECTION = r"^(\d+(?:\.\d+){1,4})\s+(.+)$"
 SHEET_PATTERNS = {
     "tariff_rule_sheet": r"(?i)\bRule\s+21\s+Sheet\s+(\d+)\b",
@@ -99,7 +100,7 @@ SHEET_PATTERNS = {
     "tariff_advice_letter": r"(?i)\bAdvice\s+(\d+(?:-[A-Z])?)\b",
 }
 SUPERSEDED_SHEET = r"(?i)Cancelling\s+Revised\s+Cal\.\s+PUC\s+Sheet\s+No\.\s*([0-9A-Z\-]+)"
-SUPERSEDED_BYTES = 200_000
+SUPERSEDED_BYTES = 200_000  # what is searched at most, if a caller asks for a bound
 CONTENTS_MARK = "A. TABLE OF CONTENTS"
 NEVER_HEADINGS = ("(Continued)", "A. TABLE OF CONTENTS", "A. TABLE OF CONTENTS (Continued)")
 ADMIN_PATTERNS = (r"^\([A-Z]\)$", r"^\|$", r"(?i)^\d+C\d+\s+Resolution\b")

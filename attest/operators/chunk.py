@@ -16,8 +16,9 @@ Documents that fit one segment, nearly all, skip the first two steps.
 """
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -60,24 +61,19 @@ def next_start(i: int, heading, table, path, tokens, soft: int, hard: int, end:
 
 
 def split_parts(start: int, stop: int, tokens, limits: C.ChunkLimits) -> list[list[int]]:
-    """C-05: parts of one chunk above the hard limit; each new part carries trailing blocks over."""
-    if sum(tokens[start:stop]) <= limits.hard:
-        return [list(range(start, stop))]
-    parts, current, total = [], [], 0
-    for i in range(start, stop):
-        size = tokens[i]
-        if current and total + size > limits.hard:
-            parts.append(current)
-            carry, carried = [current[-1]], tokens[current[-1]]
-            for prior in reversed(current[:-1]):
-                if carried + tokens[prior] > limits.overlap:
-                    break
-                carry.insert(0, prior)
-                carried += tokens[prior]
-            current, total = carry, carried
-        current.append(i)
-        total += size
-    parts.append(current)
+    """C-05: parts of one chunk above the hard limit.
+
+    With running token sums both bounds of a part are positions found by bisection: it ends where the sum since its
+    first block passes the hard limit, but after one new block at least, and the next one begins as far back as the
+    overlap reaches, but with one old block at least.
+    """
+    sums = list(accumulate(tokens[start:stop], initial=0))
+    n, first, end, parts = stop - start, 0, 0, []
+    while end < n:
+        fits = bisect_right(sums, sums[first] + limits.hard) - 1
+        end = min(n, max(end + 1, fits))
+        parts.append(list(range(start + first, start + end)))
+        first = max(first, min(end - 1, bisect_left(sums, sums[end] - limits.overlap)))
     return parts
 
 

@@ -6,10 +6,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .ordered import SEGMENT, heading_stack, segment_of
+from .ordered import SEGMENT, heading_stack, scan
 
 # Tags that carry content, tags that are dropped, class names of the main part.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -19,8 +19,6 @@ MAIN_CLASSES = ("c-main", "main-content", "page-content", "content")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ACCORDION_LEVEL = 3
 
-ELEMENT = "page_id long, seq int, block_type string, heading_level int, text string"
-
 
 class Node:
     __slots__ = ("tag", "attrs", "children")
@@ -71,45 +69,76 @@ class Tree(HTMLParser):
         self.open[-1].children.append(Comment(data))
 
 
-def squash(text: str) -> str:
-    return " ".join(text.split())
-
-
-def own_text(node: Node) -> str:
-    """Text pieces without comments, each trimmed."""
-    return squash(" ".join(s for s in node.walk() if isinstance(s, str) and not isinstance(s, Comment)))
+PIECE = "struct<row: int, cell: int, text: string, address: string, inside: int, comment: boolean>"
+ELEMENT = f"page_id long, seq int, block_type string, heading_level int, pieces array<{PIECE}>"
 
 
-def inline_text(node: Node, base: str) -> str:
-    """X-04: all text, with ``[label](address)`` put before the text of each link."""
-    parts = []
-    for item in node.walk():
-        if isinstance(item, str):
-            parts.append(item)
-        elif item.tag == "a":
-            label, href = own_text(item), item.attrs.get("href")
-            if label and href:
-                try:
-                    parts.append(f"[{label}]({urljoin(base, href)})")
-                except ValueError:
-                    parts.append(f"[{label}]({href})")
-    return squash(" ".join(parts))
+def pieces(node: Node, base: str, row: int = -1, cell: int = -1) -> list[dict]:
+    """The text events of a subtree, in document order; a link comes before its text and says how many events it holds."""
+    out: list[dict] = []
+    todo: list = [*reversed(node.children)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, dict):  # a link whose subtree is over
+            item["inside"] = len(out) - item.pop("at")
+        elif isinstance(item, str):
+            out.append({"row": row, "cell": cell, "text": str(item), "address": None, "inside": 0, "comment": isinstance(item, Comment)})
+        else:
+            if item.tag == "a" and item.attrs.get("href"):
+                link = {"row": row, "cell": cell, "text": None, "address": resolved(base, item.attrs["href"]), "inside": 0, "comment": False}
+                out.append(link)
+                link["at"] = len(out)
+                todo.append(link)
+            todo += reversed(item.children)
+    return out
+
+
+def resolved(base: str, address: str) -> str:
+    try:
+        return urljoin(base, address)
+    except ValueError:
+        return address
+
+
+def table_pieces(node: Node, base: str) -> list[dict]:
+    """Events of a table by row and cell; of a table without cells, its plain text."""
+    rows = [[c for c in item.children if isinstance(c, Node) and c.tag in ("th", "td")]
+            for item in node.walk() if isinstance(item, Node) and item.tag == "tr"]
+    out: list[dict] = []
+    for r, cells in enumerate(filter(None, rows)):
+        for c, cell in enumerate(cells):
+            # A cell without any text is a cell, too.
+            out += pieces(cell, base, r, c) or [{"row": r, "cell": c, "text": "", "address": None, "inside": 0, "comment": False}]
+    return out or [p for p in pieces(node, base) if p["address"] is None and not p["comment"]]
+
+
+def plain_text(found: Column) -> Column:
+    """Text events without comments and links."""
+    kept = F.filter(found, lambda p: p["address"].isNull() & ~p["comment"])
+    return X.collapse(F.array_join(F.transform(kept, lambda p: p["text"]), " "))
+
+
+def inline_text(found: Column) -> Column:
+    """X-04: all text events, each link as ``[label](address)`` before its own text; links without a label are left out."""
+    def shown(p: Column, i: Column) -> Column:
+        label = plain_text(F.slice(found, i + 2, p["inside"]))
+        return F.when(p["address"].isNull(), p["text"]).when(label != "", F.concat(F.lit("["), label, F.lit("]("), p["address"], F.lit(")")))
+
+    return X.collapse(F.array_join(F.transform(found, shown), " "))
+
+
+def table_text(found: Column) -> Column:
+    """X-05: a table as Markdown, short rows padded."""
+    last = F.array_max(F.transform(found, lambda p: p["row"]))
+    width = F.array_max(F.transform(found, lambda p: p["cell"])) + 1
 
+    def line(r: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(0), width - 1), lambda c: inline_text(F.filter(found, lambda p: (p["row"] == r) & (p["cell"] == c))))
+        return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-def table_text(node: Node, base: str) -> str:
-    """X-05: a table as Markdown, short rows padded."""
-    rows = []
-    for item in node.walk():
-        if isinstance(item, Node) and item.tag == "tr":
-            cells = [inline_text(c, base) for c in item.children if isinstance(c, Node) and c.tag in ("th", "td")]
-            if cells:
-                rows.append(cells)
-    if not rows:
-        return own_text(node)
-    width = max(map(len, rows))
-    rows = [r + [""] * (width - len(r)) for r in rows]
-    rows.insert(1, ["---"] * width)
-    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    body = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), line)).otherwise(F.array().cast("array<string>"))
+    return F.when(last < 0, plain_text(found)).otherwise(F.array_join(F.concat(F.array(line(F.lit(0)), rule), body), "\n"))
 
 
 def main_part(root: Node) -> Node:
@@ -125,8 +154,8 @@ def main_part(root: Node) -> Node:
     return root
 
 
-def elements(html: str, base: str) -> Iterator[tuple[str, int | None, str]]:
-    """X-02, X-03, X-06: (block type, heading level, text) in document order."""
+def elements(html: str, base: str) -> Iterator[tuple[str, int | None, list[dict]]]:
+    """X-02, X-03, X-06: (block type, heading level, text events) in document order."""
     tree = Tree()
     tree.feed(html)
     tree.close()
@@ -139,17 +168,14 @@ def elements(html: str, base: str) -> Iterator[tuple[str, int | None, str]]:
         node, nested = todo.pop()
         content = node.tag in CONTENT
         if content and (node.tag == "li" or not nested):
-            accordion = node.tag == "button" and "accordion" in node.attrs.get("class", "").lower()
-            if node.tag in HEADINGS or accordion:
-                title = own_text(node)
-                if title:
-                    yield "heading", int(node.tag[1]) if node.tag in HEADINGS else ACCORDION_LEVEL, title
+            if node.tag in HEADINGS:
+                yield "heading", int(node.tag[1]), pieces(node, base)
+            elif node.tag == "button" and "accordion" in node.attrs.get("class", "").lower():
+                yield "heading", ACCORDION_LEVEL, pieces(node, base)
             elif node.tag == "table":
-                yield "table", None, table_text(node, base)
-            elif node.tag == "li":
-                yield "list_item", None, "- " + inline_text(node, base)
-            elif node.tag == "p":
-                yield "paragraph", None, inline_text(node, base)
+                yield "table", None, table_pieces(node, base)
+            elif node.tag in ("li", "p"):
+                yield "list_item" if node.tag == "li" else "paragraph", None, pieces(node, base)
         todo.extend((c, nested or content) for c in reversed(node.children) if isinstance(c, Node))
 
 
@@ -161,20 +187,29 @@ def prune(node: Node) -> None:
         todo.extend(c for c in n.children if isinstance(c, Node))
 
 
-def page_elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def page_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pages in batches:
         for page_id, url, html in zip(pages["page_id"], pages["url"], pages["html"]):
-            found = [e for e in elements(html or "", url or "") if e[2]]
+            found = list(elements(html or "", url or ""))
             if found:
-                kinds, levels, texts = zip(*found)
+                kinds, levels, events = zip(*found)
                 yield pd.DataFrame({
                     "page_id": page_id, "seq": range(1, len(found) + 1), "block_type": kinds,
-                    "heading_level": pd.array(levels, dtype="Int32"), "text": texts})
+                    "heading_level": pd.array(levels, dtype="Int32"), "pieces": events})
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) to elements; the parser is the only Python step."""
-    return pages.select("page_id", "url", "html").mapInPandas(page_elements, ELEMENT)
+    """Pages (page_id, url, html) to elements; the event parser is the only Python step, texts are built from its events.
+
+    Elements without text are left out; the others are numbered from 1 in document order.
+    """
+    found = pages.select("page_id", "url", "html").mapInPandas(page_events, ELEMENT)
+    events, kind = F.col("pieces"), F.col("block_type")
+    text = F.when(kind == "heading", plain_text(events)).when(kind == "table", table_text(events)) \
+        .when(kind == "list_item", F.concat(F.lit("- "), inline_text(events))).otherwise(inline_text(events))
+    rows = found.select("page_id", "seq", "block_type", "heading_level", text.alias("text")).where("text <> ''")
+    numbered = scan(rows.withColumn(SEGMENT, F.lit(0).cast("long")), ["page_id"], SEGMENT, ["seq"], sums={"__n": F.lit(1)}, one_segment=True)
+    return numbered.select("page_id", F.col("__n").cast("int").alias("seq"), "block_type", "heading_level", "text")
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
@@ -195,12 +230,7 @@ def structured_html(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return blocks.groupBy(key).agg(X.ordered_text(piece, F.col("seq"), "\n\n").alias("structured_text"))
 
 
-def structured_pages(pages: DataFrame, pages_per_part: int = 4096) -> DataFrame:
-    """X-08 for numbered pages: the pages of a document under their markers.
-
-    A document of more pages than one part comes as several rows, in part order,
-    so that no text grows without bound.
-    """
+def structured_pages(pages: DataFrame) -> DataFrame:
+    """X-08 for numbered pages: one text per document, its pages under their markers."""
     piece = F.concat(F.lit("--- PAGE "), F.col("page_number"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
-    part = segment_of(F.col("page_number"), pages_per_part).alias("part")
-    return pages.groupBy("document_id", part).agg(X.ordered_text(piece, F.col("page_number"), "\n\n").alias("structured_text"))
+    return pages.groupBy("document_id").agg(X.ordered_text(piece, F.col("page_number"), "\n\n").alias("structured_text"))

@@ -61,12 +61,13 @@ def model_scorer(factory: Callable[[], Callable[[list[tuple[str, str]]], Sequenc
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, rank: str, scorer=overlap_scorer,
-           k: int = C.FINAL_K, limit: int = C.CANDIDATES, characters: int | None = C.RERANK_CHARACTERS,
+           k: int = C.FINAL_K, limit: int = C.CANDIDATES, characters: int | None = None,
            by: Sequence[str] = ("query_id",)) -> DataFrame:
     """T-10: score the first ``limit`` candidates against the query text, keep the best k.
 
     Ties keep the order of the first stage. Text joins only the bounded
-    candidates. ``characters=None`` scores whole texts.
+    candidates. Whole texts are scored, or their
+    first ``characters`` (C.RERANK_CHARACTERS is a usual bound).
     """
     require_positive(k=k, limit=limit)
     if characters is not None:
@@ -84,7 +85,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, rank: s
 
 def variants(lexical: DataFrame, vector: DataFrame, queries: DataFrame, chunks: DataFrame,
              alphas: Sequence[float] = C.ALPHAS, scorer=overlap_scorer, k: int = C.FINAL_K, limit: int = C.CANDIDATES,
-             characters: int | None = C.RERANK_CHARACTERS, names: Sequence[str] = C.RETRIEVERS) -> DataFrame:
+             characters: int | None = None, names: Sequence[str] = C.RETRIEVERS) -> DataFrame:
     """T-11 .. T-13: the named variants over shared candidates: query_id, chunk_id, rank, retriever, alpha.
 
     Only fused rows depend on alpha; the others carry a null and are fanned out by the grid.

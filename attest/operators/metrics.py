@@ -50,8 +50,8 @@ def source_description(source_id: Column, known: Sequence[tuple[str, str]], othe
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
-def benchmark_records(questions: DataFrame, chunks: DataFrame, characters: int | None = 800) -> DataFrame:
-    """V-02: query id, gold metadata and the evidence shown to the question writer.
+def benchmark_records(questions: DataFrame, chunks: DataFrame, characters: int | None = None) -> DataFrame:
+    """V-02: query id, gold metadata and the evidence shown to the question writer, whole or its first ``characters``.
 
     ``questions``: chunk_id, query_text, query_type.
     """

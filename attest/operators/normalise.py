@@ -29,6 +29,17 @@ def _per_source(rules: Rules, build, otherwise: Column) -> Column:
     return otherwise if out is None else out.otherwise(otherwise)
 
 
+def at_start(pattern: str) -> str:
+    """A user's heading pattern holds from the start of the line on."""
+    return rf"(?iu)\A(?:{pattern})"
+
+
+def titled(c: Column) -> Column:
+    """Every letter behind a character that is no letter as a capital, the others small."""
+    parts = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30)))), "")
+
+
 def any_match(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
@@ -49,15 +60,15 @@ def numbered_heading(line: Column, rule: C.PageRules) -> Column:
     cases: list[tuple[Column, Column]] = []
     capitals = (F.upper(line) == line) & (F.lower(line) != line)
     for p in rule.part_patterns:
-        pattern = "(?iu)" + p
+        pattern = at_start(p)
         part = _group(line, pattern) if re.compile(p).groups else line
-        title = F.when(capitals, F.initcap(line)).otherwise(line)
+        title = F.when(capitals, titled(line)).otherwise(line)
         cases.append((line.rlike(pattern), _heading(F.lit(1), title, F.concat(F.lit("part_"), part))))
     for p in rule.section_patterns:
-        pattern = "(?iu)" + p
+        pattern = at_start(p)
         hid = _group(line, pattern) if re.compile(p).groups else F.lit(None)
         cases.append((line.rlike(pattern), _heading(F.lit(2), line, hid)))
-    for p in [*("(?iu)" + p for p in rule.clause_patterns), C.NUMBERED_SECTION]:
+    for p in [*map(at_start, rule.clause_patterns), C.NUMBERED_SECTION]:
         hid = _group(line, p)
         dots = F.length(hid) - F.length(F.replace(hid, F.lit("."), F.lit("")))
         cases.append((line.rlike(p), _heading(dots + 3, line, hid)))
@@ -114,12 +125,13 @@ def sheet_metadata(page_text: Column) -> Column:
 
 
 def page_lines(pages: DataFrame, rules: Rules, default: C.PageRules = C.PageRules(),
-               pages_per_segment: int = PAGES_PER_SEGMENT) -> DataFrame:
+               pages_per_segment: int = PAGES_PER_SEGMENT, label_lines: int | None = None) -> DataFrame:
     """N-06 .. N-12, N-18 .. N-20: one classified line per row.
 
     ``pages``: document_id, source_id, source_hash, page_number, text. The line
     kind is one of blank, boilerplate, label, heading, text. Everything here is
-    a narrow transformation of the page row.
+    a narrow transformation of the page row. A printed label is looked for in all lines of the
+    page, or in the first ``label_lines``.
     """
     skipped = _per_source(
         rules, lambda r: F.col("page_number").isin(*r.skip_pages) if r.skip_pages else F.lit(False),
@@ -128,7 +140,7 @@ def page_lines(pages: DataFrame, rules: Rules, default: C.PageRules = C.PageRule
     lettered = _per_source(rules, lambda r: F.lit(r.lettered), F.lit(default.lettered))
     # Page-level values are computed in a step of their own, before the explode, so
     # that they are evaluated once per page rather than once per line.
-    label = F.filter(F.transform(F.slice("lines", 1, C.PRINTED_PAGE_LINES), X.collapse), lambda s: s.rlike(C.PRINTED_PAGE))
+    label = F.filter(F.transform(F.slice("lines", 1, label_lines) if label_lines else F.col("lines"), X.collapse), lambda s: s.rlike(C.PRINTED_PAGE))
     kept = kept.select(
         "document_id", "source_id", "source_hash", "page_number",
         segment_of(F.col("page_number"), pages_per_segment).alias(SEGMENT),
@@ -209,13 +221,13 @@ def assemble(lines: DataFrame, keep: tuple[str, ...] = ("source_id", "source_has
     ).drop("__island")
 
 
-def page_blocks(lines: DataFrame) -> DataFrame:
-    """N-05, N-13 .. N-17, N-21, N-22: classified lines to finished blocks."""
+def page_blocks(lines: DataFrame, max_level: int = C.DEEPEST_HEADING) -> DataFrame:
+    """N-05, N-13 .. N-17, N-21, N-22: classified lines to finished blocks. Deeper headings than declared are an error."""
     raw = assemble(lines).withColumn("level", F.col("found.level"))
     is_heading = F.col("found").isNotNull()
     with_path = heading_stack(
         raw, ["document_id"], SEGMENT, ["page_number", "line_no"], "level", F.col("found.heading"), F.col("found.id"),
-        sums={"ordinal": F.lit(1)},
+        sums={"ordinal": F.lit(1)}, max_level=max_level,
     )
     numeric = F.transform(
         F.filter(F.col("heading_path"), lambda h: h.rlike(r"^\d+(?:\.\d+)+")), lambda h: F.split(h, " ")[0])

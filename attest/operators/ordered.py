@@ -106,7 +106,8 @@ def heading_stack(
     level: str,
     heading: Column,
     heading_id: Column | None = None,
-    max_level: int = 7,
+    *,
+    max_level: int,
     sums: Mapping[str, Column] | None = None,
     one_segment: bool = False,
 ) -> DataFrame:
@@ -115,10 +116,13 @@ def heading_stack(
     A heading of level L closes every heading of level L or deeper. Level k is
     open exactly when its latest heading comes after the latest heading of
     every higher level, so running maxima of positions are all that is needed.
+    ``max_level`` declares the deepest level; a deeper heading is an error.
     """
     place = F.struct(F.col(segment), *[F.col(c) for c in order])
     hid = heading_id if heading_id is not None else F.lit(None).cast("string")
     levels = range(1, max_level + 1)
+    deep = F.raise_error(F.concat(F.lit(f"a heading is deeper than the declared level {max_level}: "), F.col(level).cast("string")))
+    df = df.withColumn(level, F.when(F.col(level) > max_level, deep.cast("int")).otherwise(F.col(level)))
     latest = {
         f"__h{k}": F.when(F.col(level) == k, F.struct(place.alias("p"), heading.alias("h"), hid.alias("i")))
         for k in levels

@@ -104,9 +104,9 @@ def review_queue(sources: DataFrame) -> DataFrame:
         F.col("id").alias("document_id"), "manual_review.review_type", "manual_review.reason")
 
 
-def superseded_sheet(content: Column) -> Column:
-    """R-11: over the start of the file, as the sheet is named on its first page."""
-    text = F.decode(F.substring(content, 1, C.SUPERSEDED_BYTES), "ISO-8859-1")
+def superseded_sheet(content: Column, first_bytes: int | None = None) -> Column:
+    """R-11: over the whole file, or over its first bytes, as the sheet is named on the first page."""
+    text = F.decode(F.substring(content, 1, first_bytes) if first_bytes else content, "ISO-8859-1")
     return F.nullif(F.regexp_extract(text, C.SUPERSEDED_SHEET, 1), F.lit(""))
 
 

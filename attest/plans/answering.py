@@ -10,7 +10,7 @@ from ..sources.writers import upsert
 
 
 def vector_reranked(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer=hybrid.overlap_scorer, k: int = C.FINAL_K,
-                    limit: int = C.CANDIDATES, characters: int | None = C.RERANK_CHARACTERS) -> DataFrame:
+                    limit: int = C.CANDIDATES, characters: int | None = None) -> DataFrame:
     """T-11. ``queries``: query_id, query_text, embedding."""
     near = vector_search.vector_topk(queries, vectors, limit)
     return hybrid.rerank(near, queries, chunks, "vector_rank", scorer, k, limit, characters)
@@ -18,14 +18,14 @@ def vector_reranked(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, s
 
 def hybrid_reranked(queries: DataFrame, lexical: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer=hybrid.overlap_scorer,
                     alpha: float = C.HYBRID_ALPHA, k: int = C.FINAL_K, limit: int = C.CANDIDATES,
-                    characters: int | None = C.RERANK_CHARACTERS) -> DataFrame:
+                    characters: int | None = None) -> DataFrame:
     """T-12."""
     fused = hybrid.rrf(lexical, vector_search.vector_topk(queries, vectors, limit), (alpha,), limit)
     return hybrid.rerank(fused, queries, chunks, "hybrid_rank", scorer, k, limit, characters)
 
 
 def answer_batch(questions: DataFrame, cache: DataFrame, vectors: DataFrame, chunks: DataFrame, embedder, generator=None,
-                 prompt_version: str = "v3_few_shot_grounded_rag", k: int = C.FINAL_K, characters: int | None = C.RERANK_CHARACTERS,
+                 prompt_version: str = "v3_few_shot_grounded_rag", k: int = C.FINAL_K, characters: int | None = None,
                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cached answers, new answers, rejected blank questions). ``questions``: query_id, query_text.
 

@@ -23,10 +23,12 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where it is unset (tests)."""
+    """The shared folder the cluster names; a local one only on a local master where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="attest-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,14 +1,15 @@
 """Writers, keyed upserts, checked appends and ledgers (S-04 .. S-10)."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import config as C
 from ..functions import text as X
 from ..operators.topk import last_wins
+from ..session import materialise
 
 
 class StageFailed(RuntimeError):
@@ -30,10 +31,11 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequ
     """S-06 .. S-08: replace the rows of incoming keys, keep all others.
 
     ``keep`` columns stay as they were for keys already present; ``refresh`` is
-    stamped on incoming rows; ``order`` picks the last incoming row per key.
+    stamped on incoming rows; ``order`` picks the last incoming row per key. Without
+    an order a key that comes twice is an error.
     """
     keys = list(keys)
-    new = last_wins(incoming, keys, [order]) if order else incoming
+    new = last_wins(incoming, keys, [order]) if order else _single(incoming, keys)
     if refresh:
         new = new.withColumn(refresh, F.current_timestamp())
     new = new.select(*[c for c in base.columns])
@@ -44,45 +46,40 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequ
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-class VersionedTable:
-    """A table kept as immutable versions with a pointer row to the current one.
+def _single(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows, or an error where a key repeats."""
+    others = [c for c in rows.columns if c not in keys]
+    found = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(F.lit(0).alias("__0"), *others)).alias("__row"))
+    repeated = F.raise_error(F.concat(F.lit("an incoming key repeats and no order is given: "), F.to_json(F.struct(*keys))))
+    checked = found.withColumn("__n", F.when(F.col("__n") > 1, repeated.cast("long")).otherwise(F.col("__n"))).where("__n = 1")
+    return checked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in rows.columns])
 
-    Readers resolve the pointer once; a write adds a version and then one pointer
-    row, so a failed or repeated write never shows half a table.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self) -> DataFrame:
-        return self.spark.read.schema("version long, name string").json(f"{self.path}/pointer")
 
-    def current(self) -> tuple[int, str] | None:
-        if not _exists(self.spark, f"{self.path}/pointer"):
-            return None
-        row = self._pointer().orderBy(F.desc("version")).first()
-        return (row["version"], row["name"]) if row else None
+BUCKET = "key_bucket"
 
-    def read(self) -> DataFrame:
-        now = self.current()
-        if now is None:
-            raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{now[1]}")
 
-    def write(self, df: DataFrame) -> None:
-        now = self.current()
-        number = now[0] + 1 if now else 1
-        name = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(number, name)], "version long, name string").write.mode("append").json(f"{self.path}/pointer")
+def upsert_buckets(path: str, incoming: DataFrame, keys: Sequence[str], order: str, buckets: int = 64, **options) -> None:
+    """S-06 .. S-08 on Parquet partitioned by a hash of the key: only buckets with incoming keys are rewritten.
 
-    def upsert(self, incoming: DataFrame, keys: Sequence[str], **options) -> None:
-        self.write(incoming if self.current() is None else upsert(self.read(), incoming, keys, **options))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    The new buckets are written out before any old one is replaced, and running the same batch again gives the same
+    table, so a failed write is mended by another run. One writer at a time.
+    """
+    spark = incoming.sparkSession
+    rows = incoming.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    try:
+        base = spark.read.schema(rows.schema).parquet(path)
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most `buckets`
+        base = base.where(F.col(BUCKET).isin(touched)) if touched else base.limit(0)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        base = spark.createDataFrame([], rows.schema)
+    fresh = materialise(upsert(base, rows, keys, order=order, **options), "touched-buckets")
+    fresh.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 # --- checked appends --------------------------------------------------------------------------

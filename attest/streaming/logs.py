@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.writers import VersionedTable
+from ..sources.writers import upsert_buckets
 
 
 def daily_status(log: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -25,9 +25,9 @@ def read_increments(spark: SparkSession, path: str, schema: T.StructType, fmt: s
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
 
 
-def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint: str, order: str | None = None,
+def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint: str, order: str,
                     at: str | None = None, late: str = "1 hour") -> StreamingQuery:
-    """W-02: each batch of new files is upserted into a versioned table.
+    """W-02: each batch of new files is upserted into a table bucketed by key; ``order`` picks the last row of a key.
 
     With an event time, equal rows within the watermark are dropped first; a new
     row for a known key always goes through. A batch that is run again replaces
@@ -38,7 +38,7 @@ def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            VersionedTable(batch.sparkSession, table).upsert(batch, keys, order=order)
+            upsert_buckets(table, batch, keys, order)
 
     return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -72,20 +72,35 @@ def test_html_duplicates_collapse_once(spark):
     assert (s.input_blocks, s.output_blocks, s.adjacent_duplicates_suppressed) == (7, 3, 2)
 
 
-def test_html_elements():
+def _elements(spark, page, base=""):
+    df = spark.createDataFrame([(1, base, page)], "page_id long, url string, html string")
+    return [(r.block_type, r.heading_level, r.text) for r in html.html_elements(df).orderBy("seq").collect()]
+
+
+def test_html_elements(spark):
     page = """<body><nav><p>menu</p></nav><main><h2>T <b>x</b></h2><p>see <a href="/a">the <i>page</i></a> now<!-- c --></p>
       <ul><li>one<ul><li>inner</li></ul></li></ul><button class="Accordion-b">More</button><button>no</button>
       <table><tr><th>a</th><th>b</th></tr><tr><td>1</td></tr></table><h3> </h3><form><p>f</p></form></main><p>outside</p></body>"""
-    assert list(html.elements(page, "http://h.example/d/")) == [
+    assert _elements(spark, page, "http://h.example/d/") == [
         ("heading", 2, "T x"), ("paragraph", None, "see [the page](http://h.example/a) the page now c"),
         ("list_item", None, "- one inner"), ("list_item", None, "- inner"), ("heading", 3, "More"),
         ("table", None, "| a | b |\n| --- | --- |\n| 1 |  |")]
 
 
-def test_html_main_part_by_role_and_class():
-    assert [t for _, _, t in html.elements('<div role="main"><p>a</p></div><p>b</p>', "")] == ["a"]
-    assert [t for _, _, t in html.elements('<div class="x page-content-y"><p>a</p></div><p>b</p>', "")] == ["a"]
-    assert [t for _, _, t in html.elements("<p>a</p><p>b</p>", "")] == ["a", "b"]
+def test_html_links_and_tables(spark):
+    assert _elements(spark, '<p><a href="x"> </a><a>plain</a> <a href="http://[">bad</a></p>', "http://h/") == [
+        ("paragraph", None, "plain [bad](http://[) bad")]
+    assert _elements(spark, '<p>a<a href="/1">b<a href="/2">c</a></a>d</p>', "http://h") == [
+        ("paragraph", None, "a [b c](http://h/1) b [c](http://h/2) c d")]
+    assert _elements(spark, "<table>only <b>text</b><!-- no --></table>") == [("table", None, "only text")]
+    assert _elements(spark, '<table><tr></tr><tr><td></td><td><a href="#k">k</a></td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>') == [
+        ("table", None, "|  | [k](#k) k |  |\n| --- | --- | --- |\n| 1 | 2 | 3 |")]
+
+
+def test_html_main_part_by_role_and_class(spark):
+    assert [t for _, _, t in _elements(spark, '<div role="main"><p>a</p></div><p>b</p>')] == ["a"]
+    assert [t for _, _, t in _elements(spark, '<div class="x page-content-y"><p>a</p></div><p>b</p>')] == ["a"]
+    assert [t for _, _, t in _elements(spark, "<p>a</p><p>b</p>")] == ["a", "b"]
 
 
 def test_html_paths_in_spark(spark):
@@ -124,51 +139,30 @@ def test_block_gate(spark):
 # --- chunks -----------------------------------------------------------------------------------
 
 
-def _sequential(blocks, soft, hard, overlap):
-    """The rules as one loop over the blocks of a document: (type, path, tokens) -> lists of positions."""
-    groups, cur = [], []
-
+def _check_chunk_rules(blocks, chunks, soft, hard, overlap):
+    """What must hold of the chunks (lists of positions) of one document: (type, path, tokens) of its blocks."""
     def size(g):
         return sum(blocks[i][2] for i in g)
 
-    for i, (kind, path, n) in enumerate(blocks):
-        only_headings = bool(cur) and all(blocks[j][0] == "heading" for j in cur)
-        sibling = bool(cur) and kind == "heading" and path != blocks[cur[0]][1] and not only_headings
-        if sibling or (cur and size(cur) + n > soft):
-            groups.append(cur)
-            cur = []
-        if kind == "table":
-            if cur and size(cur) + n <= hard:
-                groups.append(cur + [i])
-            else:
-                groups += ([cur] if cur else []) + [[i]]
-            cur = []
-            continue
-        cur = cur + [i]
-    if cur:
-        groups.append(cur)
-    out = []
-    for g in groups:
-        if size(g) <= hard:
-            out.append(g)
-            continue
-        part = []
-        for i in g:
-            if part and size(part) + blocks[i][2] > hard:
-                out.append(part)
-                carry = [part[-1]]
-                for j in reversed(part[:-1]):
-                    if size(carry) + blocks[j][2] > overlap:
-                        break
-                    carry.insert(0, j)
-                part = carry
-            part = part + [i]
-        out.append(part)
-    return out
+    assert all(g == list(range(g[0], g[-1] + 1)) for g in chunks)
+    assert chunks[0][0] == 0 and chunks[-1][-1] == len(blocks) - 1
+    for before, after in zip(chunks, chunks[1:]):
+        old = [i for i in after if i <= before[-1]]
+        assert after[0] <= before[-1] + 1 and after[-1] > before[-1]
+        if old:  # a part of a chunk above the hard limit: it holds what the overlap allows, one block at least
+            assert len(old) == 1 or size(old) <= overlap
+            assert old[0] == before[0] or len(old) == len(before) or size([old[0] - 1, *old]) > overlap
+            assert size([*before, before[-1] + 1]) > hard
+    for g in chunks:
+        assert size(g) <= hard or len([i for i in g if not any(i in o for o in chunks if o[0] < g[0])]) == 1 or size(g) <= soft
+        for i in g[1:]:  # a heading of another path does not go on a chunk that has text
+            if blocks[i][0] == "heading" and blocks[i][1] != blocks[g[0]][1]:
+                assert all(blocks[j][0] == "heading" for j in g[: i - g[0]])
+        assert all(blocks[i][0] != "table" for i in g[:-1])  # a table closes its chunk
 
 
 @pytest.mark.parametrize("soft,hard,overlap,seed", [(15, 30, 5, 1), (15, 30, 5, 2), (40, 20, 8, 3), (12, 12, 3, 4)])
-def test_chunks_equal_the_sequential_rules(spark, soft, hard, overlap, seed):
+def test_chunks_keep_the_rules(spark, soft, hard, overlap, seed):
     rng = random.Random(seed)
     docs = {}
     for d, length in (("long", 900), ("short", 20), ("one", 1), ("plain", 400)):
@@ -179,13 +173,32 @@ def test_chunks_equal_the_sequential_rules(spark, soft, hard, overlap, seed):
         docs[d] = rows
     data = [(d, i, k, p, " ".join(["w"] * n)) for d, rows in docs.items() for i, (k, p, n) in enumerate(rows, 1)]
     df = spark.createDataFrame(data, "document_id string, ordinal long, block_type string, heading_path array<string>, text string")
-    members = chunk.chunk_members(df, C.ChunkLimits(soft, hard, overlap), blocks_per_segment=1)
-    got = {}
-    for r in members.collect():
-        got.setdefault(r.document_id, {}).setdefault(r.chunk_ordinal, []).append(r.ordinal - 1)
+
+    def of(blocks_per_segment):
+        got = {}
+        for r in chunk.chunk_members(df, C.ChunkLimits(soft, hard, overlap), blocks_per_segment=blocks_per_segment).collect():
+            got.setdefault(r.document_id, {}).setdefault(r.chunk_ordinal, []).append(r.ordinal - 1)
+        return {d: [sorted(got[d][k]) for k in sorted(got[d])] for d in got}
+
+    pieces, whole = of(1), of(8192)
+    assert pieces == whole  # where a document is cut into segments does not matter
     for d, rows in docs.items():
-        expected = _sequential(rows, soft, hard, overlap)
-        assert [sorted(got[d][k]) for k in sorted(got[d])] == expected
+        if hard >= soft:
+            _check_chunk_rules(rows, whole[d], soft, hard, overlap)
+    if d == "plain" and hard >= soft:
+        assert all(sum(rows[i][2] for i in g) <= soft or len(g) == 1 for g in whole["plain"])
+
+
+@pytest.mark.parametrize("sizes,hard,overlap,parts", [
+    ([4, 4, 4], 20, 5, [[0, 1, 2]]),  # fits
+    ([6, 6, 6, 6], 13, 6, [[0, 1], [1, 2], [2, 3]]),  # one block is carried over
+    ([3, 3, 3, 3, 3], 9, 6, [[0, 1, 2], [1, 2, 3], [2, 3, 4]]),  # two are
+    ([9, 9, 2], 10, 1, [[0], [0, 1], [1, 2]]),  # the last block is carried even above the overlap, and one is new
+    ([50, 1, 1], 10, 5, [[0], [0, 1], [1, 2]]),
+])
+def test_parts_of_a_large_chunk(sizes, hard, overlap, parts):
+    got = chunk.split_parts(7, 7 + len(sizes), [0] * 7 + sizes, C.ChunkLimits(0, hard, overlap))
+    assert got == [[i + 7 for i in g] for g in parts]
 
 
 def _chunk_blocks(spark, texts, kinds=None):

@@ -78,10 +78,30 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
     rows = {tuple(r) for r in once.collect()}
     assert rows == {(1, "a", "id1"), (2, "B", "id2"), (3, "c", "id3")}
     assert {tuple(r) for r in writers.upsert(once, new, ["k"], keep=["cache_id"]).collect()} == rows
-    table = writers.VersionedTable(spark, str(tmp_path / "t"))
-    table.upsert(base, ["k"])
-    table.upsert(new, ["k"])
-    assert table.current()[0] == 2 and table.read().count() == 3
+    path = str(tmp_path / "t")
+    for rows in (base, new, new):
+        writers.upsert_buckets(path, rows, ["k"], "v", 2, keep=["cache_id"])
+    assert {tuple(r) for r in writers.read_buckets(spark, path).select("k", "v", "cache_id").collect()} == {(1, "a", "id1"), (2, "B", "id2"), (3, "c", "id3")}
+
+
+def test_repeated_keys_need_an_order(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a", None)], "k int, v string, at timestamp")
+    twice = spark.createDataFrame([(1, "b", None), (1, "c", None)], base.schema)
+    with pytest.raises(Exception, match="no order is given"):
+        writers.upsert(base, twice, ["k"]).collect()
+    assert [r.v for r in writers.upsert(base, twice, ["k"], order="v").collect()] == ["c"]
+    stamped = writers.upsert(base, twice, ["k"], order="v", refresh="at").collect()
+    assert stamped[0].at is not None
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.upsert_buckets(path, spark.range(100).selectExpr("id k", "0 v"), ["k"], "v", 16)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").glob("*/*.parquet")}
+    writers.upsert_buckets(path, spark.createDataFrame([(5, 9)], "k long, v int"), ["k"], "v", 16)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").glob("*/*.parquet")}
+    assert len(before.keys() - after.keys()) == 1 and len(before.keys() & after.keys()) == len(before) - 1
+    assert writers.read_buckets(spark, path).where("v = 9").count() == 1 and writers.read_buckets(spark, path).count() == 100
 
 
 def test_readers(spark, tmp_path):
@@ -119,9 +139,9 @@ def test_incremental_load_drops_copies_and_is_repeatable(spark, tmp_path):
     source, table, state = (str(tmp_path / n) for n in ("in", "t", "s"))
     schema = spark.createDataFrame([], "k int, v string, at timestamp").schema
     spark.sql("select 1 k, 'a' v, timestamp'2024-01-01 00:00:00' at union all select 1, 'a', timestamp'2024-01-01 00:00:00'").coalesce(1).write.json(source)
-    run = logs.load_increments(logs.read_increments(spark, source, schema), table, ["k"], state, at="at")
+    run = logs.load_increments(logs.read_increments(spark, source, schema), table, ["k"], state, "at", at="at")
     run.awaitTermination()
     spark.sql("select 1 k, 'b' v, timestamp'2024-02-01 00:00:00' at union all select 2, 'c', timestamp'2024-02-01 00:00:00'").coalesce(1).write.mode("append").json(source)
     for _ in range(2):
-        logs.load_increments(logs.read_increments(spark, source, schema), table, ["k"], state, at="at").awaitTermination()
-    assert {(r.k, r.v) for r in writers.VersionedTable(spark, table).read().collect()} == {(1, "b"), (2, "c")}
+        logs.load_increments(logs.read_increments(spark, source, schema), table, ["k"], state, "at", at="at").awaitTermination()
+    assert {(r.k, r.v) for r in writers.read_buckets(spark, table).collect()} == {(1, "b"), (2, "c")}

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from attest.functions import text as X
@@ -105,3 +106,11 @@ def test_parameter_checks(spark):
         top_k(df, ["query_id"], [F.asc("query_id")], 0)
     good, bad = split_blank(df, "query_text")
     assert [r.query_id for r in good.collect()] == [1] and bad.first().reason == "blank query"
+
+
+def test_heading_deeper_than_declared_is_an_error(spark):
+    df = spark.createDataFrame([("d", 0, i, lv, f"h{lv}") for i, lv in enumerate((1, 7, 8, 9))], "doc string, seg int, pos int, level int, h string")
+    out = ordered.heading_stack(df, ["doc"], "seg", ["pos"], "level", F.col("h"), max_level=9).orderBy("pos").collect()
+    assert [r.heading_path for r in out] == [["h1"], ["h1", "h7"], ["h1", "h7", "h8"], ["h1", "h7", "h8", "h9"]]
+    with pytest.raises(Exception, match="deeper than the declared level"):
+        ordered.heading_stack(df, ["doc"], "seg", ["pos"], "level", F.col("h"), max_level=7).collect()
