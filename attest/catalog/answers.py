@@ -22,7 +22,7 @@ scores as (
   from (select 'run' || (event_id % 6) answer_record_run_id, 'q' || (user_id * 2) question_id, event_type prompt_version,
     1 + event_id % 5 groundedness_score, 1 + (event_id // 5) % 5 relevance_score, 1 + (event_id // 7) % 5 completeness_score,
     1 + (event_id // 11) % 5 citation_quality_score, 1 + (event_id // 13) % 5 appropriate_uncertainty_score
-    from events where event_type <> 'signup'))
+    from events))
 """
 
 
@@ -36,7 +36,7 @@ def records(spark, d):
 def judge_scores(spark, d):
     e = F.col("event_id")
     fields = [(1 + F.floor(e / n) % 5).cast("int").alias(f) for n, f in zip((1, 5, 7, 11, 13), C.SCORE_FIELDS)]
-    rows = table(spark, d, "events").where("event_type <> 'signup'").select(
+    rows = table(spark, d, "events").select(
         F.concat(F.lit("run"), e % 6).alias("answer_record_run_id"), F.concat(F.lit("q"), F.col("user_id") * 2).alias("question_id"),
         F.col("event_type").alias("prompt_version"), *fields)
     return rows.withColumn("composite_score", answers.judge_composite())

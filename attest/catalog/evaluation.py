@@ -156,16 +156,31 @@ def eval_resume_pending(spark, d):
 
 @query("rewrite_grid", """
 select item_id query_id, technique, retriever, weighting, 0.5::double alpha, 'rewrite_' || technique || '_' || retriever as "name"
-from benchmark, (values ('original'), ('hyde')) t(technique), (values ('vector_rerank'), ('hybrid_rerank')) r(retriever),
+from benchmark, (values ('original'), ('hyde'), ('expanded'), ('hyde_expanded')) t(technique), (values ('vector_rerank'), ('hybrid_rerank')) r(retriever),
   (values ('equal'), ('source_heavy'), ('section_heavy'), ('page_heavy'), ('authority_heavy')) w(weighting)
-where technique = 'original' or item_id % 2 = 0""")
+where (technique in ('original', 'expanded') or item_id % 2 = 0) and (technique in ('original', 'hyde') or item_id % 3 <> 0)""")
 def rewrite_grid(spark, d):
     from ..operators.hybrid import rewrite_variants
 
-    rows = benchmark_queries(spark, d).withColumn("hyde", F.when(F.col("query_id") % 2 == 0, "passage")).withColumn(
-        "expanded", F.lit(None).cast("string"))
-    cells = rewrite_variants(rows).where(F.col("technique").isin("original", "hyde"))
-    return grid.rewrite_grid(cells)
+    n = F.col("query_id")
+    rows = benchmark_queries(spark, d).withColumn("hyde", F.when(n % 2 == 0, F.concat(F.lit("a passage on "), "query_text"))).withColumn(
+        "expanded", F.when(n % 3 != 0, F.concat_ws(" ", "query_text", F.lit("more terms"))))
+    return grid.rewrite_grid(rewrite_variants(rows))
+
+
+@query("rewrite_texts", """
+with v as (select item_id query_id, text, case when item_id % 2 = 0 then 'a passage on ' || text end hyde, case when item_id % 3 <> 0 then text || ' more terms' end expanded from benchmark)
+select query_id, technique, q query_text from (
+  select query_id, 'original' technique, text q from v union all select query_id, 'hyde', hyde from v union all select query_id, 'expanded', expanded from v
+  union all select query_id, 'hyde_expanded', hyde || ' ' || expanded from v) where q is not null""")
+def rewrite_texts(spark, d):
+    """The texts that the four techniques are retrieved with."""
+    from ..operators.hybrid import rewrite_variants
+
+    n = F.col("query_id")
+    rows = benchmark_queries(spark, d).select("query_id", "query_text").withColumn("hyde", F.when(n % 2 == 0, F.concat(F.lit("a passage on "), "query_text"))).withColumn(
+        "expanded", F.when(n % 3 != 0, F.concat_ws(" ", "query_text", F.lit("more terms"))))
+    return rewrite_variants(rows).select("query_id", "technique", "query_text")
 
 
 @query("config_summary", f"""with {SUMMARY_SQL}

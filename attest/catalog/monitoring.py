@@ -107,7 +107,7 @@ def config_hashes(spark, d):
 
 def _cache(spark, d):
     e = F.col("event_id")
-    asked = table(spark, d, "events").where("event_type <> 'error'").select(
+    asked = table(spark, d, "events").select(
         e.alias("request_id"), F.concat(F.lit("  question "), "user_id", F.lit(" ")).alias("question_text"),
         monitor.config_hash(F.col("event_type"), F.lit(10), F.lit("default")).alias("config_hash"))
     cache = table(spark, d, "events").where("event_type in ('view', 'click') and user_id % 3 = 0").groupBy("user_id", "event_type").agg(
@@ -128,8 +128,7 @@ def cache_hits(spark, d):
     return hits.select("request_id", "cache_id")
 
 
-@query("cache_misses", f"""with {CACHE_SQL} select event_id request_id from events e where event_type <> 'error'
-  and not exists (select 1 from cache c where c.user_id = e.user_id and c.event_type = e.event_type)""")
+@query("cache_misses", f"""with {CACHE_SQL} select event_id request_id from events e where not exists (select 1 from cache c where c.user_id = e.user_id and c.event_type = e.event_type)""")
 def cache_misses(spark, d):
     _, misses = monitor.cache_split(*_cache(spark, d))
     return misses.select("request_id")

@@ -50,6 +50,15 @@ def vector_topk_tiled(spark, d):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("ivf_every_cell", f"with {_vector_sql(BENCH_QUERIES, K)} select query_id, chunk_id, round(similarity, 6) similarity, vector_rank::int vector_rank from vector_ranked")
+def ivf_every_cell(spark, d):
+    """Cells around given centres; with all of them probed the search is exact."""
+    vectors = vector_table(spark, d)
+    centres = [[float(x) for x in r["embedding"]] for r in vectors.where("chunk_id < 8").select("embedding").collect()]
+    out = vector_search.ivf_topk(query_vectors(spark, d), vectors, K, lists=8, n_probe=8, centres=centres)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("vector_unit_norm_gate", """
 select vec_id chunk_id, list_filter([case when len(embedding) <> 64 then 'dimension' end,
   case when not abs(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) - 1) < 1e-7 then 'norm' end],
@@ -156,16 +165,21 @@ BENCHMARK_SOURCE = "select item_id query_id, text query_text from benchmark"
 
 
 def web_queries(spark, d):
-    """Quoted pairs, alternatives and exclusions built from the words of each benchmark item."""
-    w = F.split("query_text", r"\s+")
-    text = F.concat(
-        F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or "'), w[2], F.lit(" "), w[3], F.lit('" -'), w[4], F.lit(" or "), w[5])
-    return benchmark_queries(spark, d).select("query_id", text.alias("query_text"))
+    """Phrases, alternatives and exclusions built from all words of each benchmark item, six at a time."""
+    last = F.size("w") - 1
+    marked = F.transform("w", lambda x, i: F.when((i % 6 == 0) & (i < last), F.concat(F.lit('"'), x))
+                         .when(i % 6 == 1, F.concat(x, F.lit('" or'))).when((i % 6 == 2) & (i < last), F.concat(F.lit('"'), x))
+                         .when(i % 6 == 3, F.concat(x, F.lit('"'))).when(i % 6 == 4, F.concat(F.lit("-"), x, F.lit(" or")))
+                         .when(i % 6 == 5, F.concat(x, F.lit(" or"))).otherwise(x))
+    return benchmark_queries(spark, d).select("query_id", F.split("query_text", r"\s+").alias("w")).select(
+        "query_id", F.array_join(marked, " ").alias("query_text"))
 
 
 WEB_SOURCE = """
-select item_id query_id, '"' || w[1] || ' ' || w[2] || '" or "' || w[3] || ' ' || w[4] || '" -' || w[5] || ' or ' || w[6] query_text
-from (select item_id, regexp_split_to_array(text, '\\s+') w from benchmark)"""
+select query_id, array_to_string(list(case
+    when (n - 1) % 6 = 0 and n < len(w) then '"' || x when (n - 1) % 6 = 1 then x || '" or' when (n - 1) % 6 = 2 and n < len(w) then '"' || x
+    when (n - 1) % 6 = 3 then x || '"' when (n - 1) % 6 = 4 then '-' || x || ' or' when (n - 1) % 6 = 5 then x || ' or' else x end order by n), ' ') query_text
+from (select item_id query_id, w, unnest(w) x, generate_subscripts(w, 1) n from (select item_id, regexp_split_to_array(text, '\\s+') w from benchmark)) group by 1"""
 
 
 @query("query_terms", f"""with {CHUNKS_SQL}, occurrences as (select 0 chunk_id, '' lexeme, 0 pos), {terms_sql(WEB_SOURCE)}
@@ -254,15 +268,28 @@ def cover_density_web(spark, d):
 
 
 @query("rejected_queries", f"""with {CHUNKS_SQL}, occurrences as (select 0 chunk_id, '' lexeme, 0 pos),
-{terms_sql("select turn + conv_id * 1000 query_id, case when turn % 2 = 0 then 'the of' else text end query_text from conversations")}
+{terms_sql("select turn + conv_id * 1000 query_id, case when turn % 2 = 0 then '-' || array_to_string(regexp_split_to_array(text, '\\s+'), ' -') else text end query_text from conversations")}
 select query_id, 'no searchable term' reason from queries where query_id not in (select query_id from terms where not negated)""")
 def rejected_queries(spark, d):
+    """Every second turn with all its words excluded: such a query ranks nothing."""
+    excluded = F.concat(F.lit("-"), F.array_join(F.split("text", r"\s+"), " -"))
     rows = table(spark, d, "conversations").select(
-        (F.col("turn") + F.col("conv_id") * 1000).alias("query_id"),
-        F.when(F.col("turn") % 2 == 0, "the of").otherwise(F.col("text")).alias("query_text"))
+        (F.col("turn") + F.col("conv_id") * 1000).alias("query_id"), F.when(F.col("turn") % 2 == 0, excluded).otherwise(F.col("text")).alias("query_text"))
     return lexical.rejected_queries(rows, lexical.query_terms(rows)).select("query_id", "reason")
 
 
+@query("vector_rejects", """
+select chunk_id, reason from (
+  select doc_id chunk_id, case when doc_id % 3 = 0 then 'no vector' when doc_id % 3 = 1 then 'no direction' end reason from documents)
+where reason is not null""")
+def vector_rejects(spark, d):
+    """Documents as vectors of their size: every third has none, another third a zero one."""
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        n.alias("chunk_id"), F.when(n % 3 == 1, F.array(F.lit(0.0), F.lit(0.0))).when(n % 3 == 2, F.array(F.col("n_chars") + 1.0, F.lit(1.0))).alias("embedding"))
+    return vector_search.vector_rejects(rows)
+
+
 # --- fusion and reranking ---------------------------------------------------------------------
 
 CANDIDATES_SQL = f"{POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=50)}, {_vector_sql(BENCH_QUERIES, 50)}"

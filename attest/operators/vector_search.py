@@ -23,6 +23,7 @@ from .topk import require_positive, top_k
 
 BROADCAST_BYTES = 64 << 20
 TILE_BYTES = 32 << 20
+KERNEL_BYTES = 32 << 20  # similarities that are held at once
 # Similarities are ranked at ten decimals, so equal vectors tie and the id decides.
 DECIMALS = 10
 
@@ -36,6 +37,18 @@ def vector_violations(vectors: DataFrame, id_col: str = "chunk_id", dimension: i
     return vectors.select(id_col, found.alias("violations")).where(F.size("violations") > 0)
 
 
+def has_direction(v: Column) -> Column:
+    """A vector that can be compared: not null, without null, NaN and infinite parts, and not all zero."""
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) != float("inf")))
+    return F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def vector_rejects(vectors: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """Vectors that no search compares, and why."""
+    reason = F.when(F.col("embedding").isNull(), "no vector").otherwise("no direction")
+    return vectors.where(~has_direction(F.col("embedding"))).select(id_col, reason.alias("reason"))
+
+
 def _matrix(values, dim: int) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype=np.float64) for v in values]) if len(values) else np.zeros((0, dim))
     size = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -54,7 +67,24 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
 
 
 def _score(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Candidates of one batch: everything not below the k-th best of its query."""
+    """Best k of one batch for each query, in blocks of queries and rows whose similarities fit KERNEL_BYTES."""
+    rows = max(k, min(len(ids), 8192))
+    step = max(1, KERNEL_BYTES // (8 * max(1, rows)))
+    found = []
+    for at in range(0, len(queries), step):
+        own = None
+        for first in range(0, len(ids), rows):
+            q, c, s = _score_block(queries[at: at + step], vectors[first: first + rows], ids[first: first + rows], k)
+            own = (q + at, c, s) if own is None else _best(*(np.concatenate(p) for p in zip(own, (q + at, c, s))), k)
+        if own is not None:
+            found.append(own)
+    if not found:
+        return np.zeros(0, np.int64), ids[:0], np.zeros(0)
+    return tuple(np.concatenate(p) for p in zip(*found))
+
+
+def _score_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
+    """Candidates of one block: everything not below the k-th best of its query."""
     s = np.round(queries @ vectors.T, DECIMALS)
     if s.shape[1] > k:
         kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
@@ -114,12 +144,13 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = C.CANDIDATES, w
     """T-06, T-07: exact best k by cosine similarity, ties by chunk id.
 
     ``queries``: query_id, embedding. ``vectors``: chunk_id, embedding, and any
-    columns ``where`` needs; the filter reaches the scan.
+    columns ``where`` needs; the filter reaches the scan. Vectors without a direction
+    are in no ranking, on either side: ``vector_rejects`` names them.
     """
     require_positive(k=k)
     kept = vectors.where(where) if where is not None else vectors
-    kept = kept.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    kept = kept.where(has_direction(F.col("embedding"))).select("chunk_id", "embedding")
+    asked = queries.where(has_direction(F.col("embedding"))).select("query_id", "embedding")
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, dim = size["n"], size["d"] or 0
     types = _types(asked, kept)
@@ -173,8 +204,8 @@ def ivf_topk(queries: DataFrame, vectors: DataFrame, k: int = C.CANDIDATES, list
              centres: list[list[float]] | None = None, tile_bytes: int = TILE_BYTES, rank: str = "vector_rank") -> DataFrame:
     """T-08: best k within the ``n_probe`` cells nearest to each query. Full cells are cut into tiles."""
     require_positive(k=k, lists=lists, n_probe=n_probe)
-    kept = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    kept = vectors.where(has_direction(F.col("embedding"))).select("chunk_id", "embedding")
+    asked = queries.where(has_direction(F.col("embedding"))).select("query_id", "embedding")
     centres = centres or fit_cells(kept, lists)
     placed, probes = with_cells(kept, centres), with_cells(asked, centres, n_probe)
     per_tile = max(k, tile_bytes // (len(centres[0]) * 8))
