@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import answers, blocks, evaluation, evidence, files, monitoring, registry, retrieval, rich, tables  # noqa: F401
+    from . import answers, blocks, evaluation, evidence, files, monitoring, registry, retrieval, rich, stemming, tables  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

@@ -133,7 +133,7 @@ posted as (
 
 @query("postings", f"with {POSTINGS_SQL} select lexeme, chunk_id, n_a, n_b from posted")
 def postings(spark, d):
-    return lexical.postings(document_chunks(spark, d)).select("lexeme", "chunk_id", "n_a", "n_b")
+    return lexical.postings(document_chunks(spark, d), stemmed=False).select("lexeme", "chunk_id", "n_a", "n_b")
 
 
 def terms_sql(source: str) -> str:
@@ -185,19 +185,19 @@ from (select item_id query_id, w, unnest(w) x, generate_subscripts(w, 1) n from
 @query("query_terms", f"""with {CHUNKS_SQL}, occurrences as (select 0 chunk_id, '' lexeme, 0 pos), {terms_sql(WEB_SOURCE)}
 select query_id, group_no::int group_no, element::int element, negated, "offset"::int as "offset", lexeme from terms""")
 def query_terms(spark, d):
-    return lexical.query_terms(web_queries(spark, d)).select("query_id", "group_no", "element", "negated", "offset", "lexeme")
+    return lexical.query_terms(web_queries(spark, d), stemmed=False).select("query_id", "group_no", "element", "negated", "offset", "lexeme")
 
 
 @query("lexical_and_match", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
 def lexical_and_match(spark, d):
-    posted = lexical.postings(document_chunks(spark, d))
-    return lexical.lexical_match(lexical.query_terms(benchmark_queries(spark, d)), posted).select("query_id", "group_no", "chunk_id")
+    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    return lexical.lexical_match(lexical.query_terms(benchmark_queries(spark, d), stemmed=False), posted).select("query_id", "group_no", "chunk_id")
 
 
 @query("lexical_web_match", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
 def lexical_web_match(spark, d):
-    posted = lexical.postings(document_chunks(spark, d))
-    return lexical.lexical_match(lexical.query_terms(web_queries(spark, d)), posted).select("query_id", "group_no", "chunk_id")
+    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    return lexical.lexical_match(lexical.query_terms(web_queries(spark, d), stemmed=False), posted).select("query_id", "group_no", "chunk_id")
 
 
 TF_SQL = """
@@ -248,22 +248,22 @@ LEXICAL_OUT = " select query_id, chunk_id, round(lexical_score, 6) lexical_score
 
 @query("lexical_topk", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=K)}{LEXICAL_OUT}")
 def lexical_topk(spark, d):
-    posted = lexical.postings(document_chunks(spark, d))
-    out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "tf_weighted")
+    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "tf_weighted", stemmed=False)
     return out.withColumn("lexical_score", F.round("lexical_score", 6))
 
 
 @query("cover_density", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
 def cover_density(spark, d):
-    posted = lexical.postings(document_chunks(spark, d))
-    out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "cover_density")
+    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "cover_density", stemmed=False)
     return out.withColumn("lexical_score", F.round("lexical_score", 6))
 
 
 @query("cover_density_web", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
 def cover_density_web(spark, d):
-    posted = lexical.postings(document_chunks(spark, d))
-    out = lexical.lexical_topk(web_queries(spark, d), posted, K, "cover_density")
+    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    out = lexical.lexical_topk(web_queries(spark, d), posted, K, "cover_density", stemmed=False)
     return out.withColumn("lexical_score", F.round("lexical_score", 6))
 
 
@@ -275,7 +275,7 @@ def rejected_queries(spark, d):
     excluded = F.concat(F.lit("-"), F.array_join(F.split("text", r"\s+"), " -"))
     rows = table(spark, d, "conversations").select(
         (F.col("turn") + F.col("conv_id") * 1000).alias("query_id"), F.when(F.col("turn") % 2 == 0, excluded).otherwise(F.col("text")).alias("query_text"))
-    return lexical.rejected_queries(rows, lexical.query_terms(rows)).select("query_id", "reason")
+    return lexical.rejected_queries(rows, lexical.query_terms(rows, stemmed=False)).select("query_id", "reason")
 
 
 @query("vector_rejects", """
@@ -315,8 +315,8 @@ FUSED_OUT = (" select query_id, chunk_id, alpha, lexical_rank::int lexical_rank,
 
 
 def candidates(spark, d):
-    posted = lexical.postings(document_chunks(spark, d))
-    found = lexical.lexical_topk(benchmark_queries(spark, d), posted, 50, "tf_weighted")
+    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    found = lexical.lexical_topk(benchmark_queries(spark, d), posted, 50, "tf_weighted", stemmed=False)
     return found, vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
 
 

@@ -82,11 +82,11 @@ CHUNKS = "chunk_id string, heading_path array<string>, evidence_text string"
 def _posted(spark):
     return lexical.postings(spark.createDataFrame([
         ("a", ["Meter rules"], "a smart inverter needs a meter"), ("b", [], "inverter smart, not in order. inverter meter"),
-        ("c", ["Other"], "nothing of the kind"), ("d", [], "smart grid inverter far away from the meter")], CHUNKS))
+        ("c", ["Other"], "nothing of the kind"), ("d", [], "smart grid inverter far away from the meter")], CHUNKS), stemmed=False)
 
 
 def _match(spark, text):
-    terms = lexical.query_terms(spark.createDataFrame([("q", text)], "query_id string, query_text string"))
+    terms = lexical.query_terms(spark.createDataFrame([("q", text)], "query_id string, query_text string"), stemmed=False)
     return sorted({r.chunk_id for r in lexical.lexical_match(terms, _posted(spark)).collect()})
 
 
@@ -101,7 +101,7 @@ def test_web_style_matching(spark):
 
 def test_cover_density_by_hand(spark):
     q = spark.createDataFrame([("q", "smart inverter")], "query_id string, query_text string")
-    got = {r.chunk_id: r.lexical_score for r in lexical.lexical_topk(q, _posted(spark), 10).collect()}
+    got = {r.chunk_id: r.lexical_score for r in lexical.lexical_topk(q, _posted(spark), 10, stemmed=False).collect()}
     # Covers have two hits of weight 0.4, so 0.4 each, divided by one plus the words between.
     expected = {"a": 0.4, "b": 0.4 + 0.4 / 4, "d": 0.4 / 2}
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v / (v + 1), 9) for k, v in expected.items()}
@@ -218,3 +218,28 @@ def test_summary_keeps_alphas_apart_and_ties_differ(spark):
     assert {r.configuration for r in grid.best_by_metric(s).collect()} == {b}
     assert grid.ranked(s, 1, ["mrr_mean"]).first().configuration == a
     assert grid.recommended(s).first().configuration == b
+
+
+STEMS = """consign consign consigned consign consigning consign consignment consign consistency consist consistently consist consolatory consolatori
+consoles consol consolidating consolid consolingly consol conspicuously conspicu conspiracy conspiraci conspirators conspir knackeries knackeri knavish knavish
+kneeling kneel knightly knight knitted knit knives knive interconnections interconnect interconnection interconnect running run happily happili generate generat
+communism communism arsenal arsenal hopping hop hoping hope cries cri ties tie gas gas kiwis kiwi gaps gap agreed agre feed feed skies sky dying die news news
+exceeds exceed inning inning say say by by cry cri enjoy enjoy relational relat valenci valenc digitizer digit feudalism feudal hopefulness hope
+callousness callous formalize formal electrical electr goodness good airliner airlin replacement replac adoption adopt rate rate controll control bed bed
+luxuriated luxuri hopped hop failing fail only onli geology geolog early earli toy toy youth youth"""
+
+
+def test_stems_are_the_published_ones(spark):
+    from attest.functions.stem import stems
+
+    words = STEMS.split()
+    known = dict(zip(words[::2], words[1::2]))
+    got = {r.lexeme: r.stem for r in stems(spark.createDataFrame([(w,) for w in [*known, None]], "lexeme string")).collect()}
+    assert got == known
+
+
+def test_search_finds_other_forms_of_a_word(spark):
+    chunks = spark.createDataFrame([("a", ["Rules"], "the interconnection of plants"), ("b", [], "other text")], "chunk_id string, heading_path array<string>, evidence_text string")
+    q = spark.createDataFrame([("q", "interconnections ruling")], "query_id string, query_text string")
+    assert [r.chunk_id for r in lexical.lexical_topk(q, lexical.postings(chunks), 5).collect()] == ["a"]
+    assert lexical.lexical_topk(q, lexical.postings(chunks, stemmed=False), 5, stemmed=False).count() == 0
