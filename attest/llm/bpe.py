@@ -24,7 +24,7 @@ from .common import per_row, table
 # The white space that the vocabulary's pattern knows, and its pattern for words.
 SPACE = r"\t-\r \u0085   -     　"
 WORDS = r"{letter}+|'s|'t|'re|'ve|'m|'ll|'d|{number}|[^{space}{letters}{numbers}]+"
-CACHED = 300_000  # words whose ids a worker remembers
+CACHED = 100_000  # words whose ids a worker remembers
 LATIN = 0x250  # texts below this character are split by a plain pattern, which is faster
 NONE = np.int32(2**31 - 1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise
 
-__all__ = ["materialise", "table", "remainder", "per_row", "sampled"]
+__all__ = ["materialise", "table", "remainder", "per_row", "sampled", "small_batches"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,9 +31,21 @@ def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session to BATCH_BYTES: batches hold whole texts, some of them very long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def per_row(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Map Arrow batches to Arrow batches; `make` builds the function once in every task."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:

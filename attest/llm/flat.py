@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2_000_000  # bytes of text worked on at once; a longer text comes alone
+PIECE = 500_000  # bytes of text worked on at once; a longer text comes alone
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

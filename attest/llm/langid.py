@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import flat, ftrl
-from .common import materialise, per_row, remainder, sampled, table
+from .common import materialise, per_row, remainder, sampled, small_batches, table
 
 BITS = 16
 SHARD = 3_000
@@ -86,6 +86,8 @@ class Model:
 def _document_frequency(rows: DataFrame, bits: int) -> tuple[int, np.ndarray]:
     """Number of texts, and of texts that hold each n-gram, over all rows."""
 
+    small_batches(rows.sparkSession)
+
     def count(batches):
         n, total = 0, np.zeros(1 << bits, np.int64)
         for batch in batches:

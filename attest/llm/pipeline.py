@@ -1,11 +1,10 @@
 """Stages of the corpus pipeline: (spark, docs, folder of the tables) to documents, the last to token digests."""
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import flat, langid, secrets, simhash, winnow
+from . import langid, secrets, simhash, winnow
 from .bpe import encode
 from .common import materialise, per_row, table
 
@@ -56,28 +55,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A hit run goes with the signs between its words; all documents stay, and a text without hits stays as it is.
     """
-    found = winnow.contamination(_documents(docs), table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-
-    def cutter():
-        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column("text")
-            data, offsets = flat.texts(texts)
-            hits = batch.column("hits").to_pylist()
-            changed = [i for i, h in enumerate(hits) if h]
-            out = texts.to_pylist() if changed else texts
-            for i in changed:
-                own = data[offsets[i]: offsets[i + 1]]
-                t = flat.Tokens(own, np.array([0, len(own)]), winnow.WORD, flat.LOWER)
-                kept, at = [], 0
-                for h in hits[i]:
-                    kept.append(own[at: int(t.starts[h["start"]])].tobytes())
-                    at = int(t.ends[h["end"] - 1])
-                out[i] = b"".join([*kept, own[at:].tobytes()]).decode()
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), *(batch.column(n) for n in NAMES[2:])], list(NAMES))
-        return f
-
-    cut = per_row(found.select(*NAMES, "hits"), cutter, COLUMNS)
-    return cut.withColumn("n_chars", F.length("text").cast("long"))
+    found = winnow.contamination(_documents(docs), table(spark, sf_dir, "benchmark"), keep=COLUMNS, cut=True)
+    return found.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

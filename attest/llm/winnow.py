@@ -169,16 +169,18 @@ def _blocks(items: DataFrame, size: int) -> list[list[tuple[str, bytes]]]:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block: int = BLOCK, keep: str = "doc_id long",
-                  text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", cut: bool = False) -> DataFrame:
     """The kept columns, then n_words, hits (first and end word of disjoint runs), and items (ids as text) of each row.
 
+    With `cut` also `clean`: the text without its hit runs and the signs between their words.
+
     Nulls have no words; items without words are left out, and so are items without an id. Items are broadcast in
     blocks of `block` bytes; with several blocks each passes over the documents once and adds to what the earlier ones
     found, so memory does not grow with the benchmark. Equal items are matched once and all named.
     """
     spark = documents.sparkSession
     names = [c.strip().split(" ")[0] for c in keep.split(",")]
-    schema = f"{keep}, n_words long, hits array<struct<start: long, end: long>>, items array<string>"
+    schema = f"{keep}, n_words long, hits array<struct<start: long, end: long>>, items array<string>" + ", clean string" * cut
     rows = documents.select(*names, F.col(text_col).alias("__text"),
                             F.lit(None).cast("array<struct<start: long, end: long>>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"))
     named = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string"), F.col("text"))
@@ -195,6 +197,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                 data, offsets = flat.texts(batch.column("__text"))
                 before, items_before = batch.column("__hits").to_pylist(), batch.column("__items").to_pylist()
                 counts, hits, items = [], [], []
+                clean = batch.column("__text").to_pylist() if cut and not more else []
                 for a, b in flat.pieces(offsets):
                     t = flat.Tokens(data, offsets[a: b + 1], WORD, flat.LOWER)
                     counts += np.diff(t.rows).tolist()
@@ -205,12 +208,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                         mine = by_row.get(i, [])
                         runs = [(x - int(t.rows[i]), y - int(t.rows[i])) for x, y, _ in mine] + [(h["start"], h["end"]) for h in before[a + i] or ()]
                         hits.append([{"start": x, "end": y} for x, y in _merged(runs)])
+                        if hits[-1] and clean:
+                            clean[a + i] = _without(data, t, offsets[a + i], offsets[a + i + 1], int(t.rows[i]), hits[-1])
                         items.append(sorted({n for *_, s in mine for n in found.names[s]} | set(items_before[a + i] or ())))
                 arrays = [batch.column(n) for n in names] + [pa.array(counts, pa.int64())] * (not more) + [batch.column("__text")] * more
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 return pa.RecordBatch.from_arrays(
-                    [*arrays, pa.array(hits, kind), pa.array(items, pa.list_(pa.string()))],
-                    [*names, "__text", "__hits", "__items"] if more else [*names, "n_words", "hits", "items"])
+                    [*arrays, pa.array(hits, kind), pa.array(items, pa.list_(pa.string())), *([pa.array(clean, pa.string())] if cut and not more else [])],
+                    [*names, "__text", "__hits", "__items"] if more else [*names, "n_words", "hits", "items", *["clean"] * cut])
             return f
 
         if after is None:
@@ -220,6 +225,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         current = after
 
 
+def _without(data: np.ndarray, t: flat.Tokens, start: int, end: int, first: int, hits: list[dict]) -> str:
+    """The text of data[start:end], whose first token is number `first`, without the hit runs."""
+    kept, at = [], start
+    for h in hits:
+        kept.append(data[at: t.base + int(t.starts[first + h["start"]])].tobytes())
+        at = t.base + int(t.ends[first + h["end"] - 1])
+    return b"".join([*kept, data[at:end].tobytes()]).decode()
+
+
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
