@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from ..session import checkpoint_folder
-from .common import per_row, table
+from .common import materialise, per_row, table
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,8 @@ def scan(documents: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES,
     """The kept columns of every row, its blob, and its spans; repeated rows and versions keep rows of their own."""
     versions = documents.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     found = ledger.update(versions.select(blob(F.col("__text")).alias("blob"), F.col("__text").alias("text")), rules)
-    found = found.groupBy(F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans"))
+    # Written out, so that the join below may split a blob that many paths hold.
+    found = materialise(found.groupBy(F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans")), "blob-findings")
     return versions.select(*keep, blob(F.col("__text")).alias("__blob")).join(found, "__blob") \
         .select(*keep, F.col("__blob").alias("blob"), F.col("__spans").alias("spans"))
 
