@@ -170,19 +170,29 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2) -> DataFrame
 LANES = 4  # 64-bit numbers of a wide fingerprint
 
 
-def wide_fingerprint(text: str | bytes, words: int = 5, lanes: int = LANES) -> bytes:
-    """A SimHash of 64 * lanes bits: lane i takes the shingles' hashes, mixed with i."""
+def shingle_hashes(text: str | bytes, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text; a text of fewer words is one shingle, one without words has none."""
     split = (text.encode() if isinstance(text, str) else text).lower().split()
-    n = max(1, len(split) - words + 1) if split else 0
+    if not split:
+        return np.zeros(0, np.uint64)
+    shingles = zip(*(split[i:] for i in range(words))) if len(split) >= words else [split]
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(s)) for s in shingles), np.uint64))
+
+
+def wide_fingerprint(text: str | bytes, words: int = 5, lanes: int = LANES) -> bytes:
+    """A SimHash of 64 * lanes bits over the distinct shingles: lane i takes their hashes, mixed with i."""
+    return _wide(shingle_hashes(text, words), lanes)
+
+
+def _wide(hashes: np.ndarray, lanes: int = LANES) -> bytes:
     total = np.zeros(64 * lanes, np.int64)
-    for at in range(0, n, 20_000):
-        some = split[at: at + 20_000 + words - 1]
-        shingles = zip(*(some[i:] for i in range(words))) if len(split) >= words else [some]
-        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles], np.uint64)
+    for at in range(0, len(hashes), 20_000):
+        h = hashes[at: at + 20_000]
         for i in range(lanes):
             own = flat.mix(h + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)
             total[64 * i: 64 * i + 64] += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > n).tobytes()
+    return np.packbits(2 * total > len(hashes)).tobytes()
 
 
 def search_plan(n: int, similarity: float, recall: float, lanes: int = LANES) -> tuple[int, int, int]:

@@ -151,3 +151,13 @@ def test_similar_texts(spark, block):
     n = len(texts)
     assert comp[n] == comp[n + 1] == comp[n + 2] == n and comp[None] is None
     assert collected(simhash.similar_texts(empty(df))) == []
+
+
+def test_wide_fingerprints_count_a_repeated_shingle_once():
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    line = " ".join(word() for _ in range(7))
+    a, b = ("\n".join([" ".join(word() for _ in range(300)), *[line] * 40]) for _ in range(2))
+    x, y = (np.frombuffer(simhash.wide_fingerprint(t), np.uint8) for t in (a, b))
+    assert np.bitwise_count(x ^ y).sum() > 90
+    assert simhash.wide_fingerprint(f"{line} {line} {line}") == simhash.wide_fingerprint(" ".join([line] * 9))
