@@ -37,7 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least doc_id of each component of similar texts; repeated rows of it count as copies, too.
 
-    Similar are texts whose shingles of five words have a similarity of 0.8 or more, as wide fingerprints estimate it. Rows without an id stay, each: they cannot be told apart.
+    Similar are texts whose distinct shingles of five words have a Jaccard similarity of 0.8 or more; wide fingerprints choose
+    the pairs that are compared. Rows without an id stay, each: they cannot be told apart.
     """
     rows = _documents(docs)
     found = simhash.similar_texts(rows.select("doc_id", "text"))

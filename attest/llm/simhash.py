@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import cells, flat
-from .bktree import Forest, Union
+from .bktree import Forest, Union, distances
 from .common import materialise, per_row, table
 from .graph import components
 
@@ -199,33 +199,93 @@ def search_plan(n: int, similarity: float, recall: float, lanes: int = LANES) ->
     """Radius, bits of a band, and number of bands, for n fingerprints.
 
     Two texts whose shingles have Jaccard similarity s have a cosine of 2 s / (1 + s), and a bit differs with probability
-    acos(cosine) / pi. The radius is the expected number of differing bits at the similarity, and one deviation more. A
+    acos(cosine) / pi. The radius is the expected number of differing bits at the similarity, and three deviations more. A
     pair at the similarity shares some band with probability `recall`; bands of about 64 unlike texts each.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * lanes
     width = max(8, math.ceil(math.log2(max(n, 2))) - 6)
-    return int(bits * p + math.sqrt(bits * p * (1 - p))), width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+    return int(bits * p + 3 * math.sqrt(bits * p * (1 - p))), width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
+
+
+RANKS = (0, 2, 8, 1 << 30)  # candidates of a text in a cell, nearest first, that one round after the other compares
+SETS = 1 << 20  # shingles of texts that a task keeps for the next pairs
+_TEXT = ("t1", "t2")  # two hashes of a text, which name it
+
+
+def _named_texts(df: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return df.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def _nearest(query: np.ndarray, node: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs in order of the query and the distance, and each pair's rank in its query."""
+    order = np.lexsort((node, distance, query))
+    query, node = query[order], node[order]
+    head = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    return query, node, np.arange(len(query)) - np.repeat(head, np.diff(np.append(head, len(query))))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose texts' distinct shingles have at least the Jaccard similarity."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def compare():
+        kept: dict[int, np.ndarray] = {}
+        size = 0
+
+        def hashes(node: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            if node not in kept:
+                if size > SETS:
+                    kept.clear()
+                    size = 0
+                kept[node] = shingle_hashes(text.as_py(), words)
+                size += len(kept[node])
+            return kept[node]
+
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            held = []
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                x, y = hashes(a, batch.column("text_a")[i]), hashes(b, batch.column("text_b")[i])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if common and common / (len(x) + len(y) - common) >= similarity:
+                    held.append(i)
+            rows = pa.array(held, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
+        return f
+
+    return per_row(both.select("a", "b", "text_a", "text_b"), compare, "a long, b long")
 
 
 def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = 512) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable by links, of every row.
 
-    Links are pairs whose wide fingerprints are within the radius of `search_plan`, which estimates the Jaccard similarity
-    of their shingles. Fingerprints that share a band of bits meet in cells of bounded size, where one side's BK-tree
-    answers the other. Rows without words are copies of each other. Ids as in `near_duplicates`.
+    Links are pairs of texts whose distinct shingles have at least the Jaccard similarity, compared exactly. Candidates
+    are pairs whose wide fingerprints share a band of bits and are within the radius of `search_plan`; they meet in cells
+    of bounded size, where one side's BK-tree answers the other. A text's nearest candidates are compared first; later
+    rounds compare all others that are not in one component by then, so a large group of copies needs few pairs. Rows
+    without words are copies of each other. Ids as in `near_duplicates`.
     """
 
     def hasher():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column, out = batch.column("text"), []
+            column, out, same, sizes = batch.column("text"), [], [], []
             for at in range(0, batch.num_rows, 64):
-                out += [wide_fingerprint(t or "", words) for t in column.slice(at, 64).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "print"])
+                for t in column.slice(at, 64).to_pylist():
+                    h = shingle_hashes(t, words)
+                    out.append(_wide(h))
+                    same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    sizes.append(len(h))
+            return pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", *_TEXT)), pa.array(out, pa.binary()), pa.array(same, pa.binary()), pa.array(sizes, pa.int32())],
+                                              ["doc_id", *_TEXT, "print", "same", "size"])
         return f
 
-    rows = materialise(per_row(df.select("doc_id", "text"), hasher, "doc_id long, print binary"), "wide-fingerprints")
-    prints = materialise(rows.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-prints")
+    rows = materialise(per_row(_named_texts(df), hasher, "doc_id long, t1 long, t2 long, print binary, same binary, size int"), "wide-fingerprints")
+    # A node is a set of shingles; one of its texts stands for it.
+    prints = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("size").alias("size"),
+                                                  F.min(F.struct(*_TEXT)).alias("t")).withColumn("node", F.monotonically_increasing_id()), "wide-prints")
     radius, width, bands = search_plan(prints.count(), similarity, recall)
     rng = np.random.default_rng(42)
     chosen = np.stack([rng.permutation(64 * LANES)[:width] for _ in range(bands)])
@@ -238,29 +298,61 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
         return f
 
     banded = materialise(per_row(prints.select("node", "print"), keys, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "key")), "bands")
-    gathered = cells.gathered(cells.deal(banded, block), prints.select("node", "print"))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in cells.whole(batches):
-            fingerprint = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
-            start = cells.starts(rows)
-            cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.num_rows)))
-            left, own = rows["left"].to_numpy(), (rows["i"].to_numpy() == rows["j"].to_numpy())
-            nodes, node, sets = np.flatnonzero(left), rows["node"].to_numpy(), Union(rows.num_rows)
-            forest = Forest(fingerprint[nodes], cell[nodes])
-            tree_of = np.full(len(start), -1)
-            tree_of[cell[nodes[forest.roots]]] = np.arange(len(forest.roots))
-            asked = np.flatnonzero((own | ~left) & (tree_of[cell] >= 0))
-            for query, found in forest.search(fingerprint[asked], tree_of[cell[asked]], radius, FRONTIER):
-                sets.link(asked[query], nodes[found])
-            other = np.flatnonzero(sets.label != np.arange(rows.num_rows))
-            yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[sets.label[other]])], ["a", "b"])
-
-    roots = components(materialise(gathered.mapInArrow(meet, "a long, b long"), "similar-links"))
-    rooted = materialise(prints.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root")), "similar-rooted")
+    dealt = cells.deal(banded, block)
+
+    def meeting(low: int, high: int):
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in cells.whole(batches):
+                fingerprint = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
+                start = cells.starts(rows)
+                cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.num_rows)))
+                left, own = rows["left"].to_numpy(), (rows["i"].to_numpy() == rows["j"].to_numpy())
+                node, root, size = (rows[n].to_numpy() for n in ("node", "root", "size"))
+                nodes = np.flatnonzero(left)
+                forest = Forest(fingerprint[nodes], cell[nodes])
+                tree_of = np.full(len(start), -1)
+                tree_of[cell[nodes[forest.roots]]] = np.arange(len(forest.roots))
+                asked = np.flatnonzero((own | ~left) & (tree_of[cell] >= 0))
+                found = []
+                for query, hit in forest.search(fingerprint[asked], tree_of[cell[asked]], radius, FRONTIER):
+                    query, hit = asked[query], nodes[hit]
+                    # Sets of so unlike sizes cannot reach the similarity.
+                    ok = (query != hit) & (np.minimum(size[query], size[hit]) >= similarity * np.maximum(size[query], size[hit]) - 1e-6)
+                    found.append((query[ok], hit[ok]))
+                if not found:
+                    continue
+                query, hit = (np.concatenate(x) for x in zip(*found))
+                query, hit, rank = _nearest(query, hit, distances(fingerprint[query], fingerprint[hit]))
+                # Pairs of this round, and of each cell with more of them one mark for the next round.
+                ok = (rank >= low) & (rank < high) & (root[query] != root[hit])
+                more = start[np.unique(cell[query[rank >= high]])]
+                x, y = node[query[ok]], node[hit[ok]]
+                names = [pa.array(np.append(np.zeros(len(x), t), rows[k].to_numpy()[more].astype(t))) for k, t in zip(cells.KEYS, (np.int32, np.int64, np.int32, np.int32))]
+                none = np.zeros(len(more), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(x, y), none)), pa.array(np.append(np.maximum(x, y), none)),
+                                                  pa.array(np.append(np.zeros(len(x), bool), np.ones(len(more), bool))), *names], ["a", "b", "more", *cells.KEYS])
+        return meet
+
+    named = _named_texts(df)
+    links, roots = None, None
+    for k, (low, high) in enumerate(zip(RANKS, RANKS[1:])):
+        payload = prints.select("node", "print", "size", F.col("node").alias("root")) if roots is None else \
+            prints.select("node", "print", "size").join(roots, "node", "left").select("node", "print", "size", F.coalesce("root", "node").alias("root"))
+        found = materialise(cells.gathered(dealt, payload).mapInArrow(meeting(low, high), "a long, b long, more boolean, band int, key long, i int, j int"), f"similar-met-{k}")
+        pairs = materialise(found.filter("not more").select("a", "b").distinct(), f"similar-pairs-{k}")
+        wanted = prints.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "t.*")
+        texts = materialise(named.drop("doc_id").join(materialise(wanted, f"similar-wanted-{k}"), list(_TEXT)).groupBy("node").agg(F.first("text").alias("text")), f"similar-texts-{k}")
+        alike = materialise(_alike(pairs, texts, words, similarity), f"similar-links-{k}")
+        links = alike if links is None else links.union(alike)
+        roots = components(links)
+        rest = found.filter("more").select(*cells.KEYS)
+        if rest.isEmpty():
+            break
+        dealt = materialise(dealt.join(rest, list(cells.KEYS), "left_semi"), f"similar-rest-{k}")
+    rooted = materialise(prints.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root")), "similar-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "similar-components")
-    classes = materialise(rooted.join(named, "root").select("print", "component_id"), "similar-classes")
-    return rows.join(classes, "print").select("doc_id", "component_id")
+    classes = materialise(rooted.join(named, "root").select("same", "component_id"), "similar-classes")
+    return rows.join(classes, "same").select("doc_id", "component_id")
 
 
 def op9_simhash(spark: SparkSession, d: str) -> DataFrame:

@@ -161,3 +161,23 @@ def test_wide_fingerprints_count_a_repeated_shingle_once():
     x, y = (np.frombuffer(simhash.wide_fingerprint(t), np.uint8) for t in (a, b))
     assert np.bitwise_count(x ^ y).sum() > 90
     assert simhash.wide_fingerprint(f"{line} {line} {line}") == simhash.wide_fingerprint(" ".join([line] * 9))
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_similar_texts_link_from_the_stated_similarity_on(spark, block):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    texts, alike = [], []
+    for k in range(24):  # 80 of 100 shingles are shared, and 79 of 100 or 80 of 101
+        base = [word() for _ in range(84 - (k % 4 == 3))]
+        tail = 20 + (k % 2 and 1)
+        alike.append(k % 2 == 0)
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(tail)])]
+    line = " ".join(word() for _ in range(7))
+    texts += ["\n".join([" ".join(word() for _ in range(100)), *[line] * 40]) for _ in range(6)]  # unlike but for a repeated line
+    hub = [word() for _ in range(404)]
+    texts += [" ".join(w if i % 40 or i // 40 != k else word() for i, w in enumerate(hub)) for k in range(30)]  # many copies
+    comp = {r["doc_id"]: r["component_id"] for r in collected(simhash.similar_texts(documents(spark, [(t, "en") for t in texts], extra=False), block=block))}
+    assert [comp[2 * k + 1] == comp[2 * k] for k in range(24)] == alike
+    assert [comp[48 + k] for k in range(6)] == [48 + k for k in range(6)]
+    assert {comp[54 + k] for k in range(30)} == {54}
