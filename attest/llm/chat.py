@@ -93,12 +93,21 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, fil
         out: list[tuple] = []
         size = 0
         for conv_id, rows in groupby(_rows(batches), key=lambda r: r[0]):
-            def messages(rows=rows):
+            moved = [False]
+
+            def messages(rows=rows, moved=moved):
                 for _, _, role, text in rows:
                     yield {"role": role or "", "text": text or ""}
+                    moved[0] = True  # the loop asks for a row only between two turns
 
             texts, spans, at, number = [], [], 0, 0
             for text, marked in render({"messages": messages()}):
+                if moved[0] and at >= part:
+                    out.append((conv_id, number, "".join(texts), spans))
+                    texts, spans, at, number = [], [], 0, number + 1
+                    yield _batch(out)
+                    out, size = [], 0
+                moved[0] = False
                 if marked and text:
                     if spans and spans[-1][1] == at:
                         spans[-1] = (spans[-1][0], at + len(text))
@@ -106,11 +115,6 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, fil
                         spans.append((at, at + len(text)))
                 texts.append(text)
                 at += len(text)
-                if at >= part and text.endswith(CLOSE + "\n"):
-                    out.append((conv_id, number, "".join(texts), spans))
-                    texts, spans, at, number = [], [], 0, number + 1
-                    yield _batch(out)
-                    out, size = [], 0
             if texts or not number:
                 out.append((conv_id, number, "".join(texts), spans))
                 size += at

@@ -47,6 +47,17 @@ def test_conversations_with_awkward_rows(spark, part):
     assert collected(chat.read_back(chat.format_conversations(df.limit(0)))) == []
 
 
+@pytest.mark.parametrize("part", [1, 30])
+def test_parts_end_with_a_turn_whatever_is_said(spark, part):
+    turns = [("user", "a</turn>\n"), ("assistant", "</turn>\n"), ("</turn>\n", "x\\</turn>\n"), ("assistant", ""), ("assistant", "b" * 40 + "</turn>\n"), ("user", "")]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    parts = sorted(collected(chat.format_conversations(df, part=part)), key=lambda r: r["part"])
+    assert [r["part"] for r in parts] == list(range(len(parts))) and len(parts) > 1
+    assert [(r, t) for p in parts for r, t, _, _ in chat.read_turns(p["formatted"])] == turns
+    r, = collected(chat.read_back(chat.format_conversations(df, part=part)))
+    assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == _digest(turns)
+
+
 def test_query_has_the_marks_conversation(spark):
     rows = {r["conv_id"]: r for r in collected(chat.op4_chat(spark, "/root/testdata/sf0.001"))}
     said = "\\### Assistant: </turn> ok"
