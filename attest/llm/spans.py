@@ -8,35 +8,75 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialise, per_row, table
 
-LONG = 20  # words after which a sentence is cut
-_WORD = re.compile(r"\S+")
+LONG = 20  # words of a sentence that is not cut, and of a part of a longer one
+NEAR = 4  # words on each side that a cut of a long sentence looks at
+# Scripts that write words without blanks: each character counts as a word, with the stops behind it.
+_DENSE = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff20\uff61-\uff9f\U00020000-\U0003ffff"
+_STOPS = "\u3002\uff01\uff1f\uff0e\uff61"  # end a sentence whatever follows
+_MARKS = "[\u0e30-\u0e3a\u0e47-\u0e4e\u0eb0-\u0ebc\u0ec8-\u0ecd\u102b-\u103e\u17b4-\u17d3\u3099\u309a]"
+_WORD = re.compile(rf"[{_DENSE}](?:{_MARKS}|[{_STOPS}\u300d\u300f\u201d\uff09])*|[^\s{_DENSE}]+")
+_BLANKS = re.compile(r"\S+")  # the same words where no such character stands
+_DENSE_ONE = re.compile(f"[{_DENSE}]")
+_STOP = re.compile(rf"[{_STOPS}][\u300d\u300f\u201d\uff09]*$")
+_ENDS = frozenset(".!?\u2026\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104b\u17d4\u0f0d" + _STOPS)  # end a sentence before white space
+
+
+def _cuts(words: list[str], long: int) -> list[int]:
+    """Where the parts of a long sentence begin.
+
+    A part begins at a word that, with the word before it, has a hash below those of the NEAR words before and not above
+    those of the NEAR words behind: the same words are cut at the same places wherever they stand in a sentence. Parts
+    that are still longer are cut after each `long` words.
+    """
+    h = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}".encode()) for a, b in zip(words, words[1:])], np.uint64)
+    out = [0]
+    if len(h) > 2 * NEAR:
+        windows = np.lib.stride_tricks.sliding_window_view(h, NEAR)
+        before, behind = windows[:-NEAR - 1].min(axis=1), windows[NEAR + 1:].min(axis=1)
+        middle = h[NEAR:-NEAR]
+        out += (np.flatnonzero((middle < before) & (middle <= behind)) + NEAR + 1).tolist()
+    return [k for a, b in zip(out, [*out[1:], len(words)]) for k in range(a, b, long)]
 
 
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, str, int]]:
     """(start, end, words joined by blanks, number of words) of each sentence; together they are the whole text.
 
-    A sentence ends after . ! or ? before white space, or at a line end, or after `long` words; the white space behind
-    belongs to it. Sentences without words belong to the one before.
+    A sentence ends after a full stop, question or exclamation mark before white space, or at a line end; the marks of
+    Chinese and Japanese need no white space. Sentences of more than `long` words are cut (see `_cuts`). The white space
+    behind belongs to a sentence. Sentences without words belong to the one before.
     """
     out: list[tuple[int, int, str, int]] = []
-    start = words = at = 0
+    at = 0
+    places: list[int] = []
     inside: list[str] = []
     closing = False
-    for m in _WORD.finditer(text):
-        if inside and (closing or words >= long or "\n" in text[at: m.start()]):
-            out.append((start, m.start(), " ".join(inside), words))
-            start, words, inside = m.start(), 0, []
-        inside.append(m[0])
-        words, at = words + 1, m.end()
-        closing = m[0][-1] in ".!?"
+
+    def close(end: int) -> None:
+        if len(inside) <= long:
+            out.append((places[0], end, " ".join(inside), len(inside)))
+            return
+        cuts = _cuts(inside, long)
+        for a, b in zip(cuts, [*cuts[1:], len(inside)]):
+            out.append((places[a], places[b] if b < len(inside) else end, " ".join(inside[a:b]), b - a))
+
+    for m in (_WORD if not text.isascii() and _DENSE_ONE.search(text) else _BLANKS).finditer(text):
+        start, word = m.start(), m[0]
+        if inside and (closing and (start > at or _STOP.search(inside[-1])) or start > at and "\n" in text[at: start]):
+            close(start)
+            places, inside = [], []
+        places.append(start)
+        inside.append(word)
+        at = m.end()
+        closing = word[-1] in _ENDS or word[-1] > "\u2000" and _STOP.search(word) is not None
     if inside:
-        out.append((start, len(text), " ".join(inside), words))
+        close(len(text))
     if out and out[0][0]:
         out[0] = (0, *out[0][1:])
     return out

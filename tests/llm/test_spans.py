@@ -76,3 +76,25 @@ def test_long_passages_go_but_for_the_first(spark):
         first.setdefault(p, k)
     assert all(rows[k]["n_removed"] == 0 and rows[k]["text"] == texts[k] for k in range(0, 40, 2))
     assert collected(spans.dedup(empty(documents(spark, [("a", "en")])))) == []
+
+
+@pytest.mark.parametrize("kind", ["blanks", "none"])
+def test_passages_inside_a_sentence_are_found_at_any_offset(spark, kind):
+    rnd = random.Random(5)
+    word = (lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))) if kind == "blanks" else (lambda: chr(rnd.randrange(0x4e00, 0x9f00)))
+    blank = " " if kind == "blanks" else ""
+    said = lambda n: [word() for _ in range(n)]
+    passages = [said(60) for _ in range(25)]
+    texts = [blank.join(said(30) + p + said(30)) for p in passages]
+    texts += [blank.join(said(k) + p + said(25 - k)) for k, p in enumerate(passages)]
+    rows = {r["doc_id"]: r for r in collected(spans.dedup(documents(spark, [(t, "en") for t in texts], extra=False)))}
+    for k in range(25):
+        assert rows[k]["text"] == texts[k]
+        left, p = rows[25 + k]["text"], passages[k]
+        assert sum(w not in left for w in p) >= 0.4 * len(p)
+        assert all(w in left for w in texts[25 + k].split() if w not in p) if blank else left[:k] == texts[25 + k][:k]
+
+
+def test_stops_of_other_scripts():
+    assert [u[2].replace(" ", "") for u in spans.sentences("今天很好。我们去！「好。」他说")] == ["今天很好。", "我们去！", "「好。」", "他说"]
+    assert [u[2] for u in spans.sentences("यह एक है। दो؟ তিন")] == ["यह एक है।", "दो؟", "তিন"]
