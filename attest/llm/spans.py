@@ -11,8 +11,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import flat
 from .common import materialise, per_row, table
 
 LONG = 20  # words of a sentence that is not cut, and of a part of a longer one
@@ -28,58 +29,75 @@ _STOP = re.compile(rf"[{_STOPS}][\u300d\u300f\u201d\uff09]*$")
 _ENDS = frozenset(".!?\u2026\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104b\u17d4\u0f0d" + _STOPS)  # end a sentence before white space
 
 
-def _cuts(words: list[str], long: int) -> list[int]:
-    """Where the parts of a long sentence begin.
+class _Hashes(dict):
+    """Hashes of words, the words met lately."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode())
+        return found
+
+
+_hashes = _Hashes()
 
-    A part begins at a word that, with the word before it, has a hash below those of the NEAR words before and not above
-    those of the NEAR words behind: the same words are cut at the same places wherever they stand in a sentence. Parts
-    that are still longer are cut after each `long` words.
-    """
-    h = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}".encode()) for a, b in zip(words, words[1:])], np.uint64)
-    out = [0]
-    if len(h) > 2 * NEAR:
-        windows = np.lib.stride_tricks.sliding_window_view(h, NEAR)
-        before, behind = windows[:-NEAR - 1].min(axis=1), windows[NEAR + 1:].min(axis=1)
-        middle = h[NEAR:-NEAR]
-        out += (np.flatnonzero((middle < before) & (middle <= behind)) + NEAR + 1).tolist()
-    return [k for a, b in zip(out, [*out[1:], len(words)]) for k in range(a, b, long)]
+
+def _least(words: list[str]) -> np.ndarray:
+    """Places of words that, with the word before them, have a hash below those of the NEAR words before and not above
+    those of the NEAR words behind: the same words have the same places wherever they stand."""
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h[1:] += flat.mix(h[:-1])
+    h = flat.mix(h)
+    n = len(h) - 2 * NEAR
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    middle = h[NEAR: NEAR + n]
+    least = np.ones(n, bool)
+    for k in range(NEAR):
+        least &= (middle < h[k: k + n]) & (middle <= h[NEAR + 1 + k: NEAR + 1 + k + n])
+    return np.flatnonzero(least) + NEAR
 
 
 def sentences(text: str, long: int = LONG) -> list[tuple[int, int, str, int]]:
     """(start, end, words joined by blanks, number of words) of each sentence; together they are the whole text.
 
     A sentence ends after a full stop, question or exclamation mark before white space, or at a line end; the marks of
-    Chinese and Japanese need no white space. Sentences of more than `long` words are cut (see `_cuts`). The white space
-    behind belongs to a sentence. Sentences without words belong to the one before.
+    Chinese and Japanese need no white space. Sentences of more than `long` words are cut at the words of `_least` that
+    see only words of their sentence, and where no such word comes, after `long` words. The white space behind belongs to
+    a sentence. Sentences without words belong to the one before.
     """
-    out: list[tuple[int, int, str, int]] = []
-    at = 0
+    words: list[str] = []
     places: list[int] = []
-    inside: list[str] = []
-    closing = False
-
-    def close(end: int) -> None:
-        if len(inside) <= long:
-            out.append((places[0], end, " ".join(inside), len(inside)))
-            return
-        cuts = _cuts(inside, long)
-        for a, b in zip(cuts, [*cuts[1:], len(inside)]):
-            out.append((places[a], places[b] if b < len(inside) else end, " ".join(inside[a:b]), b - a))
-
-    for m in (_WORD if not text.isascii() and _DENSE_ONE.search(text) else _BLANKS).finditer(text):
+    first = [0]  # words that begin a sentence
+    at, closing = 0, False
+    dense = not text.isascii() and _DENSE_ONE.search(text) is not None
+    for m in (_WORD if dense else _BLANKS).finditer(text):
         start, word = m.start(), m[0]
-        if inside and (closing and (start > at or _STOP.search(inside[-1])) or start > at and "\n" in text[at: start]):
-            close(start)
-            places, inside = [], []
+        if closing and (start > at or _STOP.search(words[-1])) or "\n" in text[at: start]:
+            if words:
+                first.append(len(words))
+        words.append(word)
         places.append(start)
-        inside.append(word)
         at = m.end()
-        closing = word[-1] in _ENDS or word[-1] > "\u2000" and _STOP.search(word) is not None
-    if inside:
-        close(len(text))
-    if out and out[0][0]:
-        out[0] = (0, *out[0][1:])
-    return out
+        last = word[-1]
+        closing = last in _ENDS or dense and last > "\u2000" and _STOP.search(word) is not None
+    if not words:
+        return []
+    first.append(len(words))
+    cuts, least = [], None
+    for a, b in zip(first, first[1:]):
+        if b - a <= long:
+            cuts.append(a)
+            continue
+        if least is None:
+            least = _least(words)
+        inner = least[np.searchsorted(least, a + 1 + NEAR): np.searchsorted(least, b - NEAR)].tolist()
+        for x, y in zip([a, *inner], [*inner, b]):
+            cuts += range(x, y, long)
+    cuts.append(len(words))
+    places.append(len(text))
+    places[0] = 0
+    return [(places[a], places[b], " ".join(words[a:b]), b - a) for a, b in zip(cuts, cuts[1:])]
 
 
 def runs(units: list[tuple[int, int, str, int]], least: int, words: int) -> set[tuple[int, int]]:
@@ -108,54 +126,60 @@ def runs(units: list[tuple[int, int, str, int]], least: int, words: int) -> set[
     return found
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+
+
 def occurrences(documents: DataFrame, least: int = 2, words: int = 12, long: int = LONG) -> DataFrame:
-    """doc_id, first, n (sentences), hash and size (characters of its words) of every run of every document."""
+    """doc_id, text_hash, first, n (sentences), hash and size (characters of its words) of every run of every document."""
 
     def finder():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, firsts, counts, hashes, sizes = [], [], [], [], []
+            ids, keys, firsts, counts, hashes, sizes = [], [], [], [], [], []
             texts = batch.column("text")
-            names = batch.column("doc_id").to_pylist()
+            names, whole = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
             for at in range(0, batch.num_rows, 64):
-                for name, text in zip(names[at: at + 64], texts.slice(at, 64).to_pylist()):
+                for name, key, text in zip(names[at: at + 64], whole[at: at + 64], texts.slice(at, 64).to_pylist()):
                     units = sentences(text or "", long)
                     for first, end in runs(units, least, words):
                         run = " ".join([u[2] for u in units[first:end]]).encode()
                         ids.append(name)
+                        keys.append(key)
                         firsts.append(first)
                         counts.append(end - first)
                         hashes.append(xxhash.xxh3_64_intdigest(run) - (1 << 63))
                         sizes.append(len(run))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()),
-                                               pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], ["doc_id", "first", "n", "hash", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()),
+                                               pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], ["doc_id", "text_hash", "first", "n", "hash", "size"])
         return f
 
-    return per_row(documents.select("doc_id", "text"), finder, "doc_id long, first int, n int, hash long, size int")
+    return per_row(documents.select("doc_id", "text", _text_hash()), finder, "doc_id long, text_hash long, first int, n int, hash long, size int")
 
 
 def covered(documents: DataFrame, least: int = 2, words: int = 12, long: int = LONG) -> DataFrame:
-    """doc_id and spans (first and end sentence) of the runs that repeat an earlier one, for documents that have some.
+    """doc_id, text_hash and spans (first and end sentence) of the runs that repeat an earlier one, for documents that have some.
 
     Runs are equal if their words are, whatever white space stands between; they are compared by a 64-bit hash and their
-    length. The first occurrence is that of the least (doc_id, place). Documents without an id come before all others.
+    length. The first occurrence is that of the least (doc_id, hash of the text, place). Documents without an id come before all others.
     """
     found = materialise(occurrences(documents, least, words, long), "sentence-runs")
-    place = F.struct(F.col("doc_id").alias("d"), F.col("first").alias("p"))
+    place = F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("first").alias("p"))
     first = materialise(found.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"))
                         .filter("times > 1").select("hash", "size", "kept"), "repeated-runs")
-    again = found.join(first, ["hash", "size"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.d")) & (F.col("first") == F.col("kept.p"))))
-    return again.select("doc_id", "first", (F.col("first") + F.col("n")).alias("end"))
+    again = found.join(first, ["hash", "size"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.d")) & (F.col("text_hash") == F.col("kept.h")) & (F.col("first") == F.col("kept.p"))))
+    return again.select("doc_id", "text_hash", "first", (F.col("first") + F.col("n")).alias("end"))
 
 
 def dedup(documents: DataFrame, least: int = 2, words: int = 12, long: int = LONG) -> DataFrame:
     """doc_id, text without covered sentences, n_sentences, n_removed and removed (first and end sentence of each part).
 
-    doc_id names a document; rows that repeat an id are copies at the same place and lose what that id loses, and a run
-    is not a repeat of itself in them. Null and empty texts have no sentences and stay as they are.
+    doc_id and the text name a document, also without an id; rows that repeat both are copies at the same place and lose
+    the same, and a run is not a repeat of itself in them. Null and empty texts have no sentences and stay as they are.
     """
     spans = covered(documents, least, words, long).distinct() \
-        .groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    joined = documents.select("doc_id", F.col("text").alias("__text")).join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    joined = documents.select("doc_id", F.col("text").alias("__text"), _text_hash()).join(
+        spans.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
 
     def cutter():
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))

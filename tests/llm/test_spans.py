@@ -98,3 +98,17 @@ def test_passages_inside_a_sentence_are_found_at_any_offset(spark, kind):
 def test_stops_of_other_scripts():
     assert [u[2].replace(" ", "") for u in spans.sentences("今天很好。我们去！「好。」他说")] == ["今天很好。", "我们去！", "「好。」", "他说"]
     assert [u[2] for u in spans.sentences("यह एक है। दो؟ তিন")] == ["यह एक है।", "दो؟", "তিন"]
+
+
+def test_rows_of_one_id_or_none_keep_their_own_spans(spark):
+    rnd = random.Random(6)
+    line = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)) + "."
+    shared = f"{line(9)} {line(9)}"
+    own = [f"{line(8)} {line(8)} {line(8)}" for _ in range(4)]
+    texts = [(None, line(5)), (None, f"{own[0]} {shared}"), (None, f"{own[1]} {own[2]} {shared}"), (7, own[3]), (7, f"{line(4)} {line(9)} {line(9)} {shared}"), (9, shared)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = collected(spans.dedup(df))
+    assert len(rows) == len(texts) and sum(shared in r["text"] for r in rows) == 1
+    for i, t in texts:
+        left = t.replace(shared, "").strip()
+        assert any(r["doc_id"] == i and r["text"].replace(shared, "").strip() == left for r in rows)
