@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import flat, ftrl
-from .common import materialise, per_row, remainder, sampled, small_batches, table
+from .common import materialise, per_row, remainder, small_batches, table
 
 BITS = 16
 SHARD = 3_000
@@ -110,17 +110,39 @@ def _document_frequency(rows: DataFrame, bits: int) -> tuple[int, np.ndarray]:
     return n, df
 
 
+def share(counts: dict[str, int], most: int) -> int:
+    """Rows of a language that are learnt from at most, so that all languages together have about `most`; one at least."""
+    left, rest = most, sorted(counts.values())
+    while rest and rest[0] * len(rest) <= left:
+        left -= rest.pop(0)
+    return max(1, left // len(rest)) if rest else max(counts.values(), default=1)
+
+
+def drawn(rows: DataFrame, most: int) -> DataFrame:
+    """All rows of languages with no more than their `share`, and about that many of every other language, by a hash of the id.
+
+    Ten more of a language are drawn, so that chance leaves none out. The same ids are picked however the rows are dealt out.
+    """
+    counts = dict(rows.groupBy("lang").count().collect())  # one row for each class of the model
+    if sum(counts.values()) <= most:
+        return rows
+    each = share(counts, most)
+    near = rows.sparkSession.createDataFrame([(lang, int(min(1.0, (each + 10) / n if n > each else 1.0) * (1 << 62))) for lang, n in counts.items()], "lang string, near long")
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 62))
+    return rows.join(F.broadcast(near), "lang").filter(place < F.col("near")).select("id", "text", "lang")
+
+
 def learn(rows: DataFrame, most: int = 12_000, bits: int = BITS, rates: ftrl.Rates = RATES) -> Model | None:
     """A model of the rows (id, text, lang); None without any row that has a language.
 
-    Document frequencies are counted over all rows. The weights are learnt from about `most` rows at most (see
-    `sampled`), a sixth of which only fits the temperature; shards learn apart and are averaged.
+    Document frequencies are counted over all rows. The weights are learnt from about `most` rows at most, drawn per
+    language (see `drawn`), a sixth of which only fits the temperature; shards learn apart and are averaged.
     """
     n, df = _document_frequency(rows, bits)
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    some = sampled(rows, "id", most)
+    some = drawn(rows, most)
 
     def feature_rows():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -63,3 +63,15 @@ def test_temperature_lowers_the_loss():
     t = langid.fit_temperature(z, y)
     assert 4 < t < 8.5
     assert langid.fit_temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
+
+
+def test_a_rare_language_is_learnt_beside_a_hot_one(spark):
+    rnd = random.Random(2)
+    said = lambda lang: " ".join(rnd.choice(WORDS[lang]) for _ in range(20))
+    rows = [(i, said("de" if i % 200 == 7 else "en"), "de" if i % 200 == 7 else "en") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    assert langid.share({"en": 3980, "de": 20}, 120) == 100 and langid.share({"a": 5, "b": 5}, 4) == 2 and langid.share({"a": 1}, 4) == 1
+    picked = collected(langid.drawn(df, 120))
+    assert sum(r["lang"] == "de" for r in picked) == 20 and 60 <= sum(r["lang"] == "en" for r in picked) <= 160
+    assert sorted(r["id"] for r in picked) == sorted(r["id"] for r in collected(langid.drawn(df.repartition(7), 120)))
+    assert langid.learn(df, most=12).langs == ("de", "en")
