@@ -56,6 +56,66 @@ TEMPLATES = {
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 }
 
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. ")
+TEMPLATES |= {
+    "BSD-2-Clause": _BSD + _AS_IS,
+    "BSD-3-Clause": _BSD + (
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission. ") + _AS_IS,
+    "0BSD": TEMPLATES["ISC"].replace(
+        ", provided that the above copyright notice and this permission notice appear in all copies.", "."),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in "
+        "the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must "
+        "not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any "
+        "means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        "software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and "
+        "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the "
+        "following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+        "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language "
+        "processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR "
+        "ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "GPL-2.0-header": TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+    "AGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General"),
+    "LGPL-2.1-header": TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "GPL-2.0-notice": TEMPLATES["GPL-3.0-notice"].replace("version 3", "version 2"),
+    "AGPL-3.0-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Lesser General"),
+    "LGPL-2.1-notice": TEMPLATES["GPL-3.0-notice"].replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+} | {f"CC-{kind}-{v}-notice": f"Licensed under CC {kind} {v}." for v in ("3.0", "4.0") for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")}
+# Names of licenses and of their variants: one that stands between aligned words is of another license.
+OTHER = "mit bsd isc apache gpl lgpl agpl gfdl affero lesser mozilla mpl eclipse epl zlib boost unlicense cc0 nc sa nd".split()
+TELLING = "affero lesser by nc sa nd".split()  # and numbers; those of a template must align
+
 
 def increasing(values: list[int]) -> list[int]:
     """Places of a longest increasing subsequence of distinct values."""
@@ -117,13 +177,28 @@ class Template:
     words: list[int]
     pairs: np.ndarray  # sorted hashes of pairs of words that occur once
     place: np.ndarray
+    telling: frozenset[int]  # places of words that must align
+    other: frozenset[int]  # hashes of words that must not stand between aligned ones
 
     @staticmethod
     def of(name: str, text: str) -> Template:
         data = np.frombuffer(text.encode(), np.uint8)
-        words = flat.Tokens(data, np.array([0, len(data)]), WORD, flat.LOWER).hashes
+        t = flat.Tokens(data, np.array([0, len(data)]), WORD, flat.LOWER)
+        words = t.hashes
         pairs, place, times = np.unique(kgrams(words, 2), return_index=True, return_counts=True)
-        return Template(name, words.tolist(), pairs[times == 1], place[times == 1])
+        said = [data[a:b].tobytes().decode().lower() for a, b in zip(t.starts, t.ends)]
+        variant = len(said) < 20 or "gnu" in said  # in long texts "by" and the numbers of clauses tell nothing
+        version = {i for i, w in enumerate(said) if w.isdigit() and (variant or i and said[i - 1] in ("version", "v"))}
+        telling = {i for i, w in enumerate(said) if w in TELLING and (w != "by" or "cc" in said)} | version
+        other = " ".join(w for w in OTHER if w not in said).encode()
+        other = flat.Tokens(np.frombuffer(other, np.uint8), np.array([0, len(other)]), WORD, flat.LOWER).hashes
+        return Template(name, words.tolist(), pairs[times == 1], place[times == 1], frozenset(telling), frozenset(other.tolist()))
+
+    def told(self, matched: list[tuple[int, int]], text: list[int]) -> bool:
+        """Whether the words align that tell the license from its variants, and no other license is named between."""
+        aligned = dict(matched)
+        return self.telling <= set(aligned.values()) and all(
+            i in aligned or text[i] not in self.other for i in range(matched[0][0], matched[-1][0]))
 
     def regions(self, places: np.ndarray, at: np.ndarray, first: int, last: int) -> list[tuple[int, int]]:
         """Where the template may stand in one text (words first .. last), from its pairs found: where, and which."""
@@ -166,9 +241,10 @@ def scan_tokens(t: flat.Tokens, templates: list[Template], least: float) -> list
             row = int(rows[group[0]])
             first, last = int(t.rows[row]), int(t.rows[row + 1])
             for a, b in template.regions(places[group], template.place[at[places[group]]], first, last):
-                matched = align(t.hashes[a:b].tolist(), template.words)
+                text = t.hashes[a:b].tolist()
+                matched = align(text, template.words)
                 coverage = len(matched) / len(template.words)
-                if coverage >= least:
+                if coverage >= least and template.told(matched, text):
                     found.setdefault(row, []).append((len(matched), coverage, template.name, a + matched[0][0] - first, a + matched[-1][0] + 1 - first))
     out = []
     for row in sorted(found):
@@ -184,7 +260,7 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float =
     """One row for each license found: the kept columns, license_id, coverage, start_word and end_word.
 
     Words are runs of letters and digits, A-Z lower-cased. A license stands where at least `least` of its words align,
-    and of overlapping findings the one with more aligned words stays (then higher coverage, then the first by name).
+    with all that tell versions and variants apart, and of overlapping findings the one with more aligned words stays (then higher coverage, then the first by name).
     Texts that are null, empty or without a license give no row; repeated rows give their findings each.
     """
     spark = df.sparkSession

@@ -81,3 +81,20 @@ def test_empty_and_the_notices_in_documents(spark):
     texts = dict(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
     got = {(r["doc_id"], r["license_id"]) for r in collected(L.op5_licenses(spark, d)) if r["coverage"] == 1.0}
     assert got == {(i, n) for i, t in texts.items() for n, x in L.TEMPLATES.items() if n.endswith("notice") and x in t}
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    gpl = L.TEMPLATES["GPL-3.0-header"]
+    own = sorted(L.TEMPLATES)
+    texts = [f"before it {L.TEMPLATES[n]} and behind" for n in own]
+    others = ["Licensed under CC BY-NC 2.5.", "Released under the BSD License.", gpl.replace("version 3", "version 7"), L.TEMPLATES["GPL-3.0-notice"].replace("GNU", "GNU Affero").replace("3", "4"),
+              "Licensed under the Apache License, Version 1.1."]
+    named = [("Licensed under CC BY 4.0.", "CC-BY-4.0-notice"), (gpl.replace("GNU General", "GNU Affero General"), "AGPL-3.0-header"),
+             (L.TEMPLATES["GPL-3.0-notice"].replace("3", "2"), "GPL-2.0-notice")]
+    got = {}
+    for r in collected(L.scan(documents(spark, [(t, "en") for t in [*texts, *others, *(t for t, _ in named)]], extra=False))):
+        got.setdefault(r["doc_id"], []).append(r["license_id"])
+    n = len(own)
+    assert [got.get(i) for i in range(n)] == [[x] for x in own]
+    assert [got.get(n + i) for i in range(len(others))] == [None] * len(others)
+    assert [got[n + len(others) + i] for i in range(len(named))] == [[x] for _, x in named]
