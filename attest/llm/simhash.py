@@ -208,7 +208,7 @@ def search_plan(n: int, similarity: float, recall: float, lanes: int = LANES) ->
     return int(bits * p + 3 * math.sqrt(bits * p * (1 - p))), width, math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** width))
 
 
-RANKS = (0, 2, 8, 1 << 30)  # candidates of a text in a cell, nearest first, that one round after the other compares
+JOINED = 200_000  # texts of which the first round knows in a task what is joined already
 SETS = 1 << 20  # shingles of texts that a task keeps for the next pairs
 _TEXT = ("t1", "t2")  # two hashes of a text, which name it
 
@@ -226,6 +226,23 @@ def _nearest(query: np.ndarray, node: np.ndarray, distance: np.ndarray) -> tuple
     return query, node, np.arange(len(query)) - np.repeat(head, np.diff(np.append(head, len(query))))
 
 
+def _forest(x: np.ndarray, y: np.ndarray, up: dict[int, int]) -> np.ndarray:
+    """Which pairs join two sets of `up`, one after the other."""
+    def root(n: int) -> int:
+        while (above := up.setdefault(n, n)) != n:
+            up[n] = n = up[above]
+        return n
+
+    if len(up) > JOINED:
+        up.clear()
+    out = np.zeros(len(x), bool)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+        a, b = root(a), root(b)
+        if a != b:
+            up[a], out[k] = b, True
+    return out
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs a, b whose texts' distinct shingles have at least the Jaccard similarity."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
@@ -264,8 +281,8 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
 
     Links are pairs of texts whose distinct shingles have at least the Jaccard similarity, compared exactly. Candidates
     are pairs whose wide fingerprints share a band of bits and are within the radius of `search_plan`; they meet in cells
-    of bounded size, where one side's BK-tree answers the other. A text's nearest candidates are compared first; later
-    rounds compare all others that are not in one component by then, so a large group of copies needs few pairs. Rows
+    of bounded size, where one side's BK-tree answers the other. A tree over the texts' nearest candidates is compared first; then
+    the cells compare all others that are not in one component by then, so a large group of copies needs few pairs. Rows
     without words are copies of each other. Ids as in `near_duplicates`.
     """
 
@@ -300,55 +317,85 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
     banded = materialise(per_row(prints.select("node", "print"), keys, "node long, keys array<long>").select("node", F.posexplode("keys").alias("band", "key")), "bands")
     dealt = cells.deal(banded, block)
 
-    def meeting(low: int, high: int):
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in cells.whole(batches):
-                fingerprint = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
-                start = cells.starts(rows)
-                cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.num_rows)))
-                left, own = rows["left"].to_numpy(), (rows["i"].to_numpy() == rows["j"].to_numpy())
-                node, root, size = (rows[n].to_numpy() for n in ("node", "root", "size"))
-                nodes = np.flatnonzero(left)
-                forest = Forest(fingerprint[nodes], cell[nodes])
-                tree_of = np.full(len(start), -1)
-                tree_of[cell[nodes[forest.roots]]] = np.arange(len(forest.roots))
-                asked = np.flatnonzero((own | ~left) & (tree_of[cell] >= 0))
-                found = []
-                for query, hit in forest.search(fingerprint[asked], tree_of[cell[asked]], radius, FRONTIER):
-                    query, hit = asked[query], nodes[hit]
-                    # Sets of so unlike sizes cannot reach the similarity.
-                    ok = (query != hit) & (np.minimum(size[query], size[hit]) >= similarity * np.maximum(size[query], size[hit]) - 1e-6)
-                    found.append((query[ok], hit[ok]))
-                if not found:
-                    continue
-                query, hit = (np.concatenate(x) for x in zip(*found))
-                query, hit, rank = _nearest(query, hit, distances(fingerprint[query], fingerprint[hit]))
-                # Pairs of this round, and of each cell with more of them one mark for the next round.
-                ok = (rank >= low) & (rank < high) & (root[query] != root[hit])
-                more = start[np.unique(cell[query[rank >= high]])]
-                x, y = node[query[ok]], node[hit[ok]]
-                names = [pa.array(np.append(np.zeros(len(x), t), rows[k].to_numpy()[more].astype(t))) for k, t in zip(cells.KEYS, (np.int32, np.int64, np.int32, np.int32))]
-                none = np.zeros(len(more), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(x, y), none)), pa.array(np.append(np.maximum(x, y), none)),
-                                                  pa.array(np.append(np.zeros(len(x), bool), np.ones(len(more), bool))), *names], ["a", "b", "more", *cells.KEYS])
-        return meet
-
-    named = _named_texts(df)
-    links, roots = None, None
-    for k, (low, high) in enumerate(zip(RANKS, RANKS[1:])):
-        payload = prints.select("node", "print", "size", F.col("node").alias("root")) if roots is None else \
-            prints.select("node", "print", "size").join(roots, "node", "left").select("node", "print", "size", F.coalesce("root", "node").alias("root"))
-        found = materialise(cells.gathered(dealt, payload).mapInArrow(meeting(low, high), "a long, b long, more boolean, band int, key long, i int, j int"), f"similar-met-{k}")
-        pairs = materialise(found.filter("not more").select("a", "b").distinct(), f"similar-pairs-{k}")
-        wanted = prints.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", "t.*")
-        texts = materialise(named.drop("doc_id").join(materialise(wanted, f"similar-wanted-{k}"), list(_TEXT)).groupBy("node").agg(F.first("text").alias("text")), f"similar-texts-{k}")
-        alike = materialise(_alike(pairs, texts, words, similarity), f"similar-links-{k}")
-        links = alike if links is None else links.union(alike)
-        roots = components(links)
-        rest = found.filter("more").select(*cells.KEYS)
-        if rest.isEmpty():
-            break
-        dealt = materialise(dealt.join(rest, list(cells.KEYS), "left_semi"), f"similar-rest-{k}")
+    def candidates(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the pairs within the radius, and which is the nearest of its query."""
+        fingerprint = np.frombuffer(b"".join(rows["print"].to_pylist()), ">u8").reshape(rows.num_rows, -1).astype(np.uint64)
+        start = cells.starts(rows)
+        cell = np.repeat(np.arange(len(start)), np.diff(np.append(start, rows.num_rows)))
+        left, own = rows["left"].to_numpy(), (rows["i"].to_numpy() == rows["j"].to_numpy())
+        nodes, size = np.flatnonzero(left), rows["size"].to_numpy()
+        forest = Forest(fingerprint[nodes], cell[nodes])
+        tree_of = np.full(len(start), -1)
+        tree_of[cell[nodes[forest.roots]]] = np.arange(len(forest.roots))
+        asked = np.flatnonzero((own | ~left) & (tree_of[cell] >= 0))
+        found = [np.zeros((2, 0), np.int64)]
+        for query, hit in forest.search(fingerprint[asked], tree_of[cell[asked]], radius, FRONTIER):
+            query, hit = asked[query], nodes[hit]
+            # Sets of so unlike sizes cannot reach the similarity.
+            ok = (query != hit) & (np.minimum(size[query], size[hit]) >= similarity * np.maximum(size[query], size[hit]) - 1e-6)
+            found.append(np.stack([query[ok], hit[ok]]))
+        query, hit = np.concatenate(found, axis=1)
+        query, hit, rank = _nearest(query, hit, distances(fingerprint[query], fingerprint[hit]))
+        return query, hit, rank == 0
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        for rows in cells.whole(batches):
+            query, hit, ok = candidates(rows)
+            node = rows["node"].to_numpy()
+            ok[ok] = _forest(node[query[ok]], node[hit[ok]], up)
+            x, y, more = node[query[ok]], node[hit[ok]], np.unique(np.append(query[~ok], hit[~ok]))
+            # Pairs to compare, and the rows of all others for the next round.
+            rest = [pa.array(np.append(np.zeros(len(x), t), rows[k].to_numpy()[more].astype(t)))
+                    for k, t in zip((*cells.KEYS, "left"), (np.int32, np.int64, np.int32, np.int32, bool))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(x, y), node[more])), pa.array(np.append(np.maximum(x, y), node[more])),
+                                              pa.array(np.append(np.zeros(len(x), bool), np.ones(len(more), bool))), *rest], ["a", "b", "more", *cells.KEYS, "left"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cells.whole(batches, 512):
+            query, hit, _ = candidates(rows)
+            node, root, size, kept = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["size"].to_numpy(), {}
+            ok = (root[query] != root[hit]) & ((query > hit) | ~rows["left"].to_numpy()[query])
+            up: dict[int, int] = {}
+            a, b = [], []
+
+            def shingles(k: int, rows=rows, kept=kept) -> frozenset:
+                if k not in kept:
+                    kept[k] = frozenset(np.frombuffer(rows["shingles"][k].as_py(), np.uint64).tolist())
+                return kept[k]
+
+            for x, y in zip(query[ok].tolist(), hit[ok].tolist()):
+                common = len(shingles(x) & shingles(y))
+                if common and common / (int(size[x]) + int(size[y]) - common) >= similarity:
+                    a.append(int(node[x]))
+                    b.append(int(node[y]))
+            joins = _forest(np.array(a, np.int64), np.array(b, np.int64), up)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[joins]), pa.array(np.array(b, np.int64)[joins])], ["a", "b"])
+
+    def hashed():
+        def f(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], ["node", "shingles"])
+        return f
+
+    named = _named_texts(df).drop("doc_id")
+
+    def texts(nodes: DataFrame, name: str) -> DataFrame:
+        wanted = materialise(prints.join(nodes.distinct(), "node").select("node", "t.*"), f"{name}-wanted")
+        return named.join(wanted, list(_TEXT)).groupBy("node").agg(F.first("text").alias("text"))
+
+    found = materialise(cells.gathered(dealt, prints.select("node", "print", "size"))
+                        .mapInArrow(meet, "a long, b long, more boolean, band int, key long, i int, j int, left boolean"), "similar-met")
+    pairs = materialise(found.filter("not more").select("a", "b").distinct(), "similar-pairs")
+    held = materialise(texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), "similar-texts"), "similar-texts")
+    links = materialise(_alike(pairs, held, words, similarity), "similar-links")
+    roots = components(links)
+    rest = found.filter("more").select(F.col("a").alias("node"), *cells.KEYS, "left")
+    if not rest.isEmpty():
+        sets = materialise(per_row(texts(rest.select("node"), "similar-sets"), hashed, "node long, shingles binary"), "similar-sets")
+        payload = prints.select("node", "print", "size").join(sets, "node").join(roots, "node", "left") \
+            .select("node", "print", "size", "shingles", F.coalesce("root", "node").alias("root"))
+        more = materialise(cells.gathered(rest, payload).mapInArrow(compare, "a long, b long"), "similar-more-links")
+        roots = components(links.union(more))
     rooted = materialise(prints.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root")), "similar-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "similar-components")
     classes = materialise(rooted.join(named, "root").select("same", "component_id"), "similar-classes")
