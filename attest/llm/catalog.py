@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe
+from .bytebpe import op13_bytebpe
 from .chat import op4_chat
 from .langid import op3_language
 from .licenses import op5_licenses
@@ -17,7 +18,8 @@ from .spans import op6_spans
 from .winnow import op7_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_quality, op2_bpe, op3_language, op4_chat, op5_licenses, op6_spans, op7_winnow, op8_secrets, op9_simhash, op10_vectors)}
+    op1_quality, op2_bpe, op3_language, op4_chat, op5_licenses, op6_spans, op7_winnow, op8_secrets, op9_simhash, op10_vectors,
+    op13_bytebpe)}
 ORACLES: dict[str, str] = {}
 
 
