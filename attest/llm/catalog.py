@@ -16,11 +16,12 @@ from .secrets import op8_secrets
 from .simhash import op9_simhash
 from .spans import op6_spans
 from .turntrie import op11_turntrie
+from .variants import op12_variants
 from .winnow import op7_winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality, op2_bpe, op3_language, op4_chat, op5_licenses, op6_spans, op7_winnow, op8_secrets, op9_simhash, op10_vectors,
-    op11_turntrie, op13_bytebpe)}
+    op11_turntrie, op12_variants, op13_bytebpe)}
 ORACLES: dict[str, str] = {}
 
 

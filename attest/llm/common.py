@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialise
+from ..session import materialise, released
 
-__all__ = ["materialise", "table", "remainder", "per_row", "sampled", "small_batches"]
+__all__ = ["materialise", "released", "table", "remainder", "per_row", "sampled", "small_batches"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialise, per_row, released, table
+from .common import materialise, released, small_batches, table
 
 RUN = re.compile("[a-zÀ-ÿ]+")  # of a text whose A-Z are lower case
 EVERY = 97  # runs of which one loses a character
@@ -56,31 +56,28 @@ def run_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     A word is a run of letters A-Z (in lower case) and U+00C0 to U+00FF, misspelt by a rule of doc_id and run: a null doc_id counts
     as an empty text. Null texts have no words; repeated rows count each. Counts are summed in every task before they are shuffled.
     """
-    def counter():
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: Counter[str] = Counter()
-            for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("__text")
-                for i, name in enumerate(ids):
-                    text = texts[i].as_py()
-                    if not text:
-                        continue
-                    key = f"{'' if name is None else name}:".encode()
-                    start = zlib.crc32(key)
-                    for run, n in _runs(text).items():
-                        word = misspelt(run, key, start)
-                        if len(word) >= LEAST_POINTS:
-                            counts[word] += n
-                    if len(counts) >= COUNTED:
-                        yield _counted(counts)
-                        counts = Counter()
-            if counts:
-                yield _counted(counts)
-        return f
-
-    small = documents.select("doc_id", F.col(text_col).alias("__text"))
-    per_row(small, lambda: None, "n long")  # bounds the batches
-    found = small.mapInArrow(counter(), "word string, n long")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("__text")
+            for i, name in enumerate(ids):
+                text = texts[i].as_py()
+                if not text:
+                    continue
+                key = f"{'' if name is None else name}:".encode()
+                start = zlib.crc32(key)
+                for run, n in _runs(text).items():
+                    word = misspelt(run, key, start)
+                    if len(word) >= LEAST_POINTS:
+                        counts[word] += n
+                if len(counts) >= COUNTED:
+                    yield _counted(counts)
+                    counts = Counter()
+        if counts:
+            yield _counted(counts)
+
+    small_batches(documents.sparkSession)
+    found = documents.select("doc_id", F.col(text_col).alias("__text")).mapInArrow(counted, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TIMES)
 
 
@@ -168,21 +165,18 @@ def neighbours(words: DataFrame) -> DataFrame:
 
     Words must be distinct. Every level is written out, and those before it are given up.
     """
-    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 0
+    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 1
     at = cuts(longest - longest // 2)
     tries = materialise(edges(words, at), "variant-edges")
-    states, found = frontier(words), []
+    states, found, last = frontier(words), [], None
     for level in range(len(at) - 1):
-        before = states
-        states = materialise(advance(before, tries.filter(F.col("level") == level)), f"variant-states-{level}")
+        met = materialise(advance(states, tries.filter(F.col("level") == level)), f"variant-states-{level}")
         # At the end of a path: one edit is spent, or the last character is the one to delete.
-        ended = states.filter((F.col("at").isNotNull()) & ((F.col("edits") == 1) | (F.col("position") < F.char_length("word"))))
+        ended = met.filter((F.col("at").isNotNull()) & ((F.col("edits") == 1) | (F.col("position") < F.char_length("word"))))
         found.append(materialise(ended.select("reverse", "length", F.col("word").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_a"), F.col("at").alias("n_b")), f"variant-pairs-{level}"))
-        if level:
-            released(before)
-        states = states.filter(F.col("at").isNull()).drop("at")
-    if not found:
-        return words.select(F.col("word").alias("a"), F.col("word").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).limit(0)
+        if last is not None:
+            released(last)
+        last, states = met, met.filter(F.col("at").isNull()).drop("at")
     pairs = reduce(DataFrame.union, found)
     forth = [F.when(F.col("reverse"), F.reverse(c)).otherwise(F.col(c)).alias(c) for c in ("a", "b")]
     # What agrees in the first half, too, is found there.
@@ -210,9 +204,8 @@ def variants(words: DataFrame) -> DataFrame:
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(often, F.col("best.w")).alias("form"), F.when(often, -F.col("best.m")).alias("form_n")), "variant-forms")
     # Occurrences at least double with each form, so ways are short; each round halves them.
     up = materialise(rows.filter("form is not null").select("word", F.col("form").alias("root")), "variant-up")
-    while not (more := up.join(up.select(F.col("word").alias("root"), F.col("root").alias("above")), "root")).isEmpty():
-        before, up = up, materialise(up.join(up.select(F.col("word").alias("root"), F.col("root").alias("above")), "root", "left")
-                                     .select("word", F.coalesce("above", "root").alias("root")), "variant-up")
+    while not (further := up.join(up.select(F.col("word").alias("root"), F.col("root").alias("above")), "root", "left")).filter("above is not null").isEmpty():
+        before, up = up, materialise(further.select("word", F.coalesce("above", "root").alias("root")), "variant-up")
         released(before)
     return rows.join(up, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
