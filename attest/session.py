@@ -43,4 +43,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/attest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._attest_path = path
+    return written
+
+
+def released(df: DataFrame) -> None:
+    """Delete the table that `materialise` wrote for df, once nothing reads it any more; other DataFrames stay as they are."""
+    path = getattr(df, "_attest_path", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
