@@ -160,11 +160,19 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+class _Numbers(dict):
+    """Words and their numbers, in the order in which they come first."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
 class _Block:
     """Pre-tokens of some documents: distinct words, and for each document the numbers of its words in order."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.places: list[np.ndarray] = []
         self.size = 0
         self.documents: list[tuple] = []
@@ -172,12 +180,8 @@ class _Block:
 
     def add(self, row: tuple, text: str, split) -> None:
         n = 0
-        number = self.number
         for words in split(text):
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            self.places.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+            self.places.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
             n += len(words)
         self.documents.append(row)
         self.lengths.append(n)
