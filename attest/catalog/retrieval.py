@@ -1,14 +1,16 @@
 """Vector, lexical and fused retrieval over vectors, documents and benchmark items."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from ..operators import embed, hybrid, lexical, vector_search
 from ..operators.hybrid import overlap_scorer, rerank, rrf, variants
 from ..session import materialise
 from . import query
-from .common import (CHUNKS_SQL, SQL_STOP, SQL_WORD, benchmark_queries, document_chunks, query_vectors, sql_words, table,
-                     vector_table)
+from .common import (CHUNKS_SQL, SQL_STOP, SQL_WORD, benchmark_queries, document_chunks, document_index, document_postings, query_vectors,
+                     sql_words, table, vector_table)
 
 K = 10
 
@@ -133,7 +135,7 @@ posted as (
 
 @query("postings", f"with {POSTINGS_SQL} select lexeme, chunk_id, n_a, n_b from posted")
 def postings(spark, d):
-    return lexical.postings(document_chunks(spark, d), stemmed=False).select("lexeme", "chunk_id", "n_a", "n_b")
+    return document_postings(spark, d).select("lexeme", "chunk_id", "n_a", "n_b")
 
 
 def terms_sql(source: str) -> str:
@@ -190,13 +192,13 @@ def query_terms(spark, d):
 
 @query("lexical_and_match", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
 def lexical_and_match(spark, d):
-    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    posted = document_postings(spark, d)
     return lexical.lexical_match(lexical.query_terms(benchmark_queries(spark, d), stemmed=False), posted).select("query_id", "group_no", "chunk_id")
 
 
 @query("lexical_web_match", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
 def lexical_web_match(spark, d):
-    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    posted = document_postings(spark, d)
     return lexical.lexical_match(lexical.query_terms(web_queries(spark, d), stemmed=False), posted).select("query_id", "group_no", "chunk_id")
 
 
@@ -248,21 +250,21 @@ LEXICAL_OUT = " select query_id, chunk_id, round(lexical_score, 6) lexical_score
 
 @query("lexical_topk", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=K)}{LEXICAL_OUT}")
 def lexical_topk(spark, d):
-    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    posted = document_postings(spark, d)
     out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "tf_weighted", stemmed=False)
     return out.withColumn("lexical_score", F.round("lexical_score", 6))
 
 
 @query("cover_density", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
 def cover_density(spark, d):
-    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    posted = document_postings(spark, d)
     out = lexical.lexical_topk(benchmark_queries(spark, d), posted, K, "cover_density", stemmed=False)
     return out.withColumn("lexical_score", F.round("lexical_score", 6))
 
 
 @query("cover_density_web", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
 def cover_density_web(spark, d):
-    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    posted = document_postings(spark, d)
     out = lexical.lexical_topk(web_queries(spark, d), posted, K, "cover_density", stemmed=False)
     return out.withColumn("lexical_score", F.round("lexical_score", 6))
 
@@ -290,6 +292,68 @@ def vector_rejects(spark, d):
     return vector_search.vector_rejects(rows)
 
 
+# --- stored index ------------------------------------------------------------------------------
+
+
+@query("index_postings", f"""with {POSTINGS_SQL}
+select lexeme, chunk_id, n_a, n_b, array_to_string(list(pos order by pos), ',') positions from posted join occurrences using (lexeme, chunk_id) group by all""")
+def index_postings(spark, d):
+    """The postings that a stored index holds after an increment with new and changed documents."""
+    found = document_index(spark, d).postings("bigint")
+    return found.select("lexeme", "chunk_id", "n_a", "n_b", F.array_join(F.transform("hits", lambda h: h["pos"]), ",").alias("positions"))
+
+
+@query("index_compacted", f"with {POSTINGS_SQL} select lexeme, chunk_id, n_a, n_b from posted")
+def index_compacted(spark, d):
+    index = document_index(spark, d)
+    return index.compacted(f"{index.path}-{uuid.uuid4().hex}").postings("bigint").select("lexeme", "chunk_id", "n_a", "n_b")
+
+
+@query("index_and_match", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
+def index_and_match(spark, d):
+    return document_index(spark, d).match(benchmark_queries(spark, d), "bigint").select("query_id", "group_no", "chunk_id")
+
+
+@query("index_web_match", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)} select query_id, group_no::int group_no, chunk_id from matched")
+def index_web_match(spark, d):
+    return document_index(spark, d).match(web_queries(spark, d), "bigint").select("query_id", "group_no", "chunk_id")
+
+
+@query("index_topk", f"with {POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=K)}{LEXICAL_OUT}")
+def index_topk(spark, d):
+    out = document_index(spark, d).topk(benchmark_queries(spark, d), K, "tf_weighted", "bigint", first=1)
+    return out.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+# Words that many documents hold, so that many windows could answer.
+COMMON_SOURCE = """select row_number() over (order by lexeme) query_id, lexeme query_text from (
+  select lexeme, count(*) n from posted group by 1 order by n desc, lexeme limit 20)"""
+
+
+def common_queries(spark, d):
+    words = document_postings(spark, d).groupBy("lexeme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lexeme").limit(20)
+    return words.select(F.row_number().over(Window.orderBy("lexeme")).alias("query_id"), F.col("lexeme").alias("query_text"))
+
+
+@query("index_common_topk", f"with {POSTINGS_SQL}, {terms_sql(COMMON_SOURCE)}, {TF_SQL.format(k=K)}{LEXICAL_OUT}")
+def index_common_topk(spark, d):
+    """The twenty words that most documents hold: most of their blocks are never read."""
+    out = document_index(spark, d).topk(common_queries(spark, d), K, "tf_weighted", "bigint", first=1)
+    return out.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query("index_cover_density", f"with {POSTINGS_SQL}, {terms_sql(WEB_SOURCE)}, {COVER_SQL.format(k=K)}{LEXICAL_OUT}")
+def index_cover_density(spark, d):
+    out = document_index(spark, d).topk(web_queries(spark, d), K, "cover_density", "bigint", first=1)
+    return out.withColumn("lexical_score", F.round("lexical_score", 6))
+
+
+@query("index_windows_skipped")
+def index_windows_skipped(spark, d):
+    """For each common word: windows with blocks of it, how many were read for its best ten, and how many never were."""
+    return document_index(spark, d).topk(common_queries(spark, d), K, "tf_weighted", "bigint", first=1, report=True)
+
+
 # --- fusion and reranking ---------------------------------------------------------------------
 
 CANDIDATES_SQL = f"{POSTINGS_SQL}, {terms_sql(BENCHMARK_SOURCE)}, {TF_SQL.format(k=50)}, {_vector_sql(BENCH_QUERIES, 50)}"
@@ -315,7 +379,7 @@ FUSED_OUT = (" select query_id, chunk_id, alpha, lexical_rank::int lexical_rank,
 
 
 def candidates(spark, d):
-    posted = lexical.postings(document_chunks(spark, d), stemmed=False)
+    posted = document_postings(spark, d)
     found = lexical.lexical_topk(benchmark_queries(spark, d), posted, 50, "tf_weighted", stemmed=False)
     return found, vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
 
