@@ -2,14 +2,16 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import embed, hybrid, lexical, vector_search
 from ..operators.hybrid import overlap_scorer, rerank, rrf, variants
-from ..session import materialise
+from ..session import checkpoint_folder, materialise
+from ..sources import vector_index
 from . import query
-from .common import (CHUNKS_SQL, SQL_STOP, SQL_WORD, benchmark_queries, document_chunks, document_index, document_postings, query_vectors,
+from .common import (CHUNKS_SQL, SQL_STOP, SQL_WORD, benchmark_queries, document_chunks, document_index, document_postings, once, query_vectors,
                      sql_words, table, vector_table)
 
 K = 10
@@ -93,6 +95,60 @@ def ivf_recall(spark, d):
     return out
 
 
+LISTS = 16
+
+
+@once
+def stored_cells(spark, d):
+    """A stored index of all vectors around sixteen of them; two thirds were placed first, the others later, some of the first again."""
+    vectors, n = vector_table(spark, d), F.col("chunk_id")
+    centres = [[float(x) for x in r["embedding"]] for r in vectors.where(n < LISTS).orderBy(n).select("embedding").collect()]
+    index = vector_index.VectorIndex.create(spark, f"{checkpoint_folder(spark)}/attest/cells-{uuid.uuid4().hex}", centres=centres)
+    turned = F.when(n % 5 == 0, F.reverse("embedding")).otherwise(F.col("embedding"))
+    index.add(vectors.where(n % 3 != 0).withColumn("embedding", turned))
+    index.add(vectors.where((n % 3 == 0) | (n % 5 == 0)))
+    return index
+
+
+def _cells_sql(probes: str) -> str:
+    """The best k of each query within its nearest cells, for numbers of cells."""
+    return f"""
+vec as (select vec_id chunk_id, embedding::double[] v from embeddings),
+centres as (select vec_id cell, embedding::double[] c from embeddings where vec_id < {LISTS}),
+cell_of as (select chunk_id, v, arg_min(cell, (-round(list_cosine_similarity(v, c), 10), cell)) cell from vec, centres group by 1, 2),
+asked as ({BENCH_QUERIES}),
+probed as (
+  select query_id, q, cell, row_number() over (partition by query_id order by round(list_cosine_similarity(q, c), 10) desc, cell) place from asked, centres),
+near as (
+  select n_probe, query_id, chunk_id, round(list_cosine_similarity(q, v), 10) similarity
+  from probed join cell_of on cell_of.cell = probed.cell, (values {probes}) p(n_probe) where place <= n_probe),
+near_ranked as (
+  select *, row_number() over (partition by n_probe, query_id order by similarity desc, chunk_id) vector_rank from near qualify vector_rank <= {K})"""
+
+
+@query("cells_topk", f"with {_cells_sql('(4)')} select query_id, chunk_id, round(similarity, 6) similarity, vector_rank::int vector_rank from near_ranked")
+def cells_topk(spark, d):
+    """The best ten within the four nearest cells of a stored index."""
+    out = stored_cells(spark, d).search(query_vectors(spark, d), K, n_probe=4)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("cells_recall", f"""with {_cells_sql('(1), (4), (8), (12), (16)')},
+best as (
+  select query_id, chunk_id from (select query_id, chunk_id, row_number() over (partition by query_id order by round(list_cosine_similarity(q, v), 10) desc, chunk_id) n from asked, vec)
+  where n <= {K})
+select n_probe::int n_probe, round(avg(hits / n), 6) recall from (
+  select n_probe, b.query_id, count(*) n, count(r.chunk_id)::double hits
+  from best b cross join (values (1), (4), (8), (12), (16)) p(n_probe) left join near_ranked r using (n_probe, query_id, chunk_id) group by 1, 2) group by 1""")
+def cells_recall(spark, d):
+    """Share of the exact best ten that a stored index finds, by the number of cells that are read."""
+    index, queries = stored_cells(spark, d), query_vectors(spark, d)
+    exact = materialise(vector_search.vector_topk(queries, vector_table(spark, d), K).select("query_id", "chunk_id"), "exact")
+    parts = [vector_index.recall(exact, index.search(queries, K, n_probe=n)).select(F.lit(n).alias("n_probe"), F.round("recall", 6).alias("recall"))
+             for n in (1, 4, 8, 12, 16)]
+    return reduce(DataFrame.union, parts)
+
+
 @query("embedding_batch")
 def embedding_batch(spark, d):
     """Documents embedded by the native model, as records."""

@@ -67,6 +67,38 @@ def stream_upserts(spark, d):
     return writers.read_buckets(spark, f"{place}/table")
 
 
+LATEST_SQL = """
+select user_id, event_type, event_id, value as "value" from (
+  select *, row_number() over (partition by user_id, event_type order by event_id desc) n from events) where n = 1"""
+
+
+def _batches(spark, d):
+    """All events in three batches, dealt out by a hash and given in another order than that of their ids."""
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    third = F.pmod(F.xxhash64("event_id", "user_id"), F.lit(3))
+    return [rows.where(third == n) for n in (2, 0, 1)]
+
+
+@query("shuffled_batches", LATEST_SQL)
+def shuffled_batches(spark, d):
+    """The last event of each user and type, from batches in any order: an older row never replaces a newer one."""
+    path = f"{checkpoint_folder(spark)}/attest/table-{uuid.uuid4().hex}"
+    for batch in _batches(spark, d):
+        writers.upsert_buckets(path, batch, ["user_id", "event_type"], buckets=8, version="event_id")
+    return writers.read_buckets(spark, path)
+
+
+@query("stream_shuffled_batches", LATEST_SQL)
+def stream_shuffled_batches(spark, d):
+    """The same from a stream that takes one of the three files at a time."""
+    place = f"{checkpoint_folder(spark)}/attest/increments-{uuid.uuid4().hex}"
+    for n, batch in enumerate(_batches(spark, d)):
+        batch.coalesce(1).write.parquet(f"{place}/in/batch={n}")
+    rows = spark.readStream.schema(_batches(spark, d)[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+    logs.load_increments(rows, f"{place}/table", ["user_id", "event_type"], f"{place}/state", version="event_id").awaitTermination()
+    return writers.read_buckets(spark, f"{place}/table")
+
+
 def _feedback(spark, d):
     n = F.col("turn")
     return table(spark, d, "conversations").select(

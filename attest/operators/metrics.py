@@ -4,10 +4,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
 from ..functions import text as X
+from ..session import materialise
+from .ordered import numbered
 from .topk import require_positive
 
 Weightings = Mapping[str, Mapping[str, float]]
@@ -113,66 +117,80 @@ def relevance(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, weightin
     return scored.select(*ranked.columns, "weighting", "score", (F.col("score") > C.RELEVANT_ABOVE).alias("relevant"))
 
 
+BUCKET = 32768  # combinations in a bitmap
+
+
+def _bitmaps(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`by`, bucket and bitmap: which numbers (no) of each bucket occur."""
+    return rows.groupBy(*by, F.floor(F.col("no") / BUCKET).cast("int").alias("bucket")).agg(F.bitmap_construct_agg(F.col("no") % BUCKET).alias("bitmap"))
+
+
+def _attributes(prefix: str, around: int = 0) -> Column:
+    """The compared attributes of a row as (kind, value); a page also as the pages around it."""
+    def one(kind: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")))
+
+    def each(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value")))
+
+    page = F.col(prefix + "page")
+    pages = F.when(page.isNotNull(), F.sequence(page - around, page + around)).otherwise(F.array().cast("array<int>"))
+    return F.concat(one("f1", F.col(prefix + "source")), each("f2", F.col(prefix + "sections")), each("f3", pages),
+                    each("f4", F.col(prefix + "types")), one("f5", F.col(prefix + "tier")))
+
+
 def corpus_relevant(queries: DataFrame, chunks: DataFrame, weightings: Weightings = C.WEIGHTINGS) -> DataFrame:
     """V-09: how many chunks of the corpus are relevant, per query and scheme.
 
-    Queries never meet chunks. The corpus is counted once per combination of
-    attributes; each query looks up the counts for the eight ways of asking for
-    source, page and tier, and inclusion-exclusion turns "at least these match"
-    into "exactly these match". Section overlap is counted apart, over distinct
-    section sets.
+    Combinations of attributes are counted and numbered. Each value of an attribute has a bitmap of the combinations that hold it,
+    and each binary digit of the counts one of those that have it. A query unites the bitmaps of its values, attribute by
+    attribute; every pattern of matching attributes is then an intersection, whose chunks are counted digit by digit. Queries never
+    meet chunks or combinations: rows between are values of queries, and five bitmaps for each query and bucket.
     """
+    check_weightings(weightings)
     combos = metadata(chunks, "c_").groupBy("c_source", "c_sections", "c_page", "c_types", "c_tier").agg(F.count("*").alias("n"))
-    gold = gold_metadata(queries)
-
-    # Counts for every subset of (source, page, tier), kept apart by block types.
-    wide = combos.groupBy("c_source", "c_page", "c_tier", "c_types").agg(F.sum("n").alias("n"))
-
-    def lookup_key(mask: Column, source: Column, page: Column, tier: Column) -> Column:
-        return F.struct(
-            mask.cast("int").alias("mask"),
-            F.when(mask.bitwiseAND(4) > 0, source).alias("s"), F.when(mask.bitwiseAND(2) > 0, page).alias("p"),
-            F.when(mask.bitwiseAND(1) > 0, tier).alias("t"))
-
-    masks = F.array(*[F.lit(m) for m in range(8)])
-    spread = wide.withColumn("mask", F.explode(masks)).where("(mask & 2) = 0 or c_page is not null")
-    counts = spread.groupBy(
-        lookup_key(F.col("mask"), F.col("c_source"), F.col("c_page"), F.col("c_tier")).alias("key"), "c_types"
-    ).agg(F.sum("n").alias("n"))
-    asked = gold.withColumn("mask", F.explode(masks))
-    around = F.when(F.col("mask").bitwiseAND(2) > 0, F.when(
-        F.col("g_page").isNotNull(), F.sequence(F.col("g_page") - C.PAGE_DISTANCE, F.col("g_page") + C.PAGE_DISTANCE))
-    ).otherwise(F.array(F.lit(None).cast("int")))
-    asked = asked.withColumn("page", F.explode(around)).select(
-        "query_id", "g_types", "mask", lookup_key(F.col("mask"), F.col("g_source"), F.col("page"), F.col("g_tier")).alias("key"))
-    at_least = asked.join(counts, "key").groupBy(
-        "query_id", "mask", F.arrays_overlap("c_types", "g_types").alias("types")).agg(F.sum("n").alias("n"))
-    parts = F.filter(masks, lambda p: p.bitwiseAND(F.col("mask")) == p)
-    sign = F.when((F.bit_count("mask") - F.bit_count("part")) % 2 == 0, 1).otherwise(-1)
-    exact = at_least.withColumn("part", F.explode(parts)).groupBy("query_id", "part", "types").agg(
-        F.sum(sign * F.col("n")).alias("all_n"))
-
-    # The share of each pattern whose sections overlap.
-    sets = combos.select("c_sections").distinct().withColumn("section", F.explode("c_sections"))
-    pairs = gold.select("query_id", F.explode("g_sections").alias("section")).join(sets, "section").select(
-        "query_id", "c_sections").distinct()
-    near = F.coalesce(F.abs(F.col("c_page") - F.col("g_page")) <= C.PAGE_DISTANCE, F.lit(False))
-    part = ((F.col("c_source") == F.col("g_source")).cast("int") * 4 + near.cast("int") * 2
-            + (F.col("c_tier") == F.col("g_tier")).cast("int"))
-    overlapping = pairs.join(combos, "c_sections").join(gold.drop("g_sections"), "query_id").groupBy(
-        "query_id", part.alias("part"), F.arrays_overlap("c_types", "g_types").alias("types")
-    ).agg(F.sum("n").alias("section_n"))
-
-    patterns = exact.join(overlapping, ["query_id", "part", "types"], "left").na.fill(0, ["section_n"])
-    rows = scheme_rows(patterns, weightings)
-    flags = [F.col("part").bitwiseAND(b) > 0 for b in (4, 2, 1)]
-
-    def hit(section: bool) -> Column:
-        return weighted(flags[0], F.lit(section), flags[1], F.col("types"), flags[2]) > C.RELEVANT_ABOVE
-
-    total = F.when(hit(False), F.col("all_n") - F.col("section_n")).otherwise(0) + F.when(
-        hit(True), F.col("section_n")).otherwise(0)
-    return rows.groupBy("query_id", "weighting").agg(F.sum(total).cast("long").alias("total_relevant"))
+    combos = materialise(numbered(combos, ["c_source", "c_sections", "c_page", "c_types", "c_tier"]), "combinations")
+    held = _bitmaps(combos.select("no", F.explode(_attributes("c_")).alias("a")).select("no", "a.kind", "a.value").where("value is not null"), ["kind", "value"])
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda j: F.call_function("getbit", F.col("n"), j) == 1)
+    counts = _bitmaps(combos.select("no", F.explode(digits).alias("digit")), ["digit"]).groupBy("bucket").agg(
+        F.array_sort(F.collect_list(F.struct("digit", "bitmap"))).alias("digits"))  # 63 at most
+    gold = materialise(gold_metadata(queries), "gold-attributes")
+    asked = gold.select("query_id", F.explode(F.array_distinct(_attributes("g_", C.PAGE_DISTANCE))).alias("a")).select("query_id", "a.kind", "a.value")
+    kinds = [f"f{i}" for i in range(1, 6)]
+    matched = asked.join(held, ["kind", "value"]).groupBy("query_id", "bucket", "kind").agg(F.bitmap_or_agg("bitmap").alias("bitmap")) \
+        .groupBy("query_id", "bucket").agg(*[F.max(F.when(F.col("kind") == k, F.col("bitmap"))).alias(k) for k in kinds])
+    names = list(weightings)
+    # Which patterns are relevant; the sum runs in the order of `weighted`.
+    relevant = {}
+    for pattern in range(32):
+        for name in names:
+            score = 0.0
+            for i, feature in enumerate(C.FEATURES):
+                score = score + float(weightings[name][feature]) * float(pattern >> i & 1)
+            if score > C.RELEVANT_ABOVE:
+                relevant.setdefault(pattern, []).append(names.index(name))
+
+    @F.pandas_udf("array<long>")
+    def totals(f1: pd.Series, f2: pd.Series, f3: pd.Series, f4: pd.Series, f5: pd.Series, digits: pd.Series) -> pd.Series:
+        out = []
+        for *bitmaps, own in zip(f1, f2, f3, f4, f5, digits):
+            words = [np.frombuffer(b, np.uint64) if b is not None else np.zeros(BUCKET // 64, np.uint64) for b in bitmaps]
+            weights = [(int(x["digit"]), np.frombuffer(x["bitmap"], np.uint64)) for x in own]
+            found = [0] * len(names)
+            for pattern, schemes in relevant.items():
+                some = np.full(BUCKET // 64, np.iinfo(np.uint64).max, np.uint64)
+                for i, w in enumerate(words):
+                    some = some & (w if pattern >> i & 1 else ~w)
+                n = sum(int(np.bitwise_count(some & w).sum()) << digit for digit, w in weights) if some.any() else 0
+                for s in schemes:
+                    found[s] += n
+            out.append(found)
+        return pd.Series(out, index=f1.index)
+
+    counted = matched.join(counts, "bucket").select("query_id", F.posexplode(totals(*kinds, "digits")).alias("scheme", "n")) \
+        .groupBy("query_id", "scheme").agg(F.sum("n").alias("n"))
+    every = gold.select("query_id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("scheme", "weighting"))
+    return every.join(counted, ["query_id", "scheme"], "left").select("query_id", "weighting", F.coalesce("n", F.lit(0)).cast("long").alias("total_relevant"))
 
 
 def ranking_metrics(scored: DataFrame, totals: DataFrame, by: Sequence[str], k: int = C.FINAL_K,

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
+
 SEGMENT = "__segment"
 
 
@@ -19,6 +21,18 @@ def segment_of(position: Column, size: int) -> Column:
     return F.floor(position / F.lit(size)).cast("long")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "no") -> DataFrame:
+    """Rows with dense numbers from 0 on in the order of columns, sorted in ranges and never in one place.
+
+    Rows are written out sorted, so that numbers stay as they are; only a count for each range is brought together.
+    """
+    rows = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return rows.join(F.broadcast(starts), "__p").withColumn(name, F.col("__start") + within - 1).drop("__p", "__start")
+
+
 def scan(
     df: DataFrame,
     part: Sequence[str],

@@ -27,15 +27,24 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), refresh: str | None = None,
-           order: str | None = None) -> DataFrame:
+           order: str | None = None, version: str | None = None) -> DataFrame:
     """S-06 .. S-08: replace the rows of incoming keys, keep all others.
 
     ``keep`` columns stay as they were for keys already present; ``refresh`` is
     stamped on incoming rows; ``order`` picks the last incoming row per key. Without
-    an order a key that comes twice is an error.
+    an order a key that comes twice is an error. ``version`` is an order that is stored
+    with the rows and holds across batches, too: an incoming row never replaces one of
+    a later version, and of equal versions the incoming one stays, so batches give the same
+    table in whatever order they come. A null version is before all others.
     """
     keys = list(keys)
+    if version is not None and (order is not None or version in (*keep, refresh) or version not in base.columns):
+        raise ValueError("a version is a stored column of its own and the only order")
+    order = order or version
     new = last_wins(incoming, keys, [order]) if order else _single(incoming, keys)
+    if version is not None:
+        there = base.select(*keys, F.struct(version).alias("__there"))
+        new = new.join(there, keys, "left").where(F.col("__there").isNull() | (F.struct(version) >= F.col("__there"))).drop("__there")
     if refresh:
         new = new.withColumn(refresh, F.current_timestamp())
     new = new.select(*[c for c in base.columns])
@@ -58,9 +67,11 @@ def _single(rows: DataFrame, keys: list[str]) -> DataFrame:
 BUCKET = "key_bucket"
 
 
-def upsert_buckets(path: str, incoming: DataFrame, keys: Sequence[str], order: str, buckets: int = 64, **options) -> None:
+def upsert_buckets(path: str, incoming: DataFrame, keys: Sequence[str], order: str | None = None, buckets: int = 64, **options) -> None:
     """S-06 .. S-08 on Parquet partitioned by a hash of the key: only buckets with incoming keys are rewritten.
 
+    ``order`` picks within the batch; with ``version`` (see ``upsert``) rows of earlier batches are compared, too.
+
     The new buckets are written out before any old one is replaced, and running the same batch again gives the same
     table, so a failed write is mended by another run. One writer at a time.
     """

@@ -25,11 +25,11 @@ def read_increments(spark: SparkSession, path: str, schema: T.StructType, fmt: s
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
 
 
-def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint: str, order: str,
-                    at: str | None = None, late: str = "1 hour") -> StreamingQuery:
-    """W-02: each batch of new files is upserted into a table bucketed by key; ``order`` picks the last row of a key.
+def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint: str, order: str | None = None,
+                    at: str | None = None, late: str = "1 hour", version: str | None = None) -> StreamingQuery:
+    """W-02: each batch of new files is upserted into a table bucketed by key; ``order`` picks the last row of a key in a batch.
 
-    With an event time, equal rows within the watermark are dropped first; a new
+    With ``version`` a column of the rows orders them across batches as well: a late older row never replaces a newer one. With an event time, equal rows within the watermark are dropped first; a new
     row for a known key always goes through. A batch that is run again replaces
     the same keys by the same rows.
     """
@@ -38,7 +38,7 @@ def load_increments(rows: DataFrame, table: str, keys: Sequence[str], checkpoint
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            upsert_buckets(table, batch, keys, order)
+            upsert_buckets(table, batch, keys, order, version=version)
 
     return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
