@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import grid, metrics
+from ..operators.fetch import fetched
 from ..session import materialise
 from . import query
-from .common import CHUNKS_SQL, benchmark_queries, document_chunks, gold_queries, table
+from .common import CHUNKS_SQL, benchmark_queries, document_chunks, gold_queries, once, table
 from .retrieval import ALPHAS, VARIANTS_SQL, variant_rows
 
 SCHEMES_SQL = "schemes(weighting, w1, w2, w3, w4, w5) as (values " + ", ".join(
@@ -60,13 +61,18 @@ long as (
 """
 
 
+@once
 def totals(spark, d):
-    return metrics.corpus_relevant(gold_queries(spark, d), document_chunks(spark, d))
+    return materialise(metrics.corpus_relevant(gold_queries(spark, d), document_chunks(spark, d)), "relevant")
 
 
-def results(spark, d, cells=None):
-    ranked = materialise(variant_rows(spark, d), "ranked")
-    return grid.evaluate(ranked, gold_queries(spark, d), document_chunks(spark, d), totals(spark, d), ALPHAS, cells=cells)
+@once
+def results(spark, d):
+    """All records, evaluated once into a table that summaries, rankings and totals read."""
+    ranked = variant_rows(spark, d)
+    chunks = fetched(document_chunks(spark, d).drop("evidence_text"), ranked)
+    out = grid.evaluate(ranked, gold_queries(spark, d), chunks, totals(spark, d), ALPHAS)
+    return materialise(out, "evaluated")
 
 
 def summary(spark, d):

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import evidence, vector_search
+from ..operators.fetch import fetched
 from ..operators.hybrid import overlap_scorer, rerank
 from ..schemas import ANSWER
+from ..session import materialise
 from . import query
-from .common import CHUNKS_SQL, benchmark_queries, document_chunks, query_vectors, sql_strip, table, vector_table
+from .common import CHUNKS_SQL, benchmark_queries, document_chunks, once, query_vectors, sql_strip, table, vector_table
 from .retrieval import BENCH_QUERIES, _vector_sql, rerank_sql
 
 PACK_SQL = f"""{CHUNKS_SQL}, queries as (select item_id query_id, text query_text from benchmark), {_vector_sql(BENCH_QUERIES, 50)},
@@ -25,13 +27,17 @@ packs as (
 """
 
 
+@once
 def final_lists(spark, d):
-    vector = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), C.CANDIDATES)
-    return rerank(vector, benchmark_queries(spark, d), document_chunks(spark, d), "vector_rank", overlap_scorer, characters=None)
+    """(best ten of each query, chunks of all candidates): vectors are searched once, texts are fetched once, for all that read them."""
+    vector = materialise(vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), C.CANDIDATES), "near")
+    texts = fetched(document_chunks(spark, d), vector)
+    final = rerank(vector, benchmark_queries(spark, d), texts, "vector_rank", overlap_scorer, characters=None)
+    return materialise(final, "final"), texts
 
 
 def packs(spark, d):
-    return evidence.evidence_pack(final_lists(spark, d), document_chunks(spark, d), "rerank_rank", "reranker_score")
+    return evidence.evidence_pack(*final_lists(spark, d), "rerank_rank", "reranker_score")
 
 
 @query("evidence_pack", f"with {PACK_SQL} select query_id, sha256(evidence_context) context_hash, labels from packs")
@@ -51,7 +57,8 @@ select query_id, '[S' || rerank_rank || '] ' || source_id || ' | Authority: Tier
   'Section: ' || array_to_string(sections, '.') || ' | PDF page: ' || page locator
 from sections""")
 def source_labels(spark, d):
-    rows = final_lists(spark, d).join(document_chunks(spark, d), "chunk_id")
+    final, texts = final_lists(spark, d)
+    rows = final.join(texts, "chunk_id")
     return rows.select("query_id", evidence.source_label("rerank_rank").alias("label"), evidence.locator().alias("locator"))
 
 

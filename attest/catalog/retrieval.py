@@ -434,10 +434,13 @@ FUSED_OUT = (" select query_id, chunk_id, alpha, lexical_rank::int lexical_rank,
              " hybrid_rank::int hybrid_rank from hybrid_ranked")
 
 
+@once
 def candidates(spark, d):
+    """(lexical, vector): the first fifty of each query, searched once."""
     posted = document_postings(spark, d)
     found = lexical.lexical_topk(benchmark_queries(spark, d), posted, 50, "tf_weighted", stemmed=False)
-    return found, vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
+    near = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), 50)
+    return materialise(found, "lexical-candidates"), materialise(near, "vector-candidates")
 
 
 @query("rrf_hybrid", f"with {CANDIDATES_SQL}, {fused_sql((0.5,))}{FUSED_OUT}")
@@ -494,10 +497,11 @@ variants as (
 """
 
 
+@once
 def variant_rows(spark, d):
-    """The five variants over one set of candidates, which is written out once."""
-    found, vector = (materialise(x, "candidates") for x in candidates(spark, d))
-    return variants(found, vector, benchmark_queries(spark, d), document_chunks(spark, d), ALPHAS, characters=None)
+    """The five variants over one set of candidates; both are written out once and read by all that is measured on them."""
+    found, vector = candidates(spark, d)
+    return materialise(variants(found, vector, benchmark_queries(spark, d), document_chunks(spark, d), ALPHAS, characters=None), "ranked")
 
 
 @query("retrieval_variants", f'with {VARIANTS_SQL} select query_id, chunk_id, "rank"::int as "rank", retriever, alpha from variants')
@@ -532,3 +536,38 @@ def expanded_queries(spark, d):
     rows = benchmark_queries(spark, d).withColumn("terms", F.when(~failed, long)).withColumn(
         "error", F.when(failed, "TimeoutError: no answer"))
     return hybrid.expand_queries(rows).select("query_id", "retrieval_query", "status")
+
+
+FEEDBACK_SQL = f"""{CANDIDATES_SQL},
+own as (select query_id, p.lexeme, p.chunk_id, n_a + n_b tf, sum(n_a + n_b) over (partition by query_id, p.chunk_id) length
+  from vector_ranked v join posted p on p.chunk_id = v.chunk_id where vector_rank <= 10),
+shares as (select query_id, lexeme, sum(tf / length::double) share from own group by all),
+weighed as (
+  select query_id, s.lexeme, round(share * ln(n / df::double), 10) weight
+  from shares s join (select lexeme, count(*) df from posted group by 1) p on p.lexeme = s.lexeme, (select count(distinct chunk_id) n from posted)
+  where not exists (select 1 from terms t where t.query_id = s.query_id and t.lexeme = s.lexeme)),
+feedback as (
+  select query_id, list(lexeme order by place) terms from (
+    select *, row_number() over (partition by query_id order by weight desc, lexeme) place from weighed qualify place <= 5) group by 1)"""
+
+
+def corpus_terms(spark, d):
+    queries = benchmark_queries(spark, d)
+    near = vector_search.vector_topk(query_vectors(spark, d), vector_table(spark, d), K)
+    return hybrid.feedback_terms(near, document_postings(spark, d), lexical.query_terms(queries, stemmed=False), rank="vector_rank")
+
+
+@query("feedback_terms", f"with {FEEDBACK_SQL} select query_id, array_to_string(terms, ' ') terms from feedback")
+def feedback_terms(spark, d):
+    """Five words for each query that mark its best chunks against the corpus."""
+    return corpus_terms(spark, d).select("query_id", F.array_join("terms", " ").alias("terms"))
+
+
+@query("feedback_queries", f"""with {FEEDBACK_SQL}
+select q.query_id, case when len(terms) = 5 then query_text || ' ' || array_to_string(terms, ' ') else query_text end retrieval_query,
+  case when len(terms) = 5 then 'expanded' else 'fallback_invalid_term_count' end status
+from queries q left join feedback f on f.query_id = q.query_id""")
+def feedback_queries(spark, d):
+    """The queries expanded by them."""
+    rows = benchmark_queries(spark, d).join(corpus_terms(spark, d), "query_id", "left").withColumn("error", F.lit(None).cast("string"))
+    return hybrid.expand_queries(rows).select("query_id", "retrieval_query", "status")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
 from ..functions import text as X
+from ..session import materialise
+from .fetch import fetched
 from .topk import require_between, require_positive, top_k
 
 
@@ -88,11 +90,14 @@ def variants(lexical: DataFrame, vector: DataFrame, queries: DataFrame, chunks:
              characters: int | None = None, names: Sequence[str] = C.RETRIEVERS) -> DataFrame:
     """T-11 .. T-13: the named variants over shared candidates: query_id, chunk_id, rank, retriever, alpha.
 
-    Only fused rows depend on alpha; the others carry a null and are fanned out by the grid.
+    The texts of the candidates are fetched once for all reranked variants. Only fused rows depend on alpha; the others carry a null and are fanned out by the grid.
     """
     cols = ["query_id", "chunk_id", "rank", "retriever", "alpha"]
     none = F.lit(None).cast("double")
     hybrid = rrf(lexical, vector, alphas, limit)
+    if {"vector_rerank", "hybrid_rerank"} & set(names):
+        chunks = fetched(chunks, lexical.where(F.col("lexical_rank") <= limit).select("chunk_id").union(
+            vector.where(F.col("vector_rank") <= limit).select("chunk_id")))
 
     def named(df: DataFrame, rank: str, name: str, alpha: Column = none) -> DataFrame:
         return df.select("query_id", "chunk_id", F.col(rank).alias("rank"), F.lit(name).alias("retriever"), alpha.alias("alpha"))
@@ -114,6 +119,29 @@ def variants(lexical: DataFrame, vector: DataFrame, queries: DataFrame, chunks:
     return out
 
 
+def feedback_terms(found: DataFrame, posted: DataFrame, terms: DataFrame, n_terms: int = C.EXPANSION_TERMS, top: int = C.FINAL_K,
+                   rank: str = "rank") -> DataFrame:
+    """T-15 from the corpus itself: query_id and terms, the words that mark the first ``top`` chunks of each query.
+
+    A word weighs its share of each chunk's words, summed over the chunks, times the logarithm of chunks over chunks that hold
+    it; words of the query (``terms``: query_id, lexeme) are left out. Ties go to the smaller word. ``posted``: postings; they are
+    read once for the chunks found and once to count, and no query meets the corpus.
+    """
+    require_positive(n_terms=n_terms, top=top)
+    first = found.where(F.col(rank) <= top).select("query_id", "chunk_id")
+    counted = posted.select("lexeme", "chunk_id", (F.col("n_a") + F.col("n_b")).alias("tf"))
+    own = materialise(counted.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi"), "feedback-postings")
+    corpus = counted.agg(F.count_distinct("chunk_id").alias("chunks"))
+    held = counted.join(own.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
+    lengths = own.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
+    shares = first.join(own, "chunk_id").join(lengths, "chunk_id").groupBy("query_id", "lexeme").agg(F.sum(F.col("tf") / F.col("length")).alias("share"))
+    shares = shares.join(terms.select("query_id", "lexeme").distinct(), ["query_id", "lexeme"], "left_anti")
+    weight = F.round(F.col("share") * F.log(F.col("chunks") / F.col("df")), 10)
+    weighted = shares.join(held, "lexeme").join(F.broadcast(corpus)).select("query_id", "lexeme", weight.alias("weight"))  # one row of corpus
+    best = top_k(weighted, ["query_id"], [F.desc("weight"), F.asc("lexeme")], n_terms, "place")
+    return best.groupBy("query_id").agg(X.ordered_list(F.col("lexeme"), F.col("place")).alias("terms"))
+
+
 def rewrite_variants(rewrites: DataFrame) -> DataFrame:
     """T-14: one row per non-empty technique: original, hyde, expanded, hyde_expanded."""
     hyde, expanded = F.coalesce("hyde", F.lit("")), F.coalesce("expanded", F.lit(""))

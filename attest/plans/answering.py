@@ -5,23 +5,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config as C
 from ..operators import embed, evidence, hybrid, monitor, vector_search
+from ..operators.fetch import fetched
 from ..operators.topk import split_blank
+from ..session import materialise
 from ..sources.writers import upsert
 
 
 def vector_reranked(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer=hybrid.overlap_scorer, k: int = C.FINAL_K,
                     limit: int = C.CANDIDATES, characters: int | None = None) -> DataFrame:
     """T-11. ``queries``: query_id, query_text, embedding."""
-    near = vector_search.vector_topk(queries, vectors, limit)
-    return hybrid.rerank(near, queries, chunks, "vector_rank", scorer, k, limit, characters)
+    near = materialise(vector_search.vector_topk(queries, vectors, limit), "near")
+    return hybrid.rerank(near, queries, fetched(chunks, near), "vector_rank", scorer, k, limit, characters)
 
 
 def hybrid_reranked(queries: DataFrame, lexical: DataFrame, vectors: DataFrame, chunks: DataFrame, scorer=hybrid.overlap_scorer,
                     alpha: float = C.HYBRID_ALPHA, k: int = C.FINAL_K, limit: int = C.CANDIDATES,
                     characters: int | None = None) -> DataFrame:
     """T-12."""
-    fused = hybrid.rrf(lexical, vector_search.vector_topk(queries, vectors, limit), (alpha,), limit)
-    return hybrid.rerank(fused, queries, chunks, "hybrid_rank", scorer, k, limit, characters)
+    fused = materialise(hybrid.rrf(lexical, vector_search.vector_topk(queries, vectors, limit), (alpha,), limit), "fused")
+    return hybrid.rerank(fused, queries, fetched(chunks, fused), "hybrid_rank", scorer, k, limit, characters)
 
 
 def answer_batch(questions: DataFrame, cache: DataFrame, vectors: DataFrame, chunks: DataFrame, embedder, generator=None,
@@ -36,8 +38,10 @@ def answer_batch(questions: DataFrame, cache: DataFrame, vectors: DataFrame, chu
         "config_hash", monitor.config_hash(F.lit(prompt_version), F.lit(k), F.lit("default")))
     hits, misses = monitor.cache_split(keyed, cache)
     vectored, _ = embed.embed_queries(misses, embedder)
-    final = vector_reranked(vectored, vectors, chunks, k=k, characters=characters)
-    packs = evidence.evidence_pack(final, chunks, "rerank_rank", "reranker_score")
+    near = materialise(vector_search.vector_topk(vectored, vectors, C.CANDIDATES), "near")
+    texts = fetched(chunks, near)  # one pass over the corpus for reranking and evidence
+    final = hybrid.rerank(near, vectored, texts, "vector_rank", k=k, characters=characters)
+    packs = evidence.evidence_pack(final, texts, "rerank_rank", "reranker_score")
     prompted = evidence.prompts(misses, packs)
     return hits, evidence.fail_closed(evidence.validate_citations(evidence.generate(prompted, generator))), rejected
 
