@@ -321,6 +321,29 @@ def structured_many_pages(spark, d):
     return html.structured_pages(numbered)
 
 
+PAGES_SQL = """
+events_pages as (select 'u' || user_id % 7 document_id, row_number() over (partition by user_id % 7 order by event_id) n, event_type || repeat(' ' || event_type, (event_id % 23)::int) t from events),
+pieces as (select *, case when n > 1 then chr(10) || chr(10) else '' end || '--- PAGE ' || n || ' ---' || chr(10) || t piece from events_pages),
+placed as (select *, sum(length(piece)) over (partition by document_id order by n) - length(piece) start from pieces)"""
+
+
+def _event_pages(spark, d):
+    """Events as the pages of seven documents, which grow with the table."""
+    text = F.concat("event_type", F.repeat(F.concat(F.lit(" "), "event_type"), (F.col("event_id") % 23).cast("int")))
+    return ordered.scan(
+        table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id") % 7).alias("document_id"), "event_id", text.alias("text"),
+                                         ordered.segment_of(F.col("event_id"), 1024).alias("place")),
+        ["document_id"], "place", ["event_id"], sums={"page_number": F.lit(1)})
+
+
+@query("structured_parts", f"""with {PAGES_SQL}
+select document_id, (start // 2000)::int part, min(start)::bigint start, count(*) n_pages, sha256(string_agg(piece, '' order by n)) text_sha256 from placed group by all""")
+def structured_parts(spark, d):
+    """Long documents as ordered parts of some 2,000 characters with their places."""
+    out = html.structured_parts(_event_pages(spark, d), 2000)
+    return out.select("document_id", "part", "start", "n_pages", F.sha2("text", 256).alias("text_sha256"))
+
+
 DEEP_LEVEL = "case when line_no = 0 then 1 else 1 + (line_no * 7 + length(line)) % 9 end"
 
 

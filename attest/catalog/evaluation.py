@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import grid, metrics
+from ..operators import grid, hybrid, lexical, metrics, vector_search
 from ..operators.fetch import fetched
 from ..session import materialise
 from . import query
-from .common import CHUNKS_SQL, benchmark_queries, document_chunks, gold_queries, once, table
-from .retrieval import ALPHAS, VARIANTS_SQL, variant_rows
+from .common import CHUNKS_SQL, benchmark_queries, document_chunks, document_postings, gold_queries, once, query_vectors, table, vector_table
+from .retrieval import ALPHAS, POSTINGS_SQL, TF_SQL, VARIANTS_SQL, _vector_sql, fused_sql, rerank_sql, terms_sql, variant_rows
 
 SCHEMES_SQL = "schemes(weighting, w1, w2, w3, w4, w5) as (values " + ", ".join(
     "('{}', {})".format(n, ", ".join(f"{w[f]}::double" for f in C.FEATURES)) for n, w in C.WEIGHTINGS.items()) + ")"
@@ -231,3 +231,81 @@ def run_totals(spark, d):
     return out.select(
         "total_records", "total_unique_queries", F.array_join("retrievers_evaluated", ",").alias("retrievers"),
         F.array_join("weighting_schemes_evaluated", ",").alias("weightings"), F.size("alphas_evaluated").alias("n_alphas"))
+
+
+# --- rewrites ---------------------------------------------------------------------------------
+
+REWRITES = """
+rewrites as (
+  select item_id query_id, trim(text) query_text, case when item_id % 2 = 0 then 'Released under the MIT License' when item_id % 7 = 0 then trim(text) end hyde,
+    case when item_id % 3 <> 0 then trim(text) || ' the of and' end expanded from benchmark),
+rewritten as (
+  select query_id, 'original' technique, query_text from rewrites union all select query_id, 'hyde', hyde from rewrites where hyde is not null
+  union all select query_id, 'expanded', expanded from rewrites where expanded is not null
+  union all select query_id, 'hyde_expanded', hyde || ' ' || expanded from rewrites where hyde is not null and expanded is not null),
+texts as (select *, row_number() over (order by query_id, query_text) - 1 text_id from (select distinct query_id, query_text from rewritten))"""
+REWRITTEN_SQL = f"""{POSTINGS_SQL}, {REWRITES},
+{terms_sql('select text_id query_id, query_text from texts').lstrip()}, {TF_SQL.format(k=50)},
+{_vector_sql('select t.text_id query_id, embedding::double[] q from texts t join embeddings on vec_id = t.query_id', 50)},
+{fused_sql((0.5,))},
+{rerank_sql('vector_reranked', 'vector_ranked', 'vector_rank')},
+{rerank_sql('hybrid_reranked', 'hybrid_ranked', 'hybrid_rank')},
+{GOLD_SQL}, {SCHEMES_SQL},
+ranked as (
+  select query_id text_id, chunk_id, rerank_rank "rank", 'vector_rerank' retriever from vector_reranked
+  union all select query_id, chunk_id, rerank_rank, 'hybrid_rerank' from hybrid_reranked),
+scored as (
+  select r.*, t.query_id, weighting, {SCORE} score from ranked r join texts t on t.text_id = r.text_id join docs d on d.chunk_id = r.chunk_id
+  join gold g on g.query_id = t.query_id, schemes),
+totals as (
+  select query_id, weighting, count(*) filter ({SCORE} > 0.5) total_relevant from gold, docs, schemes group by all),
+bested as (select *, row_number() over (partition by text_id, retriever, weighting order by score desc, "rank") best from scored),
+lists as (
+  select query_id, text_id, retriever, weighting, sum(case when "rank" <= 10 then score / log2("rank" + 1) else 0 end) dcg,
+    sum(case when best <= 10 then score / log2(best + 1) else 0 end) idcg, min("rank") filter (score > 0.5) first_relevant,
+    count(*) filter (score > 0.5 and "rank" <= 10) found from bested group by all),
+results as (
+  select w.technique, l.query_id, l.retriever, l.weighting, coalesce(dcg / nullif(idcg, 0), 0) ndcg_at_10, coalesce(1.0::double / first_relevant, 0) mrr,
+    case when total_relevant > 0 then found / total_relevant::double else 0 end recall_at_10
+  from lists l join totals using (query_id, weighting) join texts t on t.text_id = l.text_id
+  join rewritten w on w.query_id = t.query_id and w.query_text = t.query_text)"""
+
+
+@once
+def rewritten_results(spark, d):
+    """Every technique, retriever and scheme; a text that several techniques give is searched and measured once."""
+    n, text = F.col("query_id"), F.trim("query_text")
+    rows = benchmark_queries(spark, d).select("query_id", text.alias("query_text")) \
+        .withColumn("hyde", F.when(n % 2 == 0, "Released under the MIT License").when(n % 7 == 0, F.col("query_text"))) \
+        .withColumn("expanded", F.when(n % 3 != 0, F.concat("query_text", F.lit(" the of and"))))
+    chunks, vectors = document_chunks(spark, d), vector_table(spark, d)
+
+    def search(texts):
+        keyed = texts.select(F.col("text_id").alias("query_id"), "query_text")
+        found = materialise(lexical.lexical_topk(keyed, document_postings(spark, d), 50, "tf_weighted", stemmed=False), "lexical")
+        asked = texts.join(query_vectors(spark, d), "query_id").select(F.col("text_id").alias("query_id"), "embedding")
+        near = materialise(vector_search.vector_topk(asked, vectors, 50), "near")
+        out = hybrid.variants(found, near, keyed, chunks, (C.HYBRID_ALPHA,), characters=None, names=C.RERANKED)
+        return out.withColumnRenamed("query_id", "text_id")
+
+    out = grid.evaluate_rewrites(hybrid.rewrite_variants(rows), gold_queries(spark, d), chunks.drop("evidence_text"), totals(spark, d), search)
+    return materialise(out.withColumn("alpha", F.lit(C.HYBRID_ALPHA)), "rewritten")
+
+
+@query("rewrite_results", f"""with {REWRITTEN_SQL}
+select query_id, technique, retriever, weighting, round(ndcg_at_10, 8) ndcg_at_10, round(mrr, 8) mrr, round(recall_at_10, 8) recall_at_10 from results""")
+def rewrite_results(spark, d):
+    return rewritten_results(spark, d).select("query_id", "technique", "retriever", "weighting",
+                                              *[F.round(c, 8).alias(c) for c in ("ndcg_at_10", "mrr", "recall_at_10")])
+
+
+@query("rewrite_summary", f"""with {REWRITTEN_SQL}
+select 'technique=' || technique || ' | retriever=' || retriever || ' | alpha=0.50 | weighting=' || weighting configuration, technique,
+  count(distinct query_id) queries_evaluated, round(avg(ndcg_at_10), 6) ndcg_at_10_mean, round(avg(mrr), 6) mrr_mean, round(avg(recall_at_10), 6) recall_at_10_mean,
+  round(0.5::double * avg(ndcg_at_10) + 0.3::double * avg(mrr) + 0.2::double * avg(recall_at_10), 6) composite_score
+from results group by retriever, weighting, technique""")
+def rewrite_summary(spark, d):
+    """Configurations by technique."""
+    out = grid.summarise(rewritten_results(spark, d))
+    means = ("ndcg_at_10_mean", "mrr_mean", "recall_at_10_mean", "composite_score")
+    return out.select("configuration", "technique", "queries_evaluated", *[F.round(c, 6).alias(c) for c in means])

@@ -6,8 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..operators import embed, hybrid, lexical, vector_search
+from .. import config as C
+from ..functions import text as X
+from ..operators import embed, hybrid, lexical, neighbours, vector_search
 from ..operators.hybrid import overlap_scorer, rerank, rrf, variants
+from ..operators.topk import top_k
 from ..session import checkpoint_folder, materialise
 from ..sources import vector_index
 from . import query
@@ -168,6 +171,39 @@ def embedding_counts(spark, d):
     return embed.embedding_counts(embed.embed(rows, "evidence_text", factory))
 
 
+def _unsteady(attempt: int):
+    """A model that fails on some texts: on one kind in its first two attempts, on another kind always."""
+    def factory():
+        def model(texts):
+            if any(len(t) % 89 == 0 for t in texts):
+                raise ValueError("a text that the model cannot take")
+            if attempt < 3 and any(len(t) % 41 == attempt for t in texts):
+                raise TimeoutError(f"no answer in attempt {attempt}")
+            return [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+        return model
+    return factory
+
+
+_HELD = "sum((length(text) % 89 = 0)::int) > 0"
+
+
+@query("embedding_recovery", f"""
+with b as (
+  select doc_id // 4 as batch, count(*) as "rows", {_HELD} never, sum((length(text) % 41 = 1)::int) > 0 one, sum((length(text) % 41 = 2)::int) > 0 two
+  from documents group by 1)
+select batch, "rows", (case when never then 3 when one and two then 2 when one then 1 else 0 end)::bigint failed_attempts,
+  case when never then null when one and two then 3 when one then 2 else 1 end embedded_in,
+  case when never then 'ValueError: a text that the model cannot take' when one and two then 'TimeoutError: no answer in attempt 2' when one then 'TimeoutError: no answer in attempt 1' end last_error
+from b""")
+def embedding_recovery(spark, d):
+    """All documents in batches of four ids: some batches fail once or twice and recover, some stay dead letters."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 4).cast("long").alias("batch"), "text")
+    run = embed.EmbeddingRun(spark, f"{checkpoint_folder(spark)}/attest/embedding-{uuid.uuid4().hex}")
+    for attempt in (1, 2, 3):
+        run.resume(rows, "text", _unsteady(attempt), prefix="")
+    return run.report(rows)
+
+
 # --- lexical ----------------------------------------------------------------------------------
 
 POSTINGS_SQL = CHUNKS_SQL + f""",
@@ -382,7 +418,7 @@ def index_topk(spark, d):
 
 
 # Words that many documents hold, so that many windows could answer.
-COMMON_SOURCE = """select row_number() over (order by lexeme) query_id, lexeme query_text from (
+COMMON_SOURCE = """select (row_number() over (order by lexeme))::int query_id, lexeme query_text from (
   select lexeme, count(*) n from posted group by 1 order by n desc, lexeme limit 20)"""
 
 
@@ -571,3 +607,46 @@ def feedback_queries(spark, d):
     """The queries expanded by them."""
     rows = benchmark_queries(spark, d).join(corpus_terms(spark, d), "query_id", "left").withColumn("error", F.lit(None).cast("string"))
     return hybrid.expand_queries(rows).select("query_id", "retrieval_query", "status")
+
+
+# --- neighbours -------------------------------------------------------------------------------
+
+TURNS_SQL = f"""
+turns as (select conv_id * 1000 + turn chunk_id, conv_id document_id, turn chunk_ordinal, len({sql_words('text')})::int tokens, text from conversations),
+turn_words as (select chunk_id, w, count(*) n from (select chunk_id, unnest({sql_words('text')}) w from turns) group by all),
+asked_words as (select (row_number() over (order by w))::int query_id, w from (select w, count(*) c from turn_words where w not in ({SQL_STOP}) group by 1 order by c desc, w limit 20)),
+found as (
+  select query_id, chunk_id, (row_number() over (partition by query_id order by n desc, chunk_id))::int "rank" from turn_words join asked_words using (w) qualify "rank" <= 10),
+near as (
+  select query_id, t.document_id, t.chunk_ordinal + s chunk_ordinal, min((abs(s), "rank")) b
+  from found join turns t on t.chunk_id = found.chunk_id, (values (-2), (-1), (0), (1), (2)) v(s) group by all),
+spread as (
+  select query_id, document_id, chunk_ordinal, t.chunk_id, tokens, b[1] distance, b[2] found_rank,
+    sum(tokens) over (partition by query_id order by b[1], b[2], document_id, chunk_ordinal rows unbounded preceding) upto
+  from near join turns t using (document_id, chunk_ordinal)),
+kept as (select * from spread where upto <= 6000)"""
+
+
+def _expanded(spark, d):
+    """The turns around the ten turns that hold each of twenty common words most often, within 6,000 words a query."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("document_id"),
+                                                    F.col("turn").alias("chunk_ordinal"), F.size(X.words(F.coalesce("text", F.lit("")))).alias("tokens"), "text")
+    counts = turns.select("chunk_id", F.explode(X.words(F.col("text"))).alias("w")).groupBy("w", "chunk_id").agg(F.count("*").alias("n"))
+    counts = materialise(counts.where(~F.col("w").isin(*C.STOP_WORDS)), "turn-words")
+    asked = counts.groupBy("w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").limit(20)
+    asked = asked.select("w", F.row_number().over(Window.orderBy("w")).alias("query_id"))
+    found = top_k(counts.join(F.broadcast(asked), "w"), ["query_id"], [F.desc("n"), F.asc("chunk_id")], K)
+    return neighbours.expand(found, turns.drop("text"), 2, 6000)
+
+
+@query("neighbours", f"with {TURNS_SQL} select query_id, document_id, chunk_ordinal, chunk_id, tokens, distance, found_rank from kept")
+def expanded_neighbours(spark, d):
+    return _expanded(spark, d)
+
+
+@query("neighbour_passages", f"""with {TURNS_SQL}
+select query_id, document_id, min(chunk_ordinal) first_ordinal, max(chunk_ordinal) last_ordinal, count(*) n_chunks, sum(tokens)::bigint tokens, min(found_rank) found_rank
+from (select *, chunk_ordinal - row_number() over (partition by query_id, document_id order by chunk_ordinal) i from kept) group by query_id, document_id, i""")
+def neighbour_passages(spark, d):
+    """The same as passages of neighbouring turns."""
+    return neighbours.intervals(_expanded(spark, d))

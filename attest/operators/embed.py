@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config as C
 from ..functions import text as X
+from ..session import materialise
 
 # A model: texts in, one vector per text out. The factory runs once per Python worker task.
 Model = Callable[[Sequence[str]], Sequence[Sequence[float]]]
@@ -99,3 +100,86 @@ def embed_queries(queries: DataFrame, embedder, text: str = "query_text") -> tup
     if isinstance(embedder, HashedTfidf):
         return embedder.transform(usable, text), rejected
     return embed(usable, text, embedder, prefix=C.QUERY_PREFIX), rejected
+
+
+class EmbeddingRun:
+    """E-02 as a job that can be taken up again: vectors in one table, failed batches in a dead-letter table.
+
+    Rows belong to batches of a key that stays the same (``batch``). A batch fails as a whole; its rows and the error go to the dead
+    letters, with the number of the attempt, and ``resume`` embeds only batches that have no vectors yet. Tables are written per
+    attempt, whole or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "chunk_id", batch: str = "batch"):
+        self.spark, self.folder, self.key, self.batch = spark, folder, key, batch
+
+    def _attempts(self, name: str) -> list[int]:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(place)] if fs.exists(place) else []
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("attempt=") and fs.exists(done(p, "_SUCCESS")))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        attempts = self._attempts(name)
+        if not attempts:
+            return self.spark.createDataFrame([], f"{schema}, attempt int")
+        return self.spark.read.schema(f"{schema}, attempt int").option("basePath", f"{self.folder}/{name}").parquet(
+            *[f"{self.folder}/{name}/attempt={n}" for n in attempts])
+
+    def _keys(self, rows: DataFrame) -> str:
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        return f"{self.key} {kinds[self.key]}, {self.batch} {kinds[self.batch]}"
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        return self._read("vectors", f"{self._keys(rows)}, embedding array<float>")
+
+    def dead_letters(self, rows: DataFrame) -> DataFrame:
+        """key, batch, error and attempt of all failures, also of batches that have recovered since."""
+        return self._read("dead", f"{self._keys(rows)}, error string")
+
+    def resume(self, rows: DataFrame, text: str, factory: Callable[[], Model], prefix: str = C.DOCUMENT_PREFIX) -> int:
+        """Embed the batches of rows (key, batch, text) that have no vectors yet. Returns the number of the attempt."""
+        done = self.vectors(rows).select(self.batch).distinct()
+        attempt = max([0, *self._attempts("vectors"), *self._attempts("dead")]) + 1
+        open_ = rows.select(self.key, self.batch, F.coalesce(text, F.lit("")).alias("__text")).join(done, self.batch, "left_anti")
+        kinds = self._keys(rows)
+        key, batch = self.key, self.batch
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model, held = factory(), None
+            for frame in frames:
+                held = frame if held is None else pd.concat([held, frame])
+                last = held[batch].iloc[-1]
+                whole = held[held[batch] != last]  # the last batch may go on
+                held = held[held[batch] == last]
+                for _, own in whole.groupby(batch, sort=False):
+                    yield one(model, own)
+            if held is not None and len(held):
+                yield one(model, held)
+
+        def one(model, own: pd.DataFrame) -> pd.DataFrame:
+            out = own[[key, batch]].copy()
+            try:
+                m = np.asarray(model([prefix + t for t in own["__text"]]), dtype=np.float64)
+                size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                out["embedding"] = list(np.divide(m, size, out=np.zeros_like(m), where=size > 0).astype("float32"))
+                out["error"] = None
+            except Exception as error:  # noqa: BLE001 - reported per row
+                out["embedding"] = None
+                out["error"] = f"{type(error).__name__}: {error}"
+            return out
+
+        dealt = open_.repartition(batch).sortWithinPartitions(batch, key)
+        found = materialise(dealt.mapInPandas(run, f"{kinds}, embedding array<float>, error string"), "embedded")
+        found.where("error is null").drop("error").write.mode("overwrite").parquet(f"{self.folder}/vectors/attempt={attempt}")
+        found.where("error is not null").drop("embedding").write.mode("overwrite").parquet(f"{self.folder}/dead/attempt={attempt}")
+        return attempt
+
+    def report(self, rows: DataFrame) -> DataFrame:
+        """batch, rows, failed_attempts, embedded_in (null if never) and last error of every batch."""
+        total = rows.groupBy(self.batch).agg(F.count("*").alias("rows"))
+        failed = self.dead_letters(rows).groupBy(self.batch).agg(F.count_distinct("attempt").alias("failed_attempts"), F.max_by("error", "attempt").alias("last_error"))
+        done = self.vectors(rows).groupBy(self.batch).agg(F.max("attempt").alias("embedded_in"))
+        return total.join(failed, self.batch, "left").join(done, self.batch, "left").select(
+            self.batch, "rows", F.coalesce("failed_attempts", F.lit(0)).alias("failed_attempts"), "embedded_in", "last_error")

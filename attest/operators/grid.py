@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
+from ..session import materialise
 from .hybrid import literal_rows
 from .metrics import Weightings, ranking_metrics, relevance
+from .ordered import numbered
 
 REQUIRED = ("query_id", "retriever", "weighting", "ndcg_at_10", "mrr", "recall_at_10")
 METRICS = ("ndcg_at_10_mean", "mrr_mean", "recall_at_10_mean", "composite_score")
@@ -37,6 +39,22 @@ def rewrite_grid(variants: DataFrame, retrievers: Sequence[str] = C.RERANKED, we
     return rows.withColumn("name", F.concat_ws("_", F.lit("rewrite"), "technique", "retriever"))
 
 
+def evaluate_rewrites(variants: DataFrame, queries: DataFrame, chunks: DataFrame, totals: DataFrame, search, retrievers: Sequence[str] = C.RERANKED,
+                      weightings: Weightings = C.WEIGHTINGS, k: int = C.FINAL_K) -> DataFrame:
+    """V-11: metrics of every query, technique, retriever and scheme.
+
+    ``variants``: query_id, technique, query_text. ``search`` takes query_id, text_id and query_text and gives text_id, chunk_id, rank
+    and retriever. Techniques that give a query the same text share one search, whose lists are measured once and then go to all
+    their cells.
+    """
+    texts = variants.groupBy("query_id", "query_text").agg(F.array_sort(F.collect_list("technique")).alias("techniques"))
+    texts = materialise(numbered(texts, ["query_id", "query_text"], "text_id"), "rewritten-texts")
+    ranked = materialise(search(texts.select("text_id", "query_id", "query_text")).where(F.col("retriever").isin(*retrievers)), "rewritten-ranked")
+    rows = ranked.join(texts.select("text_id", "query_id"), "text_id").select("query_id", "text_id", "chunk_id", "rank", "retriever")
+    records = ranking_metrics(relevance(rows, queries, chunks, weightings), totals, ["query_id", "text_id", "retriever", "weighting"], k)
+    return records.join(texts.select("text_id", "techniques"), "text_id").withColumn("technique", F.explode("techniques")).drop("techniques")
+
+
 def pending(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """V-12: the cells not evaluated yet; records without all keys do not count."""
     complete = done

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .ordered import SEGMENT, heading_stack, scan
+from .ordered import SEGMENT, heading_stack, scan, segment_of
 
 # Tags that carry content, tags that are dropped, class names of the main part.
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -234,3 +234,19 @@ def structured_pages(pages: DataFrame) -> DataFrame:
     """X-08 for numbered pages: one text per document, its pages under their markers."""
     piece = F.concat(F.lit("--- PAGE "), F.col("page_number"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
     return pages.groupBy("document_id").agg(X.ordered_text(piece, F.col("page_number"), "\n\n").alias("structured_text"))
+
+
+def structured_parts(pages: DataFrame, size: int = 1 << 20, segment: int = 1024) -> DataFrame:
+    """X-08 for documents of any length: document_id, part, start, n_pages and text of the parts of `structured_pages`.
+
+    A page belongs to the part in which its text would begin if parts were `size` characters, so a part ends with a page and has
+    less than `size` characters more than its last page. Parts joined in order are the document; ``start`` is where a part begins in it.
+    Places come from running sums over segments of ``segment`` pages, and a group is one part, so no document is held in one place.
+    """
+    piece = F.concat(F.when(F.col("__n") > 1, "\n\n").otherwise(""), F.lit("--- PAGE "), F.col("page_number"), F.lit(" ---\n"), F.coalesce("text", F.lit("")))
+    rows = pages.select("document_id", "page_number", "text", segment_of(F.col("page_number"), segment).alias(SEGMENT))
+    rows = scan(rows, ["document_id"], SEGMENT, ["page_number"], sums={"__n": F.lit(1).cast("long")}).withColumn("__piece", piece).drop("text")
+    rows = scan(rows, ["document_id"], SEGMENT, ["page_number"], sums={"__end": F.length("__piece").cast("long")})
+    start = F.col("__end") - F.length("__piece")
+    return rows.withColumn("__start", start).groupBy("document_id", F.floor(F.col("__start") / size).cast("int").alias("part")).agg(
+        F.min("__start").alias("start"), F.count("*").alias("n_pages"), X.ordered_text(F.col("__piece"), F.col("page_number"), "").alias("text"))
