@@ -209,6 +209,102 @@ def chunks(spark, d):
         "estimated_embedding_tokens", "previous_chunk_id", "next_chunk_id", (F.size("chunking_flags") > 0).alias("over_limit"))
 
 
+# A hard limit below the soft one: most chunks are split, and parts overlap by forty tokens.
+SPLIT_LIMITS = C.ChunkLimits(soft=500, hard=150, overlap=40)
+SPLIT_SQL = CHUNK_SQL[:CHUNK_SQL.index("chunked as (")].replace("<= 750", "<= 150") + f"""
+sums as (
+  select document_id, chunk_ordinal, 0 i, 0::hugeint s from members group by all
+  union all select document_id, chunk_ordinal, row_number() over w, sum(tok) over w from members window w as (partition by document_id, chunk_ordinal order by ordinal)),
+sizes as (select document_id, chunk_ordinal, max(i) n from sums group by all),
+fits as (select a.document_id, a.chunk_ordinal, a.i, max(b.i) fit from sums a join sums b using (document_id, chunk_ordinal) where b.s <= a.s + 150 group by all),
+backs as (select a.document_id, a.chunk_ordinal, a.i, min(b.i) back from sums a join sums b using (document_id, chunk_ordinal) where b.s >= a.s - 40 group by all),
+split_parts as (
+  select document_id, chunk_ordinal, 0 part, 0::bigint f, least(n, greatest(1, fit)) e from fits join sizes using (document_id, chunk_ordinal) where i = 0
+  union all
+  select p.document_id, p.chunk_ordinal, part + 1, f2, least(n, greatest(e + 1, x.fit)) from (
+    select p.*, n, greatest(f, least(e - 1, back)) f2 from split_parts p join sizes using (document_id, chunk_ordinal)
+    join backs b on b.document_id = p.document_id and b.chunk_ordinal = p.chunk_ordinal and b.i = p.e where p.e < n) p
+  join fits x on x.document_id = p.document_id and x.chunk_ordinal = p.chunk_ordinal and x.i = f2),
+placed_members as (select *, row_number() over (partition by document_id, chunk_ordinal order by ordinal) - 1 i from members),
+part_blocks as (
+  select p.document_id, p.chunk_ordinal, p.part, m.ordinal, m.block_id, m.text, dense_rank() over (partition by p.document_id order by p.chunk_ordinal, p.part) number
+  from split_parts p join placed_members m on m.document_id = p.document_id and m.chunk_ordinal = p.chunk_ordinal and m.i >= p.f and m.i < p.e),
+part_sections as (
+  select document_id, number, string_agg(section, ',' order by first_at) sections from (
+    select document_id, number, 's' || ordinal % 3 section, min(ordinal) first_at from part_blocks group by all) group by all),
+part_rows as (
+  select document_id, number, count(*) n_blocks, min_by(block_id, ordinal) first_block, max_by(block_id, ordinal) last_block,
+    string_agg(text, chr(10) || chr(10) order by ordinal) evidence_text, min(ordinal) first_ordinal, max(ordinal) last_ordinal from part_blocks group by all)"""
+
+
+def split_chunk_table(spark, d):
+    """Chunks of all documents under a hard limit below the soft one, with pages and sections that follow the blocks."""
+    n = F.col("ordinal").cast("int")
+    cited = normalise.citation_of(pdf_page_start=n, pdf_page_end=F.when(n % 2 == 0, n + 1), section_ids=F.array(F.concat(F.lit("s"), (n % 3).cast("string"))))
+    return chunk.chunks(materialise(document_blocks(spark, d).withColumn("citation", cited), "blocks"), limits=SPLIT_LIMITS)
+
+
+@query("split_chunks", f"""with recursive {SPLIT_SQL}
+select document_id || ':c' || lpad(number::varchar, 4, '0') chunk_id, n_blocks, first_block, last_block, 'sha256:' || sha256(evidence_text) evidence_text_sha256,
+  {sql_tokens('evidence_text')}::int estimated_evidence_tokens, {sql_tokens('evidence_text')} > 150 over_limit, first_ordinal::int page_start,
+  coalesce(case when last_ordinal % 2 = 0 then last_ordinal + 1 end, case when first_ordinal % 2 = 0 then first_ordinal + 1 end)::int page_end, sections
+from part_rows join part_sections using (document_id, number)""")
+def split_chunks(spark, d):
+    """Parts of chunks above the hard limit, their overlap and their merged citations."""
+    return split_chunk_table(spark, d).select(
+        "chunk_id", F.size("block_ids").cast("long").alias("n_blocks"), F.col("block_ids")[0].alias("first_block"), F.element_at("block_ids", -1).alias("last_block"),
+        "evidence_text_sha256", "estimated_evidence_tokens", (F.size("chunking_flags") > 0).alias("over_limit"), F.col("citation.pdf_page_start").alias("page_start"),
+        F.col("citation.pdf_page_end").alias("page_end"), F.array_join("citation.section_ids", ",").alias("sections"))
+
+
+# --- rows on which the rules of the gates fire ------------------------------------------------
+
+
+def _rules_sql(rows: str, subject: str, rules: list[tuple[str, str, str]]) -> str:
+    return " union all ".join(f"select document_id, '{severity}' severity, {subject} || ': {message}' message from {rows} where {hit}" for severity, hit, message in rules)
+
+
+BAD_BLOCKS_SQL = BLOCKS_SQL.replace("with ", "", 1) + """,
+bad_documents as (
+  select 'd' || doc_id document_id, case when doc_id % 2 = 0 then 'pdf' else 'html' end source_type, doc_id % 3 = 0 no_version, doc_id % 5 = 0 no_hash from documents)"""
+
+
+@query("block_violations", f"with {BAD_BLOCKS_SQL}, b as (select * from blocks join bad_documents using (document_id)) " + _rules_sql("b", "block_id", [
+    ("error", "ordinal % 5 = 0", "missing source_id"), ("error", "ordinal % 7 = 0", "empty text"), ("warning", "ordinal % 6 <> 0 and ordinal % 4 = 0", "no heading path"),
+    ("error", "source_type = ''pdf'' and ordinal % 6 <> 0 and ordinal % 3 = 0".replace("''", "'"), "PDF block missing pdf_page_start"),
+    ("error", "source_type = ''html'' and ordinal % 6 <> 0 and ordinal % 2 = 0".replace("''", "'"), "HTML block missing heading-path citation")]) + " union all " + _rules_sql(
+    "bad_documents", "'document'", [("error", "no_version", "missing schema_version"), ("warning", "no_hash", "missing source content hash")]))
+def block_violations(spark, d):
+    """All blocks with defects by place: every rule of the block gate fires."""
+    n, k = F.col("ordinal"), F.col("doc_id")
+    path = F.when(n % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A part")))
+    cited = normalise.citation_of(pdf_page_start=F.when(n % 3 != 0, F.lit(1)), heading_path=F.when(n % 2 != 0, F.array(F.lit("A part"))))
+    blocks = document_blocks(spark, d).withColumns({
+        "source_id": F.when(n % 5 != 0, F.col("source_id")), "text": F.when(n % 7 != 0, F.col("text")), "heading_path": path, "citation": cited, "is_substantive": n % 6 != 0})
+    documents = table(spark, d, "documents").select(
+        F.concat(F.lit("d"), k).alias("document_id"), F.when(k % 2 == 0, "pdf").otherwise("html").alias("source_type"),
+        F.when(k % 3 != 0, "1.0").alias("schema_version"), F.when(k % 5 != 0, "sha256:0").alias("content_hash"))
+    return quality.check_blocks(blocks, documents)
+
+
+@query("chunk_violations", f"""with recursive {CHUNK_SQL},
+c as (select *, doc.source source_of from chunk_rows join (select 'd' || doc_id document_id, doc_id, source from documents) doc using (document_id)) """ + _rules_sql("c", "chunk_id", [
+    ("error", "chunk_ordinal % 5 = 0", "empty evidence_text"), ("error", "chunk_ordinal % 6 = 0", "empty embedding_text"), ("error", "chunk_ordinal % 7 = 0", "no block_ids"),
+    ("error", "doc_id % 4 = 0", "source_id does not match document source"), ("error", "chunk_ordinal % 3 = 0", "missing citation"),
+    ("warning", "n_tokens > 300", "exceeds hard token target"), ("error", "chunk_ordinal > 1 and chunk_ordinal % 4 = 0", "invalid previous_chunk_id"),
+    ("error", "chunk_ordinal < last_ordinal and chunk_ordinal % 4 = 1", "invalid next_chunk_id")]))
+def chunk_violations(spark, d):
+    """All chunks with defects by place: every rule of the chunk gate fires."""
+    n, k = F.col("chunk_ordinal"), F.col("doc_id")
+    rows = document_chunk_table(spark, d).withColumns({
+        "evidence_text": F.when(n % 5 != 0, F.col("evidence_text")), "embedding_text": F.when(n % 6 != 0, F.col("embedding_text")),
+        "block_ids": F.when(n % 7 != 0, F.col("block_ids")), "citation": F.when(n % 3 != 0, F.col("citation")),
+        "previous_chunk_id": F.when(n % 4 == 0, F.lit("wrong")).otherwise(F.col("previous_chunk_id")),
+        "next_chunk_id": F.when(n % 4 == 1, F.lit("wrong")).otherwise(F.col("next_chunk_id"))})
+    documents = table(spark, d, "documents").select(F.concat(F.lit("d"), k).alias("document_id"), F.when(k % 4 == 0, "other").otherwise(F.col("source")).alias("source_id"))
+    return quality.check_chunks(rows, documents, hard=300)
+
+
 @query("chunk_summary", f"""with recursive {CHUNK_SQL}
 select b.document_id, input_blocks, output_chunks, false historical_only, chunks_over_hard_limit
 from (select document_id, count(*) input_blocks from blocks group by 1) b
