@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import flat
-from .common import materialise, per_row, table
+from .common import materialise, per_row, released, table
 
 LONG = 20  # words of a sentence that is not cut, and of a part of a longer one
 NEAR = 4  # words on each side that a cut of a long sentence looks at
@@ -131,53 +131,71 @@ def _text_hash() -> Column:
 
 
 def occurrences(documents: DataFrame, least: int = 2, words: int = 12, long: int = LONG) -> DataFrame:
-    """doc_id, text_hash, first, n (sentences), hash and size (characters of its words) of every run of every document."""
+    """doc_id, text_hash, first, n (sentences), and h1 and h2 (hash of the words) of every run of every document.
+
+    One row more for each document has its number of sentences as n, and no hash.
+    """
 
     def finder():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, keys, firsts, counts, hashes, sizes = [], [], [], [], [], []
+            ids, keys, firsts, counts, digests, documents_at = [], [], [], [], [], []
             texts = batch.column("text")
             names, whole = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
+            digest = xxhash.xxh3_128_digest
             for at in range(0, batch.num_rows, 64):
                 for name, key, text in zip(names[at: at + 64], whole[at: at + 64], texts.slice(at, 64).to_pylist()):
                     units = sentences(text or "", long)
-                    for first, end in runs(units, least, words):
-                        run = " ".join([u[2] for u in units[first:end]]).encode()
-                        ids.append(name)
-                        keys.append(key)
+                    said = [u[2] for u in units]
+                    found = sorted(runs(units, least, words))
+                    documents_at.append(len(ids))
+                    ids += [name] * (len(found) + 1)
+                    keys += [key] * (len(found) + 1)
+                    firsts.append(0)
+                    counts.append(len(units))
+                    digests.append(bytes(16))
+                    for first, end in found:
                         firsts.append(first)
                         counts.append(end - first)
-                        hashes.append(xxhash.xxh3_64_intdigest(run) - (1 << 63))
-                        sizes.append(len(run))
+                        digests.append(digest(" ".join(said[first:end]).encode()))
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            none = np.zeros(len(ids), bool)
+            none[documents_at] = True
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()),
-                                               pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], ["doc_id", "text_hash", "first", "n", "hash", "size"])
+                                               pa.array(h[:, 0], mask=none), pa.array(h[:, 1], mask=none)], ["doc_id", "text_hash", "first", "n", "h1", "h2"])
         return f
 
-    return per_row(documents.select("doc_id", "text", _text_hash()), finder, "doc_id long, text_hash long, first int, n int, hash long, size int")
+    return per_row(documents.select("doc_id", "text", _text_hash()), finder, "doc_id long, text_hash long, first int, n int, h1 long, h2 long")
 
 
 def covered(documents: DataFrame, least: int = 2, words: int = 12, long: int = LONG) -> DataFrame:
-    """doc_id, text_hash and spans (first and end sentence) of the runs that repeat an earlier one, for documents that have some.
+    """doc_id, text_hash, n_sentences and spans (first and end sentence) of the runs that repeat an earlier one, one row for each document.
 
-    Runs are equal if their words are, whatever white space stands between; they are compared by a 64-bit hash and their
-    length. The first occurrence is that of the least (doc_id, hash of the text, place). Documents without an id come before all others.
+    Runs are equal if their words are, whatever white space stands between; they are compared by a 128-bit hash.
+    The first occurrence is that of the least (doc_id, hash of the text, place). Documents without an id come before all others.
     """
     found = materialise(occurrences(documents, least, words, long), "sentence-runs")
+    run = found.filter("h1 is not null")
     place = F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("first").alias("p"))
-    first = materialise(found.groupBy("hash", "size").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"))
-                        .filter("times > 1").select("hash", "size", "kept"), "repeated-runs")
-    again = found.join(first, ["hash", "size"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.d")) & (F.col("text_hash") == F.col("kept.h")) & (F.col("first") == F.col("kept.p"))))
-    return again.select("doc_id", "text_hash", "first", (F.col("first") + F.col("n")).alias("end"))
+    first = materialise(run.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept"))
+                        .filter("times > 1").select("h1", "h2", "kept"), "repeated-runs")
+    again = run.join(first, ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.d")) & (F.col("text_hash") == F.col("kept.h")) & (F.col("first") == F.col("kept.p"))))
+    span = F.struct(F.col("first").alias("first"), (F.col("first") + F.col("n")).alias("end"))
+    rows = again.select("doc_id", "text_hash", F.lit(None).cast("int").alias("n"), span.alias("span")) \
+        .union(found.filter("h1 is null").select("doc_id", "text_hash", "n", F.lit(None)))
+    out = materialise(rows.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n_sentences"), F.collect_set("span").alias("spans")), "repeated-spans")
+    released(found)
+    released(first)
+    return out
 
 
 def dedup(documents: DataFrame, least: int = 2, words: int = 12, long: int = LONG) -> DataFrame:
     """doc_id, text without covered sentences, n_sentences, n_removed and removed (first and end sentence of each part).
 
     doc_id and the text name a document, also without an id; rows that repeat both are copies at the same place and lose
-    the same, and a run is not a repeat of itself in them. Null and empty texts have no sentences and stay as they are.
+    the same, and a run is not a repeat of itself in them. Null and empty texts have no sentences and stay as they are. Only
+    texts that lose something are cut into sentences again.
     """
-    spans = covered(documents, least, words, long).distinct() \
-        .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    spans = covered(documents, least, words, long)
     joined = documents.select("doc_id", F.col("text").alias("__text"), _text_hash()).join(
         spans.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
 
@@ -185,25 +203,24 @@ def dedup(documents: DataFrame, least: int = 2, words: int = 12, long: int = LON
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, counts, gone, parts = [], [], [], []
-            for text, found in zip(batch.column("__text").to_pylist(), batch.column("spans").to_pylist()):
-                units = sentences(text or "", long)
-                merged = _merged([(s["first"], s["end"]) for s in found or ()])
-                counts.append(len(units))
-                gone.append(sum(b - a for a, b in merged))
-                parts.append([{"first": a, "end": b} for a, b in merged])
-                if merged:
-                    out, at = [], 0
-                    for a, b in merged:
-                        out.append(text[at: units[a][0]])
+            column, counts = batch.column("__text"), batch.column("n_sentences").cast(pa.int64())
+            merged = [_merged([(s["first"], s["end"]) for s in found or ()]) for found in batch.column("spans").to_pylist()]
+            changed = [i for i, parts in enumerate(merged) if parts]
+            if changed:
+                texts = column.to_pylist()
+                for i in changed:
+                    units, out, at = sentences(texts[i], long), [], 0
+                    for a, b in merged[i]:
+                        out.append(texts[i][at: units[a][0]])
                         at = units[b - 1][1]
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
-                                               pa.array(parts, kind)], ["doc_id", "text", "n_sentences", "n_removed", "removed"])
+                    texts[i] = "".join([*out, texts[i][at:]])
+                column = pa.array(texts, pa.string())
+            gone = pa.array([sum(b - a for a, b in parts) for parts in merged], pa.int64())
+            parts = pa.array([[{"first": a, "end": b} for a, b in own] for own in merged], kind)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), column, counts, gone, parts], ["doc_id", "text", "n_sentences", "n_removed", "removed"])
         return f
 
-    return per_row(joined.select("doc_id", "__text", "spans"), cutter,
+    return per_row(joined.select("doc_id", "__text", "n_sentences", "spans"), cutter,
                    "doc_id long, text string, n_sentences long, n_removed long, removed array<struct<first: long, end: long>>")
 
 
