@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import grid, hybrid, lexical, metrics, vector_search
+from ..operators import grid, hybrid, lexical, metrics, topk, vector_search
 from ..operators.fetch import fetched
 from ..session import materialise
 from . import query
@@ -309,3 +309,53 @@ def rewrite_summary(spark, d):
     out = grid.summarise(rewritten_results(spark, d))
     means = ("ndcg_at_10_mean", "mrr_mean", "recall_at_10_mean", "composite_score")
     return out.select("configuration", "technique", "queries_evaluated", *[F.round(c, 6).alias(c) for c in means])
+
+
+# --- rejects ----------------------------------------------------------------------------------
+
+_REQUIRED = ", ".join(f"case when {c} is null then '{c}' end" for c in grid.REQUIRED)
+
+
+@query("rejected_results", f"""with {METRICS_SQL},
+holes as (
+  select query_id, case when query_id % 3 = 0 and retriever = 'vector' then null else retriever end retriever, alpha, weighting,
+    case when query_id % 5 = 0 and weighting = 'equal' then null else ndcg_at_10 end ndcg_at_10, case when query_id % 7 = 0 and weighting = 'equal' then null else mrr end mrr, recall_at_10
+  from results)
+select query_id, alpha, weighting, array_to_string(list_filter([{_REQUIRED}], lambda x: x is not null), ',') missing, count(*) n
+from holes where query_id is null or retriever is null or weighting is null or ndcg_at_10 is null or mrr is null or recall_at_10 is null group by all""")
+def rejected_results(spark, d):
+    """All records with holes by query: those that a summary may not be made of."""
+    q, w = F.col("query_id"), F.col("weighting") == "equal"
+    rows = results(spark, d).withColumns({
+        "retriever": F.when(~((q % 3 == 0) & (F.col("retriever") == "vector")), F.col("retriever")), "ndcg_at_10": F.when(~((q % 5 == 0) & w), F.col("ndcg_at_10")),
+        "mrr": F.when(~((q % 7 == 0) & w), F.col("mrr"))})
+    return grid.rejected_results(rows).groupBy("query_id", "alpha", "weighting", F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+_WEIGHT = {f: f"case when c_custkey % 7 = {i} then null else (c_custkey * {i + 1} % 5) / 10.0::double end" for i, f in enumerate(C.FEATURES)}
+
+
+@query("weighting_rejects", f"""
+with w as (select c_custkey weighting, {', '.join(f'{sql} as "{f}"' for f, sql in _WEIGHT.items())} from customer),
+r as (select weighting, list_filter([{', '.join(f"""case when "{f}" is null then '{f}' end""" for f in sorted(C.FEATURES))}], lambda x: x is not null) missing,
+  {' + '.join(f'"{f}"' for f in C.FEATURES)} total from w)
+select weighting, case when len(missing) > 0 then 'missing: ' || array_to_string(missing, ', ') else 'must sum to 1.0' end reason
+from r where len(missing) > 0 or abs(total - 1.0) > 1e-9""")
+def weighting_rejects(spark, d):
+    """A scheme for each customer, some without a weight, most with another sum than one."""
+    key = F.col("c_custkey")
+    weights = {f: F.when(key % 7 != i, (key * (i + 1) % 5) / F.lit(10.0)) for i, f in enumerate(C.FEATURES)}
+    return metrics.weighting_rejects(table(spark, d, "customer").select(key.alias("weighting"), *[c.alias(f) for f, c in weights.items()]))
+
+
+@query("parameter_rejects", """
+with r as (select event_id, case when event_id % 11 = 0 then '  ' else event_type end query_text, case when event_id % 13 <> 0 then event_id % 7 - 1 end k, value / 100 alpha from events)
+select event_id, array_to_string(list_filter([case when trim(query_text) = '' then 'blank query' end, case when coalesce(k <= 0, true) then 'k must be positive' end,
+  case when not coalesce(alpha between 0 and 1, false) then 'alpha must lie between 0.0 and 1.0' end], lambda x: x is not null), '; ') reasons
+from r where trim(query_text) = '' or coalesce(k <= 0, true) or not coalesce(alpha between 0 and 1, false)""")
+def parameter_rejects(spark, d):
+    """All events as requests with limits of their own."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        n, F.when(n % 11 == 0, "  ").otherwise(F.col("event_type")).alias("query_text"), F.when(n % 13 != 0, n % 7 - 1).alias("k"), (F.col("value") / 100).alias("alpha"))
+    return topk.parameter_rejects(rows).select("event_id", F.array_join("reasons", "; ").alias("reasons"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import evidence, vector_search
+from ..functions import text as X
+from ..operators import embed, evidence, monitor, vector_search
 from ..operators.fetch import fetched
 from ..operators.hybrid import overlap_scorer, rerank
+from ..plans import answering
 from ..schemas import ANSWER
 from ..session import materialise
 from . import query
@@ -90,6 +92,64 @@ def answering_pipeline(spark, d):
     return done.select("query_id", "displayed_answer", "citation_validation", "fail_closed_triggered")
 
 
+# --- a batch from question to answer ----------------------------------------------------------
+
+
+def _counts():
+    """A model that counts: length, blanks and three letters."""
+    return lambda texts: [[float(len(t)), *(float(t.count(c)) for c in " ena")] for t in texts]
+
+
+def _counted_sql(text: str) -> str:
+    """Its vector in SQL: unit length, in single precision."""
+    raw = f"[length({text})::double, {', '.join(f"(length({text}) - length(replace({text}, '{c}', '')))::double" for c in ' ena')}]"
+    return f"list_transform({raw}, lambda x: (x / sqrt(list_sum(list_transform({raw}, lambda y: y * y))))::float)"
+
+
+EMBEDDED_SQL = f"embedded as (select doc_id chunk_id, {_counted_sql('t')} v from (select doc_id, '{C.DOCUMENT_PREFIX}' || coalesce(text, '') t from documents))"
+
+
+@query("counted_embeddings", f"with {EMBEDDED_SQL} select chunk_id, {', '.join(f'round(v[{i + 1}]::double, 6) v{i}' for i in range(5))} from embedded")
+def counted_embeddings(spark, d):
+    """All documents embedded by a model that SQL can count after."""
+    out = embed.embed(document_chunks(spark, d), "evidence_text", _counts)
+    return out.select("chunk_id", *[F.round(F.col("embedding")[i].cast("double"), 6).alias(f"v{i}") for i in range(5)])
+
+
+ANSWERING_SQL = f"""{CHUNKS_SQL}, {EMBEDDED_SQL},
+all_questions as (select item_id query_id, case when item_id % 10 = 7 then '  ' else text end query_text from benchmark),
+queries as (select query_id, {sql_strip('query_text')} query_text from all_questions where trim(query_text) <> '' and query_id % 4 <> 0),
+asked as (select query_id, {_counted_sql('t')} q from (select query_id, '{C.QUERY_PREFIX}' || query_text t from queries)),
+vector_ranked as (
+  select query_id, chunk_id, row_number() over (partition by query_id order by round(list_cosine_similarity(q::double[], v::double[]), 10) desc, chunk_id) vector_rank
+  from asked, embedded qualify vector_rank <= 50),
+{rerank_sql('reranked', 'vector_ranked', 'vector_rank')},
+firsts as (
+  select query_id, max(case when rerank_rank = 1 then r.chunk_id end) first_chunk, count(*) n_labels,
+    max(case when rerank_rank = 1 then {sql_strip('evidence_text')} end) said from reranked r join docs d on d.chunk_id = r.chunk_id group by 1)"""
+
+
+@query("answering_batch", f"""with {ANSWERING_SQL}
+select query_id, 'answered' outcome, first_chunk, n_labels, true is_valid,
+  sha256(case when regexp_extract(said, '(?s)^(.*?[.!?])(?:\s|$)', 1) <> '' then regexp_extract(said, '(?s)^(.*?[.!?])(?:\s|$)', 1) else said end) answer_sha256 from firsts
+union all select query_id, 'cached', null, null, null, null from all_questions where trim(query_text) <> '' and query_id % 4 = 0
+union all select query_id, 'rejected', null, null, null, null from all_questions where trim(query_text) = ''""")
+def answering_batch(spark, d):
+    """All items as questions: a quarter is cached, a tenth is blank, the others are embedded, searched for, reranked, answered and checked."""
+    n = F.col("query_id")
+    questions = benchmark_queries(spark, d).select(n, F.when(n % 10 == 7, "  ").otherwise(F.col("query_text")).alias("query_text"))
+    version = "v3_few_shot_grounded_rag"
+    cache = questions.where(n % 4 == 0).select(X.strip(F.col("query_text")).alias("question_text"), monitor.config_hash(F.lit(version), F.lit(C.FINAL_K), F.lit("default")).alias("config_hash"),
+                                               n.alias("cache_id"))
+    chunks = document_chunks(spark, d)
+    vectors = embed.embed(chunks, "evidence_text", _counts).select("chunk_id", "embedding")
+    hits, answered, rejected = answering.answer_batch(questions, cache, vectors, chunks, _counts, prompt_version=version)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("first_chunk", "long"), ("n_labels", "long"), ("is_valid", "boolean"), ("answer_sha256", "string"))]
+    new = answered.select("query_id", F.lit("answered").alias("outcome"), F.col("evidence_labels")["S1"].alias("first_chunk"), F.size("supplied_labels").cast("long").alias("n_labels"),
+                          F.col("citation_validation.is_valid").alias("is_valid"), F.sha2("displayed_answer.direct_answer", 256).alias("answer_sha256"))
+    return new.union(hits.select("query_id", F.lit("cached"), *none)).union(rejected.select("query_id", F.lit("rejected"), *none))
+
+
 # --- answers made of conversations ------------------------------------------------------------
 
 # One answer per conversation: every turn is a claim, labelled by its number; some labels are unknown,

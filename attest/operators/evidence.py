@@ -179,11 +179,11 @@ def _validation(valid: Column, supplied: Column, errors: Column) -> Column:
 Generator = Callable[[str, str, list[str]], dict]
 
 
-def extractive_answer(context: Column, supplied: Column) -> Column:
-    """A-09 default: a fixed answer that quotes the first evidence section and cites it."""
-    first = F.element_at(F.split(F.element_at(F.split(context, "\n\n---\n\n"), 1), "Evidence:\n"), 2)
-    sentence = F.regexp_extract(F.coalesce(first, F.lit("")), r"(?s)^(.*?[.!?])(?:\s|$)", 1)
-    text = F.when(sentence != "", sentence).otherwise(F.coalesce(first, F.lit("")))
+def extractive_answer(first: Column, supplied: Column) -> Column:
+    """A-09 default: a fixed answer that quotes the first sentence of the first evidence text and cites it."""
+    said = X.strip(F.coalesce(first, F.lit("")))
+    sentence = F.regexp_extract(said, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
+    text = F.when(sentence != "", sentence).otherwise(said)
     return F.struct(
         F.lit("answered").alias("answer_status"), text.alias("direct_answer"),
         F.array(F.struct(text.alias("text"), F.array(supplied[0]).alias("citation_labels"))).alias("claims"),
@@ -195,7 +195,7 @@ def generate(prompted: DataFrame, factory: Callable[[], Generator] | None = None
     """A-09: add ``answer`` and ``generation_error``; a failing call becomes an error, not an exception."""
     has_evidence = F.size("supplied_labels") > 0
     if factory is None:
-        answer = F.when(has_evidence, extractive_answer(F.col("evidence_context"), F.col("supplied_labels")))
+        answer = F.when(has_evidence, extractive_answer(F.try_element_at("evidence_snapshot", F.lit(1))["evidence_text"], F.col("supplied_labels")))
         return prompted.withColumn("answer", answer.cast(ANSWER)).withColumn("generation_error", F.lit(None).cast("string"))
 
     @F.pandas_udf(f"struct<answer:{ANSWER.simpleString()},error:string>")

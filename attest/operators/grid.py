@@ -101,6 +101,12 @@ def check_results(results: DataFrame) -> None:
         raise InvalidResults("records with empty required fields")
 
 
+def rejected_results(results: DataFrame) -> DataFrame:
+    """V-16 as rows: the records that miss required fields, with the names of these; ``check_results`` raises on any."""
+    empty = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]))
+    return results.withColumn("missing", empty).where(F.size("missing") > 0)
+
+
 def summarise(results: DataFrame) -> DataFrame:
     """V-15: mean and population deviation per configuration, with the composite score."""
     has_technique = "technique" in results.columns

@@ -28,6 +28,14 @@ def check_weightings(weightings: Weightings) -> None:
             raise ValueError(f"Weighting scheme '{name}' must sum to 1.0; found {total}.")
 
 
+def weighting_rejects(schemes: DataFrame) -> DataFrame:
+    """V-14 as rows: the schemes (weighting and a column per feature) that ``check_weightings`` would not take, and why."""
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in sorted(C.FEATURES)]))
+    total = sum((F.col(f) for f in C.FEATURES), F.lit(0.0))
+    reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))).when(F.abs(total - 1.0) > 1e-9, "must sum to 1.0")
+    return schemes.select("weighting", reason.alias("reason")).where("reason is not null")
+
+
 def stratified_sample(chunks: DataFrame, quotas: Mapping[str, int] | int, seed: int = 42) -> DataFrame:
     """V-01: exactly n chunks per source (all when there are fewer), in the order of a seeded hash.
 

@@ -77,3 +77,17 @@ def split_blank(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
 
     blank = is_blank(F.col(text))
     return df.where(~blank), df.where(blank).withColumn("reason", F.lit("blank query"))
+
+
+def parameter_rejects(requests: DataFrame) -> DataFrame:
+    """T-17 for a batch whose requests bring their own limits: the requests that cannot be run, and why.
+
+    ``requests``: query_text, k, alpha and others; the reasons are those that ``require_positive`` and ``require_between`` give.
+    """
+    from ..functions.text import is_blank
+
+    reasons = F.array_compact(F.array(
+        F.when(is_blank(F.col("query_text")), "blank query"),
+        F.when(F.coalesce(F.col("k") <= 0, F.lit(True)), "k must be positive"),
+        F.when(~F.coalesce(F.col("alpha").between(0.0, 1.0), F.lit(False)), "alpha must lie between 0.0 and 1.0")))
+    return requests.withColumn("reasons", reasons).where(F.size("reasons") > 0)
