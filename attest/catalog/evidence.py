@@ -131,7 +131,7 @@ firsts as (
 
 @query("answering_batch", f"""with {ANSWERING_SQL}
 select query_id, 'answered' outcome, first_chunk, n_labels, true is_valid,
-  sha256(case when regexp_extract(said, '(?s)^(.*?[.!?])(?:\s|$)', 1) <> '' then regexp_extract(said, '(?s)^(.*?[.!?])(?:\s|$)', 1) else said end) answer_sha256 from firsts
+  sha256(case when regexp_extract(said, '(?s)^(.*?[.!?])(?:\\s|$)', 1) <> '' then regexp_extract(said, '(?s)^(.*?[.!?])(?:\\s|$)', 1) else said end) answer_sha256 from firsts
 union all select query_id, 'cached', null, null, null, null from all_questions where trim(query_text) <> '' and query_id % 4 = 0
 union all select query_id, 'rejected', null, null, null, null from all_questions where trim(query_text) = ''""")
 def answering_batch(spark, d):
