@@ -8,6 +8,7 @@ words end in a suffix) is read once on the driver and broadcast; its size does n
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -19,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import flat
+from .bytebpe import classes
 from .common import per_row, table
 
 # The white space that the vocabulary's pattern knows, and its pattern for words.
@@ -26,6 +28,7 @@ SPACE = r"\t-\r \u0085   -     　"
 WORDS = r"{letter}+|'s|'t|'re|'ve|'m|'ll|'d|{number}|[^{space}{letters}{numbers}]+"
 CACHED = 100_000  # words whose ids a worker remembers
 LATIN = 0x250  # texts below this character are split by a plain pattern, which is faster
+LONG = 2048  # bytes of a word that has rounds of its own
 NONE = np.int32(2**31 - 1)
 
 
@@ -65,8 +68,63 @@ class Vocabulary:
             tuple(tokens), np.array([ids[c] for c in characters], np.int32), np.array([ids[c + suffix] for c in characters], np.int32),
             keys[order], order.astype(np.int32), merged[order].astype(np.int32), special)
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The places of pairs among the sorted keys; -1 where there is no such merge."""
+        key = (left.astype(np.int64) << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word. Pairs are kept by rank, so a round costs what it merges: only pairs beside a merge are looked up again."""
+        n = len(word)
+        symbols = self.first[np.frombuffer(word, np.uint8)].astype(np.int64)
+        symbols[-1] = self.last[word[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        there = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[tuple[int, int]] = []
+
+        def add(places: np.ndarray) -> None:
+            at = self._rank(symbols[places], symbols[after[places]])
+            places, at = places[at >= 0], at[at >= 0]
+            order = np.argsort(at, kind="stable")
+            places, at = places[order], at[order]
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            for own, key in zip(np.split(places, cuts), at[np.append(0, cuts)].tolist() if len(at) else ()):
+                if key not in waiting:
+                    waiting[key] = []
+                    heapq.heappush(ranks, (int(self.ranks[key]), key))
+                waiting[key].append(own)
+
+        add(np.arange(n - 1))
+        while ranks:
+            _, key = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(key)))
+            places = places[there[places]]
+            places = places[after[places] < n]
+            places = places[((symbols[places] << 20) | symbols[after[places]]) == self.keys[key]]
+            if not len(places):
+                continue
+            # Of a run of equal symbols every second pair merges, from the left.
+            head = np.append(True, after[places[:-1]] != places[1:])
+            run = np.arange(len(places)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+            places = places[run % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.merged[key]
+            there[gone] = False
+            after[places] = after[gone]
+            inner = after[places] < n
+            before[after[places[inner]]] = places[inner]
+            beside = np.unique(np.concatenate([places[inner], before[places][before[places] >= 0]]))
+            add(beside)
+        return symbols[there].astype(np.int32)
+
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word (not empty)."""
+        long = {i for i, w in enumerate(words) if len(w) > LONG}
+        if long:
+            short = iter(self.encode_words([w for i, w in enumerate(words) if i not in long]) if len(long) < len(words) else ())
+            return [self._encode_long(w) if i in long else next(short) for i, w in enumerate(words)]
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
         ends = np.cumsum(lengths)
@@ -105,7 +163,8 @@ class Vocabulary:
 def word_pattern(latin: bool) -> re.Pattern | regex.Pattern:
     """The pattern for words; for texts below LATIN with its letters and numbers written out."""
     if not latin:
-        return regex.compile(WORDS.format(letter=r"\p{L}", number=r"\p{N}", letters=r"\p{L}", numbers=r"\p{N}", space=SPACE))
+        letters, numbers = classes()  # of the libraries' Unicode version, not that of the installed tables
+        return regex.compile(WORDS.format(letter=f"[{letters}]", number=f"[{numbers}]", letters=letters, numbers=numbers, space=SPACE))
     letters, numbers = ("".join(chr(i) for i in range(LATIN) if unicodedata.category(chr(i))[0] == kind) for kind in "LN")
     return re.compile(WORDS.format(letter=f"[{letters}]", number=f"[{numbers}]", letters=letters, numbers=numbers, space=SPACE))
 
@@ -115,7 +174,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.latin, self.all = word_pattern(True), word_pattern(False)
+        self.latin, self.all = word_pattern(True), None
         self.beyond = re.compile(f"[^\\0-{chr(LATIN - 1)}]")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") \
             if vocabulary.special else None
@@ -132,7 +191,10 @@ class Encoder:
             elif part:
                 # Case is folded letter by letter: a final sigma is no special case.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += (self.all if self.beyond.search(part) else self.latin).findall(part)
+                pattern = self.latin
+                if self.beyond.search(part):
+                    pattern = self.all = self.all or word_pattern(False)
+                out += pattern.findall(part)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:

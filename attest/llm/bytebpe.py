@@ -41,6 +41,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(1)
 def classes() -> tuple[str, str]:
     """Letters and numbers as ranges for a character class, as the library's own pattern tables have them.
 

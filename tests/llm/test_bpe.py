@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from attest.llm import bpe
+from attest.llm import bpe, bytebpe
 
 from .helpers import collected, documents, empty
 
@@ -36,6 +38,31 @@ def test_same_ids_and_text_as_the_library(library):
         assert decoded == library.decode(expected.ids, skip_special_tokens=False)
 
 
+def test_long_words(library, monkeypatch):
+    """A megabyte of letters takes seconds; rounds of long words give the ids of plain rounds."""
+    vocabulary = bpe.Vocabulary.read(PATH)
+    rnd = random.Random(8)
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.time()
+    found = vocabulary.encode_words([word.encode()])[0]
+    assert time.time() - began < 60
+    assert found.tolist() == library.encode(word, add_special_tokens=False).ids
+    words = ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 90))).encode() for pool in ("ab", "a", "ether", "abcdefghijklmnopqrstuvwxyzé") for _ in range(60)]
+    plain = [w.tolist() for w in vocabulary.encode_words(words)]
+    monkeypatch.setattr(bpe, "LONG", 0)
+    assert [w.tolist() for w in vocabulary.encode_words(words)] == plain
+
+
+def test_every_character_is_classed_as_by_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for pattern, ranges in zip((r"\p{L}", r"\p{N}"), bytebpe.classes()):
+        split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed")
+        kept = {c for part, _ in split.pre_tokenize_str("".join(every)) for c in part}
+        mine = regex.compile(f"[{ranges}]")
+        assert [c for c in every if (mine.match(c) is None) != (c in kept)] == []
+
+
 def test_query_rows(spark, library):
     df = documents(spark, [("The cat's <|endoftext|> hat", "en"), ("ÄÖ ß 12", "de")])
     rows = collected(bpe.encode(df, PATH, "doc_id long", ids=True))
