@@ -17,6 +17,7 @@ from . import flat
 from .common import materialise, per_row, table
 
 WORD = flat.byte_classes(word_wide="0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+OFTEN = 8  # times that a fingerprint stands in one sequence and is still extended at each of them
 BLOCK = 16_000_000  # bytes of item text that are broadcast at once
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -71,6 +72,7 @@ class Items:
     prints: np.ndarray  # sorted
     at: np.ndarray  # the first word of each
     sequence: np.ndarray
+    often: np.ndarray  # whether the fingerprint stands more than OFTEN times in its sequence
     short: dict[int, tuple[np.ndarray, np.ndarray]]  # length: sorted hashes, sequence
 
     @staticmethod
@@ -94,6 +96,13 @@ class Items:
         at = np.flatnonzero(winnowed(grams, edges, k, window - k + 1))
         at = at[np.argsort(grams[at], kind="stable")]
         sequence = np.repeat(np.arange(len(sequences)), lengths)
+        order = np.lexsort((sequence[at], grams[at]))
+        at = at[order]
+        head = np.append(True, (grams[at[1:]] != grams[at[:-1]]) | (sequence[at[1:]] != sequence[at[:-1]])) if len(at) else np.zeros(0, bool)
+        times = np.diff(np.append(np.flatnonzero(head), len(at)))
+        often = np.repeat(times > OFTEN, times)
+        kept = head | ~often  # one of those that repeat in a sequence stands for all
+        at, often = at[kept], often[kept]
         short = {}
         for n in np.unique(lengths[lengths < window]):
             which = np.flatnonzero(lengths == n)
@@ -101,7 +110,7 @@ class Items:
             order = np.argsort(h, kind="stable")
             short[int(n)] = h[order], which[order]
         return Items(tuple(tuple(sorted(by_words[s])) for s in sequences), t.hashes, tuple(w for s in sequences for w in s), edges,
-                     grams[at], at, sequence[at], short)
+                     grams[at], at, sequence[at], often, short)
 
     def _matches(self, prints: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (index into hashes, index into prints) of equal values."""
@@ -112,6 +121,37 @@ class Items:
         which = np.repeat(np.arange(len(hashes)), n)
         return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
+    def _repeated(self, t: flat.Tokens, window: int, here: np.ndarray, sequence: np.ndarray, row: np.ndarray | None, spelled) -> list[tuple[int, int, int]]:
+        """Hits at fingerprints that repeat within a sequence: each window around them is looked up and verified once."""
+        found: list[tuple[int, int, int]] = []
+        for s in np.unique(sequence).tolist():
+            at = np.unique(here[sequence == s])
+            first, last = t.rows[row[at]], t.rows[row[at] + 1]
+            around = np.unique(np.concatenate([at - i for i in range(window)]))
+            low, high = np.searchsorted(around, np.maximum(first, at - window + 1)), np.searchsorted(around, np.minimum(at, last - window), side="right")
+            marks = np.zeros(len(around) + 1, np.int64)
+            np.add.at(marks, low[high > low], 1)
+            np.add.at(marks, high[high > low], -1)
+            starts = around[np.cumsum(marks)[:-1] > 0]
+            words = self.words[self.edges[s]: self.edges[s + 1]]
+            known, place = np.unique(kgrams(words, window), return_index=True)
+            if not len(starts) or not len(known):
+                continue
+            grams = kgrams(t.hashes[starts[0]: starts[-1] + window], window)[starts - starts[0]]
+            index = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            open_ = None
+            for a, b in zip(starts[known[index] == grams].tolist(), (place[index[known[index] == grams]] + self.edges[s]).tolist()):
+                if all(spelled(a + i) == self.spelled[b + i] for i in range(window)):
+                    if open_ is not None and a <= open_[1] and row[a] == row[open_[0]]:
+                        open_[1] = a + window
+                        continue
+                    if open_ is not None:
+                        found.append((open_[0], open_[1], s))
+                    open_ = [a, a + window]
+            if open_ is not None:
+                found.append((open_[0], open_[1], s))
+        return found
+
     def hits(self, t: flat.Tokens, window: int, k: int) -> list[tuple[int, int, int]]:
         """(first word, end word, sequence) of every run of the tokens that an item window covers, runs of one row each."""
         found: list[tuple[int, int, int]] = []
@@ -127,6 +167,9 @@ class Items:
         if len(which):
             row = t.row_of()
         reached: dict[tuple[int, int], int] = {}  # by sequence and diagonal: the end of the last run tried
+        often = self.often[prints]
+        found += self._repeated(t, window, chosen[which[often]], self.sequence[prints[often]], row, spelled)
+        which, prints = which[~often], prints[~often]
         for here, there, s in zip(chosen[which].tolist(), self.at[prints].tolist(), self.sequence[prints].tolist()):
             if reached.get((s, here - there), -1) > here:
                 continue

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +45,16 @@ def tables(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("block", [16_000_000, 200])
-def test_same_as_brute_force(spark, seed, block):
+@pytest.mark.parametrize("block, often", [(16_000_000, 8), (200, 8), (16_000_000, 0), (16_000_000, 1)])
+def test_same_as_brute_force(spark, monkeypatch, seed, block, often):
+    """With `often` 0 or 1 windows are verified one by one instead of being extended."""
+    of = winnow.Items.of
+
+    def with_often(*args):
+        monkeypatch.setattr(winnow, "OFTEN", often)  # of the driver, where items are put together
+        return of(*args)
+
+    monkeypatch.setattr(winnow.Items, "of", staticmethod(with_often))
     items, texts = tables(seed)
     docs = documents(spark, [(t, "en") for t in texts])
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, hits string")
@@ -57,6 +67,20 @@ def test_same_as_brute_force(spark, seed, block):
         assert got == brute(by_id[r["doc_id"]], known)
 
 
+def test_repeated_words_take_linear_time(spark):
+    """An item and a document of one word, and of two that alternate."""
+    took = []
+    for n in (4000, 16000):
+        for text in ("same " * n, "one two " * (n // 2)):
+            held = winnow.Items.of([("1", text.encode())], 10, 5)
+            data = np.frombuffer((text * 4).encode(), np.uint8)
+            t = winnow.flat.Tokens(data, np.array([0, len(data)]), winnow.WORD, winnow.flat.LOWER)
+            began = time.time()
+            assert winnow._merged([(a, b) for a, b, _ in held.hits(t, 10, 5)]) == [(0, 4 * n)]
+            took.append(time.time() - began)
+    assert max(took) < 10
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [("a b c", "en")])
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
