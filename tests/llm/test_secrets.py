@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from attest.llm import secrets
 
@@ -59,6 +60,39 @@ def test_ledger_scans_only_what_is_new(spark):
     assert ledger.scanned(secrets.rules_version(secrets.BASE)).count() == 2
 
 
+def test_hot_blobs_are_dealt_out(spark, monkeypatch):
+    """A blob with most rows goes to several tasks and is one row of the ledger."""
+    monkeypatch.setattr(secrets, "SHARE", 4)
+    rows = [(i, "password=abcdefgh" if i % 5 else f"text {i} token: abcdefghi") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = secrets.new_ledger(spark)
+    for _ in range(2):  # the second time all are known
+        found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in collected(secrets.scan(df, ledger))}
+        assert found == {i: ["assign"] for i, _ in rows}
+        assert ledger.scanned(secrets.rules_version(secrets.RULES)).count() == 61
+
+
+def test_tokens_as_by_plain_search():
+    """Marks of web tokens: the same spans as a plain pattern, and a megabyte of marks in no time."""
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
+    rnd = random.Random(9)
+    scanner = secrets.Scanner(secrets.RULES)
+    number = [r.kind for r in secrets.RULES].index("jwt")
+    for _ in range(3000):
+        text = "".join(rnd.choice(["eyJ", "eyJabcdefgh", ".", "abcdefgh", "x", "-", " ", "eyJeyJeyJeyJ", "é"]) for _ in range(rnd.randint(1, 14)))
+        assert [(a, b) for a, b, n in scanner.spans(text) if n == number] == [m.span() for m in plain.finditer(text)], text
+    began = time.time()
+    scanner.spans("eyJ" * 350_000)
+    scanner.spans("eyJabcdefgh." * 90_000)
+    assert time.time() - began < 5
+
+
+def test_two_versions(spark):
+    rows = collected(secrets.secret_versions(spark, "/root/testdata/sf0.001"))
+    first, second = sorted(rows, key=lambda r: r["run"])
+    assert first["scanned"] == first["blobs"] and 0 < second["scanned"] < second["blobs"]
+
+
 def test_empty_table(spark):
     df = documents(spark, [("a", "en")])
     assert collected(secrets.scan(empty(df), secrets.new_ledger(spark))) == []
