@@ -8,7 +8,8 @@ from attest.catalog import load
 DATA = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 SAMPLE = ("doc_token_counts", "chunks", "html_blocks", "vector_topk", "lexical_web_match", "corpus_relevant", "citation_validation",
-          "prompt_summary", "case_summary", "registry_refresh", "constraint_rejects", "daily_volume")
+          "prompt_summary", "case_summary", "registry_refresh", "constraint_rejects", "daily_volume", "index_postings", "index_common_topk", "cells_topk",
+          "split_chunks", "shuffled_batches", "embedding_recovery", "structured_parts", "neighbours", "weighting_rejects")
 
 
 def _canonical(names, rows):
