@@ -34,8 +34,8 @@ def bloom(ids: DataFrame, key: str, n: int) -> np.ndarray:
     return out.ravel()
 
 
-def maybe(rows: DataFrame, key: str, filter_bits: np.ndarray) -> DataFrame:
-    """The rows whose key may be one of the filter's ids."""
+def maybe(rows: DataFrame, key: str, filter_bits: np.ndarray, others: bool = False) -> DataFrame:
+    """The rows whose key may be one of the filter's ids; with `others` those whose key is surely none of them."""
     bits = len(filter_bits) * 8
     shared = rows.sparkSession.sparkContext.broadcast(filter_bits)
 
@@ -47,7 +47,8 @@ def maybe(rows: DataFrame, key: str, filter_bits: np.ndarray) -> DataFrame:
             ok &= (shared.value[p >> 3] >> (p & 7) & 1).astype(bool)
         return pd.Series(ok, index=a.index)
 
-    return rows.where(passes(*_probes(key, bits)))
+    found = passes(*_probes(key, bits))
+    return rows.where(~found if others else found)
 
 
 def fetched(table: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
