@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, released
 
 KEYS = ("band", "key", "i", "j")
 
@@ -22,8 +22,10 @@ def deal(banded: DataFrame, block: int) -> DataFrame:
     cells = materialise(sizes.select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "cells")
     dealt = banded.join(cells, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return materialise(dealt.select("node", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                                    (F.col("own") <= F.col("other")).alias("left")), "dealt")
+    dealt = materialise(dealt.select("node", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                                     (F.col("own") <= F.col("other")).alias("left")), "dealt")
+    released(cells)
+    return dealt
 
 
 def gathered(dealt: DataFrame, payload: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.fetch import bloom, maybe
 from . import cells, flat
 from .bktree import Forest, Union, distances
-from .common import materialise, per_row, table
+from .common import materialise, per_row, released, table
 from .graph import components
 
 CAP = 512  # fingerprints of a shard that is not cut again
@@ -281,9 +282,10 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
 
     Links are pairs of texts whose distinct shingles have at least the Jaccard similarity, compared exactly. Candidates
     are pairs whose wide fingerprints share a band of bits and are within the radius of `search_plan`; they meet in cells
-    of bounded size, where one side's BK-tree answers the other. A tree over the texts' nearest candidates is compared first; then
-    the cells compare all others that are not in one component by then, so a large group of copies needs few pairs. Rows
-    without words are copies of each other. Ids as in `near_duplicates`.
+    of bounded size, where one side's BK-tree answers the other. A tree over the texts' nearest candidates is compared first, so a
+    large group of copies needs few pairs. Cells that hold several components by then are searched again on fingerprints alone; texts
+    that still have a pair to compare get their shingles there, for the first band only that a pair shares. Rows without words
+    are copies of each other. Ids as in `near_duplicates`.
     """
 
     def hasher():
@@ -351,11 +353,31 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
             yield pa.RecordBatch.from_arrays([pa.array(np.append(np.minimum(x, y), node[more])), pa.array(np.append(np.maximum(x, y), node[more])),
                                               pa.array(np.append(np.zeros(len(x), bool), np.ones(len(more), bool))), *rest], ["a", "b", "more", *cells.KEYS, "left"])
 
+    def open_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the pairs within the radius whose texts are not in one component, each in the first band that they share."""
+        query, hit, _ = candidates(rows)
+        root = rows["root"].to_numpy()
+        ok = (root[query] != root[hit]) & ((query > hit) | ~rows["left"].to_numpy()[query])
+        query, hit = query[ok], hit[ok]
+        bits = np.unpackbits(np.frombuffer(b"".join(rows["print"].to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1)
+        first = np.zeros(len(query), np.int64)
+        step = max(1, (16 << 20) // chosen.size)
+        for at in range(0, len(query), step):
+            own = slice(at, at + step)
+            first[own] = (bits[query[own]][:, chosen] == bits[hit[own]][:, chosen]).all(axis=2).argmax(axis=1)
+        ok = first == rows["band"].to_numpy()[query]
+        return query[ok], hit[ok]
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in cells.whole(batches):
+            some = pa.array(np.unique(np.concatenate(open_pairs(rows))))
+            yield rows.select(["node", *cells.KEYS, "left"]).take(some).combine_chunks().to_batches()[0] if len(some) else \
+                pa.RecordBatch.from_pylist([], rows.select(["node", *cells.KEYS, "left"]).schema)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in cells.whole(batches, 512):
-            query, hit, _ = candidates(rows)
-            node, root, size, kept = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["size"].to_numpy(), {}
-            ok = (root[query] != root[hit]) & ((query > hit) | ~rows["left"].to_numpy()[query])
+            query, hit = open_pairs(rows)
+            node, size, kept = rows["node"].to_numpy(), rows["size"].to_numpy(), {}
             up: dict[int, int] = {}
             a, b = [], []
 
@@ -364,7 +386,7 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
                     kept[k] = frozenset(np.frombuffer(rows["shingles"][k].as_py(), np.uint64).tolist())
                 return kept[k]
 
-            for x, y in zip(query[ok].tolist(), hit[ok].tolist()):
+            for x, y in zip(query.tolist(), hit.tolist()):
                 common = len(shingles(x) & shingles(y))
                 if common and common / (int(size[x]) + int(size[y]) - common) >= similarity:
                     a.append(int(node[x]))
@@ -381,20 +403,34 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, recall
 
     def texts(nodes: DataFrame, name: str) -> DataFrame:
         wanted = materialise(prints.join(nodes.distinct(), "node").select("node", "t.*"), f"{name}-wanted")
-        return named.join(wanted, list(_TEXT)).groupBy("node").agg(F.first("text").alias("text"))
+        # What is surely not wanted is dropped where it lies: only texts of candidates are shuffled.
+        some = maybe(named, _TEXT[0], bloom(wanted, _TEXT[0], wanted.count()))
+        return some.join(wanted, list(_TEXT)).groupBy("node").agg(F.first("text").alias("text"))
 
     found = materialise(cells.gathered(dealt, prints.select("node", "print", "size"))
                         .mapInArrow(meet, "a long, b long, more boolean, band int, key long, i int, j int, left boolean"), "similar-met")
+    released(banded)
+    released(dealt)
     pairs = materialise(found.filter("not more").select("a", "b").distinct(), "similar-pairs")
     held = materialise(texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), "similar-texts"), "similar-texts")
     links = materialise(_alike(pairs, held, words, similarity), "similar-links")
+    released(held)
     roots = components(links)
-    rest = found.filter("more").select(F.col("a").alias("node"), *cells.KEYS, "left")
-    if not rest.isEmpty():
-        sets = materialise(per_row(texts(rest.select("node"), "similar-sets"), hashed, "node long, shingles binary"), "similar-sets")
+    # What the first round left: cells of unlike components, and of them the texts that still have a pair to compare.
+    rest = found.filter("more").select(F.col("a").alias("node"), *cells.KEYS, "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialise(rest, "similar-rest")
+    released(found)
+    mixed = rest.groupBy(*cells.KEYS).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select(*cells.KEYS)
+    still = materialise(cells.gathered(rest.join(mixed, list(cells.KEYS), "left_semi"), prints.select("node", "print", "size"))
+                        .mapInArrow(still_open, "node long, band int, key long, i int, j int, left boolean"), "similar-open")
+    released(rest)
+    if not still.isEmpty():
+        # Sets of shingles go to these only.
+        sets = materialise(per_row(texts(still.select("node"), "similar-sets"), hashed, "node long, shingles binary"), "similar-sets")
         payload = prints.select("node", "print", "size").join(sets, "node").join(roots, "node", "left") \
             .select("node", "print", "size", "shingles", F.coalesce("root", "node").alias("root"))
-        more = materialise(cells.gathered(rest, payload).mapInArrow(compare, "a long, b long"), "similar-more-links")
+        more = materialise(cells.gathered(still, payload).mapInArrow(compare, "a long, b long"), "similar-more-links")
+        released(sets)
         roots = components(links.union(more))
     rooted = materialise(prints.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root")), "similar-rooted")
     named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "similar-components")
