@@ -4,6 +4,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.fetch import bloom, maybe
 from . import langid, secrets, simhash, winnow
 from .bpe import encode
 from .common import materialise, per_row, table
@@ -42,8 +43,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _documents(docs)
     found = simhash.similar_texts(rows.select("doc_id", "text"))
-    kept = materialise(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept-documents")
-    single = rows.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
+    named = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = materialise(named.filter("not stays").select("doc_id"), "copied-documents")
+    # Rows that are surely no copies stay where they lie; only the others meet the ids that go.
+    bits = bloom(gone, "doc_id", gone.count())
+    with_id = rows.filter("doc_id is not null")
+    single = maybe(with_id, "doc_id", bits, others=True).union(maybe(with_id, "doc_id", bits).join(gone, "doc_id", "left_anti").select(*NAMES))
     repeated = materialise(single.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-documents")
     if not repeated.isEmpty():
         first = single.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s"))
