@@ -42,6 +42,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    # A stream reads folders or patterns, so the table's own name is written as a pattern.
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 _stored: dict[tuple, object] = {}
 
 

@@ -8,7 +8,7 @@ from ..operators import monitor
 from ..session import checkpoint_folder
 from ..streaming import logs
 from . import query
-from .common import table
+from .common import table, table_stream
 
 FIELDS = ("groundedness", "relevance", "completeness", "citation_quality", "appropriate_uncertainty")
 
@@ -156,9 +156,7 @@ def stream_daily_status(spark, d):
     """The event log read as a stream to its end; days still open under the watermark are not out yet."""
     import uuid
 
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    log = stream.select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("answer_status"), F.col("value").alias("latency_ms"))
+    log = table_stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("answer_status"), F.col("value").alias("latency_ms"))
     place = f"{checkpoint_folder(spark)}/attest/stream-{uuid.uuid4().hex}"
     run = (logs.daily_status(log).writeStream.outputMode("append").format("parquet").option("path", f"{place}/out")
            .option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start())

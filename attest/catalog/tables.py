@@ -10,7 +10,7 @@ from ..session import checkpoint_folder
 from ..sources import readers, writers
 from ..streaming import logs
 from . import query
-from .common import table
+from .common import table, table_stream
 
 
 def _base(spark, d):
@@ -61,10 +61,9 @@ def versioned_upserts(spark, d):
 def stream_upserts(spark, d):
     """Conversations arrive as a stream of files and are upserted by key."""
     place = f"{checkpoint_folder(spark)}/attest/increments-{uuid.uuid4().hex}"
-    schema = table(spark, d, "conversations").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d).select("conv_id", "turn", "role")
+    rows = table_stream(spark, d, "conversations").select("conv_id", "turn", "role")
     logs.load_increments(rows, f"{place}/table", ["conv_id", "turn"], f"{place}/state", "role").awaitTermination()
-    return writers.read_buckets(spark, f"{place}/table")
+    return writers.read_buckets(spark, f"{place}/table", rows.schema)
 
 
 LATEST_SQL = """

@@ -5,6 +5,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import config as C
 from ..functions import text as X
@@ -89,8 +90,14 @@ def upsert_buckets(path: str, incoming: DataFrame, keys: Sequence[str], order: s
     fresh.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
-def read_buckets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+def read_buckets(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """The rows of all buckets; with a schema, a table that nothing was written to yet has none."""
+    try:
+        return spark.read.parquet(path).drop(BUCKET)
+    except AnalysisException as e:
+        if schema is None or "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # --- checked appends --------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attest import schemas
+from attest.catalog import load
 from attest.operators import evidence, impact, monitor, registry
 from attest.schemas import ANSWER
 from attest.sources import readers, writers
@@ -145,3 +146,15 @@ def test_incremental_load_drops_copies_and_is_repeatable(spark, tmp_path):
     for _ in range(2):
         logs.load_increments(logs.read_increments(spark, source, schema), table, ["k"], state, "at", at="at").awaitTermination()
     assert {(r.k, r.v) for r in writers.read_buckets(spark, table).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_streams_read_tables_that_are_folders_of_files(spark, tmp_path):
+    registered, _ = load()
+    said = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(tuple(r) for r in registered["stream_upserts"](spark, str(tmp_path)).collect()) == [r[:3] for r in said]
+    spark.sql("select explode(array(timestamp'2024-01-01 00:00:00', timestamp'2024-01-03 02:00:00')) ts, 'view' event_type, 1.5D value").repartition(2) \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.day for r in registered["stream_daily_status"](spark, str(tmp_path)).collect()] == ["2024-01-01"]
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert registered["stream_upserts"](spark, f"{tmp_path}/none").count() == 0
