@@ -243,3 +243,19 @@ def test_search_finds_other_forms_of_a_word(spark):
     q = spark.createDataFrame([("q", "interconnections ruling")], "query_id string, query_text string")
     assert [r.chunk_id for r in lexical.lexical_topk(q, lexical.postings(chunks), 5).collect()] == ["a"]
     assert lexical.lexical_topk(q, lexical.postings(chunks, stemmed=False), 5, stemmed=False).count() == 0
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    posted = _posted(spark)
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.chunk_id, r.lexeme): ([(h.pos, h.inv) for h in r.hits], r.n_a, r.n_b) for r in posted.collect()}
+    assert rows["a", "meter"] == ([(1, 1.0), (8, 2.5)], 1, 1) and rows["b", "inverter"] == ([(1, 2.5), (6, 2.5)], 0, 2)
+    assert ("a", "a") not in rows and len(rows) == 17
+
+
+def test_hits_of_groups_that_a_chunk_lacks_count_in_covers(spark):
+    q = spark.createDataFrame([("q", "smart meter or grid absent")], "query_id string, query_text string")
+    got = {r.chunk_id: r.lexical_score for r in lexical.lexical_topk(q, _posted(spark), 10, stemmed=False).collect()}
+    # d: smart 1, grid 2, meter 8: three hits from smart to meter, with five other words between them.
+    r = 0.4 / 6
+    assert round(got["d"], 9) == round(r / (r + 1), 9)
