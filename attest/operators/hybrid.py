@@ -10,6 +10,7 @@ from .. import config as C
 from ..functions import text as X
 from ..session import materialise
 from .fetch import fetched
+from .lexical import sent
 from .topk import require_between, require_positive, top_k
 
 
@@ -130,9 +131,10 @@ def feedback_terms(found: DataFrame, posted: DataFrame, terms: DataFrame, n_term
     require_positive(n_terms=n_terms, top=top)
     first = found.where(F.col(rank) <= top).select("query_id", "chunk_id")
     counted = posted.select("lexeme", "chunk_id", (F.col("n_a") + F.col("n_b")).alias("tf"))
-    own = materialise(counted.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi"), "feedback-postings")
+    first = materialise(first, "feedback-chunks")
+    own = materialise(counted.join(sent(first.select("chunk_id").distinct(), "feedback-ids"), "chunk_id", "left_semi"), "feedback-postings")
     corpus = counted.agg(F.count_distinct("chunk_id").alias("chunks"))
-    held = counted.join(own.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
+    held = counted.join(sent(own.select("lexeme").distinct(), "feedback-words"), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
     lengths = own.groupBy("chunk_id").agg(F.sum("tf").alias("length"))
     shares = first.join(own, "chunk_id").join(lengths, "chunk_id").groupBy("query_id", "lexeme").agg(F.sum(F.col("tf") / F.col("length")).alias("share"))
     shares = shares.join(terms.select("query_id", "lexeme").distinct(), ["query_id", "lexeme"], "left_anti")

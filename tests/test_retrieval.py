@@ -259,3 +259,14 @@ def test_hits_of_groups_that_a_chunk_lacks_count_in_covers(spark):
     # d: smart 1, grid 2, meter 8: three hits from smart to meter, with five other words between them.
     r = 0.4 / 6
     assert round(got["d"], 9) == round(r / (r + 1), 9)
+
+
+def test_few_keys_go_to_the_postings(spark):
+    keys = lexical.sent(spark.createDataFrame([("meter",)], "lexeme string").distinct(), "test-keys")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = _posted(spark).join(keys, "lexeme", "left_semi")
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
