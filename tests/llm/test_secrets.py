@@ -93,6 +93,19 @@ def test_two_versions(spark):
     assert first["scanned"] == first["blobs"] and 0 < second["scanned"] < second["blobs"]
 
 
+def test_two_versions_when_the_ledger_is_not_broadcast(spark):
+    """What the second run scanned is counted on its own reading of the ledger, not on that of the first run."""
+    d = "/root/testdata/sf0.001"
+    expected = sorted(map(str, collected(secrets.secret_versions(spark, d))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = collected(secrets.secret_versions(spark, d))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, found)) == expected
+    assert {r["run"]: r["scanned"] > 0 for r in found} == {1: True, 2: True}
+
+
 def test_empty_table(spark):
     df = documents(spark, [("a", "en")])
     assert collected(secrets.scan(empty(df), secrets.new_ledger(spark))) == []
