@@ -61,7 +61,7 @@ def html_dropped_parts(spark, d):
         F.concat(F.lit("w"), "page_id").alias("document_id"), F.lit("web").alias("source_id"), F.lit(None).cast("string").alias("source_hash"),
         "seq", "block_type", "heading_level", "heading", "heading_path", "text")
     rules = {"web": C.HtmlRules(drop_texts=("plain cell",))}
-    return normalise.normalise_html(rows, rules).groupBy("document_id").agg(F.count("*").alias("n"))
+    return normalise.normalise_html(rows, rules, one_segment=True).groupBy("document_id").agg(F.count("*").alias("n"))  # a document is one page
 
 
 def lettered_pages(spark, d):

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
@@ -187,15 +187,28 @@ def prune(node: Node) -> None:
         todo.extend(c for c in n.children if isinstance(c, Node))
 
 
-def page_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+EVENTS = pa.schema([
+    ("page_id", pa.int64()), ("seq", pa.int32()), ("block_type", pa.string()), ("heading_level", pa.int32()),
+    ("pieces", pa.list_(pa.struct([("row", pa.int32()), ("cell", pa.int32()), ("text", pa.string()), ("address", pa.string()), ("inside", pa.int32()),
+                                   ("comment", pa.bool_())])))])
+EVENT_CHARACTERS = 1 << 22  # of pages whose elements make one batch, the last page's not counted
+
+
+def page_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of all pages; many pages make a batch, as a batch costs more than a page."""
+    rows: list[dict] = []
+    size = 0
     for pages in batches:
-        for page_id, url, html in zip(pages["page_id"], pages["url"], pages["html"]):
-            found = list(elements(html or "", url or ""))
-            if found:
-                kinds, levels, events = zip(*found)
-                yield pd.DataFrame({
-                    "page_id": page_id, "seq": range(1, len(found) + 1), "block_type": kinds,
-                    "heading_level": pd.array(levels, dtype="Int32"), "pieces": events})
+        for page_id, url, html in zip(*(pages.column(c) for c in ("page_id", "url", "html"))):
+            page_id, url, html = page_id.as_py(), url.as_py() or "", html.as_py() or ""
+            rows += [{"page_id": page_id, "seq": n, "block_type": kind, "heading_level": level, "pieces": events}
+                     for n, (kind, level, events) in enumerate(elements(html, url), 1)]
+            size += len(html)
+            if size >= EVENT_CHARACTERS:
+                yield pa.RecordBatch.from_pylist(rows, EVENTS)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, EVENTS)
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
@@ -203,7 +216,7 @@ def html_elements(pages: DataFrame) -> DataFrame:
 
     Elements without text are left out; the others are numbered from 1 in document order.
     """
-    found = pages.select("page_id", "url", "html").mapInPandas(page_events, ELEMENT)
+    found = pages.select("page_id", "url", "html").mapInArrow(page_events, ELEMENT)
     events, kind = F.col("pieces"), F.col("block_type")
     text = F.when(kind == "heading", plain_text(events)).when(kind == "table", table_text(events)) \
         .when(kind == "list_item", F.concat(F.lit("- "), inline_text(events))).otherwise(inline_text(events))

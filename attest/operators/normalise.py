@@ -292,15 +292,16 @@ def html_keys(raw: DataFrame, rules: Mapping[str, C.HtmlRules]) -> DataFrame:
     return rows
 
 
-def normalise_html(raw: DataFrame, rules: Mapping[str, C.HtmlRules] = {}, rows_per_segment: int = ROWS_PER_SEGMENT) -> DataFrame:
+def normalise_html(raw: DataFrame, rules: Mapping[str, C.HtmlRules] = {}, rows_per_segment: int = ROWS_PER_SEGMENT, one_segment: bool = False) -> DataFrame:
     """N-03 .. N-05, N-22 for raw elements.
 
     ``raw``: document_id, source_id, source_hash, seq, block_type, heading_level, heading, heading_path, text.
+    ``one_segment`` says that a document is one page, so one input row; ``raw`` is then read once, not once for each pass.
     """
-    rows = html_keys(raw, rules).withColumn(SEGMENT, segment_of(F.col("seq"), rows_per_segment))
-    marked = dedup_adjacent(rows, ["document_id"], SEGMENT, ["seq"], ["block_type", "text", "heading_path"])
+    rows = html_keys(raw, rules).withColumn(SEGMENT, F.lit(0).cast("long") if one_segment else segment_of(F.col("seq"), rows_per_segment))
+    marked = dedup_adjacent(rows, ["document_id"], SEGMENT, ["seq"], ["block_type", "text", "heading_path"], one_segment=one_segment)
     kept = marked.where(~F.col("is_repeat"))
-    numbered = scan(kept, ["document_id"], SEGMENT, ["seq"], sums={"ordinal": F.lit(1)})
+    numbered = scan(kept, ["document_id"], SEGMENT, ["seq"], sums={"ordinal": F.lit(1)}, one_segment=one_segment)
     return numbered.select(
         F.format_string("%s:b%04d", F.col("document_id"), F.col("ordinal")).alias("block_id"),
         "document_id", "source_id", "source_hash", F.col("ordinal").cast("long").alias("ordinal"), "block_type", "text",

@@ -103,11 +103,11 @@ def scan(
 
 
 def dedup_adjacent(
-    df: DataFrame, part: Sequence[str], segment: str, order: Sequence[str], key: Sequence[str], mark: str = "is_repeat"
+    df: DataFrame, part: Sequence[str], segment: str, order: Sequence[str], key: Sequence[str], mark: str = "is_repeat", one_segment: bool = False
 ) -> DataFrame:
     """N-04: mark rows whose key equals that of the row before them."""
     now = F.struct(*[F.col(c) for c in key])
-    marked = scan(df, part, segment, order, lags={"__before": now})
+    marked = scan(df, part, segment, order, lags={"__before": now}, one_segment=one_segment)
     same = F.col("__before").isNotNull() & F.col("__before.v").eqNullSafe(now)
     return marked.withColumn(mark, F.coalesce(same, F.lit(False))).drop("__before")
 

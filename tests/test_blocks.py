@@ -77,6 +77,28 @@ def _elements(spark, page, base=""):
     return [(r.block_type, r.heading_level, r.text) for r in html.html_elements(df).orderBy("seq").collect()]
 
 
+def test_html_pages_share_batches_and_are_parsed_once(spark):
+    """Elements of many pages make one batch; a one-page document is numbered without parsing its page again."""
+    import pyarrow as pa
+
+    from attest.catalog import rich
+
+    pages = pa.RecordBatch.from_pylist([{"page_id": i, "url": "u", "html": f"<h1>A</h1><p>{i}</p>" if i % 7 else ""} for i in range(1, 100)])
+    out = list(html.page_events(iter([pages, pages.slice(0, 3)])))
+    assert len(out) == 1 and out[0].num_rows == 2 * (99 - 14 + 3)
+    assert out[0].column("heading_level").to_pylist()[:2] == [1, None]
+    found = rich.html_dropped_parts(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("page_events") == 1
+
+
+def test_one_page_documents_are_numbered_alike(spark):
+    df = spark.createDataFrame([("d", "s", None, i, "paragraph", None, None, "", t) for i, t in enumerate("xyyyz", 1)],
+                               "document_id string, source_id string, source_hash string, seq int, block_type string, heading_level int, heading string, "
+                               "heading_path string, text string")
+    got = [[(r.ordinal, r.text) for r in normalise.normalise_html(df, {}, 2, one_segment=one).orderBy("ordinal").collect()] for one in (False, True)]
+    assert got[0] == got[1] == [(1, "x"), (2, "y"), (3, "z")]
+
+
 def test_html_elements(spark):
     page = """<body><nav><p>menu</p></nav><main><h2>T <b>x</b></h2><p>see <a href="/a">the <i>page</i></a> now<!-- c --></p>
       <ul><li>one<ul><li>inner</li></ul></li></ul><button class="Accordion-b">More</button><button>no</button>
