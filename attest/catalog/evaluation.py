@@ -122,7 +122,9 @@ def source_descriptions(spark, d):
 
 @query("metadata_relevance", f'with {RELEVANCE_SQL} select query_id, chunk_id, "rank"::int as "rank", retriever, alpha, weighting, round(score, 9) score, score > 0.5 relevant from scored')
 def metadata_relevance(spark, d):
-    out = metrics.relevance(variant_rows(spark, d), gold_queries(spark, d), document_chunks(spark, d))
+    ranked = variant_rows(spark, d)
+    chunks = fetched(document_chunks(spark, d).drop("evidence_text"), ranked)
+    out = metrics.relevance(ranked, gold_queries(spark, d), chunks)
     return out.withColumn("score", F.round("score", 9))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config as C
 from ..session import materialise
+from .fetch import fetched
 from .hybrid import literal_rows
 from .metrics import Weightings, ranking_metrics, relevance
 from .ordered import numbered
@@ -51,6 +52,7 @@ def evaluate_rewrites(variants: DataFrame, queries: DataFrame, chunks: DataFrame
     texts = materialise(numbered(texts, ["query_id", "query_text"], "text_id"), "rewritten-texts")
     ranked = materialise(search(texts.select("text_id", "query_id", "query_text")).where(F.col("retriever").isin(*retrievers)), "rewritten-ranked")
     rows = ranked.join(texts.select("text_id", "query_id"), "text_id").select("query_id", "text_id", "chunk_id", "rank", "retriever")
+    chunks = fetched(chunks, ranked)
     records = ranking_metrics(relevance(rows, queries, chunks, weightings), totals, ["query_id", "text_id", "retriever", "weighting"], k)
     return records.join(texts.select("text_id", "techniques"), "text_id").withColumn("technique", F.explode("techniques")).drop("techniques")
 

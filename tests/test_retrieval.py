@@ -110,6 +110,14 @@ def test_maps_of_a_chunk_are_copied_for_rarest_words_only(spark):
     assert got == [("q", 0, "b"), ("r", 0, "a"), ("r", 0, "b"), ("r", 1, "b")]
 
 
+def test_relevance_reads_the_attributes_of_ranked_chunks_only(spark):
+    """The corpus is read for the gold chunks; those that are ranked were fetched before."""
+    from attest.catalog import evaluation
+
+    plan = evaluation.metadata_relevance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("n_chars") and plan.count("Relation [doc_id") == 1
+
+
 def test_cover_density_by_hand(spark):
     q = spark.createDataFrame([("q", "smart inverter")], "query_id string, query_text string")
     got = {r.chunk_id: r.lexical_score for r in lexical.lexical_topk(q, _posted(spark), 10, stemmed=False).collect()}
